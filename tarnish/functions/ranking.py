@@ -36,6 +36,28 @@ def running_total(
     )
 
 
+def ordered_total(df: DataFrame, keys: Sequence[str], order: str, out: str, weight: Column | None = None) -> DataFrame:
+    """Add `out`: the total weight (default 1) of the rows before this one, per key, by an order that is no draw.
+
+    Rows (distinct in keys and order) are range-partitioned, which balances by sampling, and written with
+    the number of their range; totals per range then offset the running totals inside each range.
+    """
+    keys = list(keys)
+    weight = F.lit(1) if weight is None else weight
+    ranged = df.withColumn("_w", weight.cast("bigint")).repartitionByRange(*keys, order)
+    rows = stage(ranged.withColumn("_p", F.spark_partition_id()))
+    per_range = rows.groupBy(*keys, "_p").agg(F.sum("_w").alias("_pw"))
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_range.select(*keys, "_p", F.coalesce(F.sum("_pw").over(before), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(*keys, "_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+        .join(offsets, [*keys, "_p"])
+        .withColumn(out, F.col("_off") + F.col("_in"))
+        .drop("_w", "_p", "_off", "_in")
+    )
+
+
 def cutoffs(
     df: DataFrame, strata: Sequence[str], order: str, tie: str, quota: Callable[[Column, Column], Column]
 ) -> DataFrame:

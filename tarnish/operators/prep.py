@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnish.functions import ranking
 from tarnish.functions.hashing import draw
+from tarnish.session import stage
 from tarnish.sources.tables import nan_to_null
 
 # ---- binning -------------------------------------------------------------------------------------
@@ -114,7 +114,7 @@ def binarise_target(df: DataFrame, target: str, threshold: float = 15, max_class
 def encode_labels(df: DataFrame, target: str, out: str = "label") -> DataFrame:
     """Classes numbered 0..k-1 in sorted order; the numbering is made on the distinct classes only."""
     classes = df.select(target).filter(F.col(target).isNotNull()).distinct()
-    numbered = classes.withColumn(out, F.row_number().over(W.orderBy(target)) - 1)
+    numbered = stage(ranking.ordered_total(classes, [], target, out))
     return df.join(numbered, target, "left")
 
 
