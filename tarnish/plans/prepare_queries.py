@@ -67,7 +67,7 @@ def derived_table(spark, sf):
     path = _fresh(spark)
     out = views.experiment(spark, sf).groupBy("config", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("im").alias("im"))
     tables.write_table(out, path, "csv")
-    return tables.load(spark, path, out.schema) if path.endswith(".csv") else spark.read.csv(path, schema=out.schema, header=True)
+    return spark.read.csv(path, schema=out.schema, header=True)
 
 
 _G = g6_sql("m", "varchar")
