@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 from tarnish.model import FD, corrupted_columns, redundancy_dependencies
 from tarnish.operators import cover, incons, prep, profile
 from tarnish.plans import sql
-from tarnish.plans.inputs import CONFIGS, LEVEL, SEED, corrupted
+from tarnish.plans.inputs import BROKEN, CONFIGS, LEVEL, SEED, corrupted, line_repairs
 from tarnish.plans.prepare_queries import folded, folds_sql
 from tarnish.plans.registry import exact_text, query, rounded
 from tarnish.sources import views
 
 POOL = list(views.POOL)
 ALL = [*POOL, *redundancy_dependencies(POOL)]
-BROKEN = [views.LINE_PART, views.PART_PRICE]  # dependencies that raw line items violate
 GAPPY = [FD(("a",), "y"), FD(("a", "b"), "y")]
 
 
@@ -270,12 +269,12 @@ def matching_cover(spark, sf):
 
 @query("I12_exact_repair_components")
 def exact_repair(spark, sf):
-    return cover.exact_repair(views.lines(spark, sf), BROKEN)
+    return line_repairs(spark, sf)
 
 
 @query("I12_exact_repair_total")
 def exact_repair_total(spark, sf):
-    return cover.exact_total(cover.exact_repair(views.lines(spark, sf), BROKEN))
+    return cover.exact_total(line_repairs(spark, sf))
 
 
 def _im_each(src: str, fds) -> str:
@@ -386,13 +385,13 @@ def compare_repairs(spark, sf):
 
 @query("I18_component_comparison")
 def component_comparison(spark, sf):
-    repairs = cover.exact_repair(views.lines(spark, sf), BROKEN).withColumn("ih_approx", F.col("upper"))
+    repairs = line_repairs(spark, sf).withColumn("ih_approx", F.col("upper"))
     return cover.comparison_summary(cover.compare_repairs(repairs), ["vertices"])
 
 
-@query("I19_complete_levels", f"""WITH {sql.EXPERIMENT}, solved AS (SELECT *, ih < 1000 AS ok FROM res)
+@query("I19_complete_levels", f"""WITH {sql.EXPERIMENT}, solved AS (SELECT *, ih < 20 AS ok FROM res)
 SELECT config, level, replica, model, ih FROM solved s
 WHERE NOT EXISTS (SELECT 1 FROM solved t WHERE t.config = s.config AND t.level = s.level AND NOT t.ok)""")
 def complete_levels(spark, sf):
-    res = views.experiment(spark, sf).withColumn("solved", F.col("ih") < 1000)
+    res = views.experiment(spark, sf).withColumn("solved", F.col("ih") < 20)
     return cover.complete_levels(res, ["config", "level"]).select("config", "level", "replica", "model", "ih")
