@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnish.functions.joins import attach
+from tarnish.session import stage
 
 CONTEXT = 90
 TOLERANCE = 0.0002
@@ -36,30 +37,32 @@ def extract_claims(
 ) -> DataFrame:
     """One row per number: (doc_id, claim_no, value, context), the context reaching 90 characters to each side.
 
-    The context is captured by look-around groups that consume nothing, so it may overlap other numbers.
+    The numbers and the text between them come from one extraction and one split. A context is put
+    together from the nearest of these pieces: a number has at least three characters, so 30 numbers
+    fill 90 characters and the work per number is bounded, however long the text.
     """
-    pattern = claim_pattern(decimal, thousands)
-    head, body = pattern.split(")", 1)
-    before = rf"(?=[0-9])(?<=(\A[\s\S]{{0,{CONTEXT - 1}}}|[\s\S]{{{CONTEXT}}}))"
-    after = rf"(?=([\s\S]{{0,{CONTEXT}}}))"
-    full = F.lit(f"{head}){before}{body}{after}")
-    # groups: 1 text before, 2 whole part, 3 decimals, 4 text after; the number itself is group 0
-    found = docs.filter(F.col(text).rlike(pattern)).select(
+    pattern = F.lit(claim_pattern(decimal, thousands))
+    reach = CONTEXT // 3
+    cut = docs.select(
         F.col(doc_id),
-        F.posexplode(
-            F.arrays_zip(
-                F.regexp_extract_all(text, full, F.lit(0)).alias("number"),
-                F.regexp_extract_all(text, full, F.lit(1)).alias("before"),
-                F.regexp_extract_all(text, full, F.lit(2)).alias("whole"),
-                F.regexp_extract_all(text, full, F.lit(3)).alias("part"),
-                F.regexp_extract_all(text, full, F.lit(4)).alias("after"),
-            )
-        ).alias("claim_no", "c"),
-    )
-    value = F.concat(F.replace(F.col("c.whole"), F.lit(thousands), F.lit("")), F.lit("."), F.col("c.part"))
+        F.regexp_extract_all(text, pattern, F.lit(0)).alias("numbers"),
+        F.split(text, claim_pattern(decimal, thousands), -1).alias("gaps"),
+    ).filter(F.size("numbers") > 0)
+    shown = F.expr(f"""
+        transform(sequence(0, size(numbers) - 1), i -> struct(
+            numbers[i] AS number,
+            right(concat(
+                array_join(transform(sequence(greatest(0, i - {reach}), i), j ->
+                    concat(if(j > greatest(0, i - {reach}), numbers[j - 1], ''), right(gaps[j], {CONTEXT}))), '')),
+                {CONTEXT}) AS before,
+            left(array_join(transform(sequence(i, least(size(numbers) - 1, i + {reach})), j ->
+                    concat(if(j > i, numbers[j], ''), left(gaps[j + 1], {CONTEXT}))), ''), {CONTEXT}) AS after))""")
+    found = cut.select(doc_id, F.posexplode(shown).alias("claim_no", "c"))
+    # translate maps the decimal sign to a point and drops the thousands sign, which has no counterpart
+    plain = F.translate(F.regexp_replace("c.number", r"\s", ""), decimal + thousands, ".")
     context = F.concat(F.col("c.before"), F.col("c.number"), F.col("c.after"))
     return found.select(
-        doc_id, "claim_no", value.try_cast("double").alias("value"),
+        doc_id, "claim_no", plain.try_cast("double").alias("value"),
         F.trim(F.regexp_replace(context, r"\s+", " ")).alias("context"),
     ).filter("value IS NOT NULL")
 
@@ -121,7 +124,8 @@ def unsupported_claims(
     claims: DataFrame, published: DataFrame, tolerance: float = TOLERANCE, context_numbers: Collection[float] = CONTEXT_NUMBERS
 ) -> DataFrame:
     """The claims that match no published value and are no context numbers."""
-    open_claims = claims.filter(~F.col("value").isin(*context_numbers)) if context_numbers else claims
+    known = F.col("value").isin(*context_numbers) if context_numbers else F.lit(False)
+    open_claims = stage(claims.filter(~known))  # the texts are read once
     verdict = reconcile_values(open_claims, published, tolerance)
     sizes = open_claims.groupBy("value").agg(F.count(F.lit(1)).alias("_n"))
     per_value = sizes.join(verdict, "value")

@@ -209,7 +209,7 @@ class Features:
 
 
 def _fit_and_score(train: DataFrame, tests: dict[str, DataFrame], target: str, ignore: Sequence[str], models, scale) -> DataFrame:
-    """Confusion counts per (model, test set); a model that fails has one row without counts."""
+    """Confusion counts per (model, test set)."""
     features = Features(train, target, ignore)
     ready = features.transform(train).persist()
     n_rows, width = ready.count(), len(ready.first()["features"])

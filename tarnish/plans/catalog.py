@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnish.model import redundancy_dependencies
 from tarnish.operators import incons, profile
-from tarnish.plans import conflict_queries, inputs, noise_queries, prepare_queries, result_queries  # noqa: F401
+from tarnish.plans import conflict_queries, evaluate_queries, inputs, noise_queries, prepare_queries, relational_queries, result_queries  # noqa: F401
 from tarnish.plans.registry import ORACLES, QUERIES, exact_text
 from tarnish.sources import views
 
