@@ -141,10 +141,12 @@ def screen_targets(
     `targets` maps a display name to a target column. Classes are balanced and capped; a column that
     occurs in the name of the target is skipped.
     """
+    wanted = [key, *dict.fromkeys([*targets.values(), *columns])]
+    rows = stage(df.select(*wanted))
     parts = []
     for name, target in targets.items():
         usable = [c for c in columns if c not in name and c != target]
-        balanced = stage(prep.balance(df.select(key, *dict.fromkeys([target, *usable])), target, seed, key, cap))
+        balanced = stage(prep.balance(rows.select(key, *dict.fromkeys([target, *usable])), target, seed, key, cap))
         folded = prep.assign_folds(balanced, target, folds, seed, key)
         size = balanced.agg(F.count_distinct(target).alias("classes"), F.count(F.lit(1)).alias("n_rows"))
         facts = size.select(F.lit(name).alias("target"), "classes", "n_rows", (1 / F.col("classes")).alias("chance")).first()
