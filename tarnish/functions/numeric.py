@@ -52,7 +52,9 @@ def g6_sql(v: str, text: str = "string") -> str:
 
     `text` is the dialect's string type.
     """
-    exponent = f"cast(floor(log10(abs({v}))) AS int)"
+    raw = f"cast(floor(log10(abs({v}))) AS int)"
+    # rounding to six digits can reach the next power of ten
+    exponent = f"cast(floor(log10(abs(round({v} * pow(10e0, 5 - {raw})) / pow(10e0, 5 - {raw})))) AS int)"
     rounded = f"(round({v} * pow(10e0, 5 - {exponent})) / pow(10e0, 5 - {exponent}))"
     mantissa = f"(round({v} * pow(10e0, 5 - {exponent})) / 100000e0)"
 
