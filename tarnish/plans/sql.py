@@ -42,8 +42,8 @@ ship AS (
 EXPERIMENT = """res AS (
   SELECT 'C' || (c + 1) AS config, CAST(CASE c WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS INTEGER) AS n_fd,
          CAST(step * 8 AS INTEGER) AS level, replica, model,
-         1e0 - cents / (n * 20000e0) - step * 0.02e0 AS f1_clean,
-         1e0 - cents / (n * 20000e0) - step * 0.02e0 - half / (n * 40000e0) AS f1_dirty,
+         1e0 - cents / (n * 20011e0) - step * 0.02e0 AS f1_clean,
+         1e0 - cents / (n * 20011e0) - step * 0.02e0 - half / (n * 40009e0) AS f1_dirty,
          step * (c + 2) / 25e0 + (n % 7) / 1000e0 AS share,
          CAST(CASE WHEN step = 0 THEN 0 ELSE cents * step // 100 END AS BIGINT) AS im,
          CAST(CASE WHEN step = 0 THEN 0 ELSE n * step END AS BIGINT) AS ip,

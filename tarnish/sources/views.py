@@ -121,8 +121,8 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(step * 8 as int)").alias("level"),
         "replica",
         "model",
-        F.expr("1e0 - cents / (n * 20000e0) - step * 0.02e0").alias("f1_clean"),
-        F.expr("1e0 - cents / (n * 20000e0) - step * 0.02e0 - half / (n * 40000e0)").alias("f1_dirty"),
+        F.expr("1e0 - cents / (n * 20011e0) - step * 0.02e0").alias("f1_clean"),
+        F.expr("1e0 - cents / (n * 20011e0) - step * 0.02e0 - half / (n * 40009e0)").alias("f1_dirty"),
         F.expr("step * (c + 2) / 25e0 + (n % 7) / 1000e0").alias("share"),
         F.expr("case when step = 0 then 0 else cents * step div 100 end").cast("bigint").alias("im"),
         F.expr("case when step = 0 then 0 else n * step end").cast("bigint").alias("ip"),
