@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
-def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], values: Sequence[str], size: str, total) -> DataFrame:
+def attach(
+    rows: DataFrame, stats: DataFrame, keys: Sequence[str], values: Sequence[str], size: str, total,
+    identity: str = "row_id",
+) -> DataFrame:
     """Left-join `values` of `stats` (one row per key, `size` = rows behind the key) to `rows`.
 
     Keys owning more than 1/1000 of `total` rows are hot. There are fewer than 1000 of them by
     arithmetic, so their statistics are broadcast, and their rows are spread over the shuffle of the
-    remaining keys by a hash of the whole row instead of meeting in one partition.
+    remaining keys by a hash of the row instead of meeting in one partition: of its identity column where
+    there is one, so that no other column has to be read, else of all columns.
     """
     keys, values = list(keys), list(values)
+    spread = [identity] if identity in rows.columns else rows.columns
     hot_test = F.col(size) * HOT_KEYS > total
     hot = stats.filter(hot_test).select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
     cold = stats.filter(~hot_test).select(*keys, F.lit(0).alias("_slot"), *[F.col(v).alias(f"_cold_{v}") for v in values])
-    slot = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).otherwise(F.lit(0))
+    slot = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0))
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
         .withColumn("_slot", slot.cast("int"))

@@ -97,9 +97,10 @@ def conflict_blocks(df: DataFrame, fds: Sequence[FD], by: Sequence[str] = ()) ->
     All `n` rows of a class conflict with all `later` rows of the classes after it (and with `others`
     rows in total). The sum of n * later is the number of edges, with no pair ever emitted.
     """
+    combos = stage(_counts(df, fds, by))
     parts = []
     for i, fd in enumerate(fds, 1):
-        classes = _classes(_counts(df, [fd], by), fd, by)
+        classes = stage(_classes(combos, fd, by))
         groups = classes.groupBy(*by, *fd.lhs).agg(F.sum("n").alias("g_n"), F.count(F.lit(1)).alias("g_classes"))
         violating = groups.filter("g_classes > 1")
         total = groups.agg(F.sum("g_classes")).scalar()

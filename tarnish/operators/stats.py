@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnish.functions import ranking
 from tarnish.functions.joins import attach
 from tarnish.functions.numeric import safe_ratio, t_two_sided
+from tarnish.session import stage
 
 ALPHA = 0.05
 
@@ -129,6 +130,7 @@ def correlations(df: DataFrame, by: Sequence[str], measures: Sequence[str], metr
     by = list(by)
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])
     long = df.select(*by, F.col(metric).cast("double").alias("y"), F.explode(cells).alias("cell")).select(*by, "y", "cell.*")
+    long = stage(long)
     keys = [*by, "measure"]
     ranked = average_ranks(average_ranks(long, keys, "x", "rx"), keys, "y", "ry")
     grouped = (
