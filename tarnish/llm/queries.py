@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tarnish.llm.decontaminate import decontaminate
 from tarnish.llm.line_dedup import drop_repeated_lines
 from tarnish.llm.packing import pack
+from tarnish.llm.quality import score_quality
 from tarnish.llm.simhash import near_duplicates
 from tarnish.llm.text import documents
+from tarnish.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +70,13 @@ FROM m GROUP BY doc_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
