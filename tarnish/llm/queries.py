@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnish.llm.decontaminate import decontaminate
+from tarnish.llm.fertility import tokenizer_rules
+from tarnish.llm.licenses import scan_licenses
 from tarnish.llm.line_dedup import drop_repeated_lines
 from tarnish.llm.packing import pack
 from tarnish.llm.quality import score_quality
@@ -80,3 +82,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op9_licenses")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir, "doc_id", "text"), with_text=False).drop("blocks")
+
+
+@query("op4_tokenizer_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    rows = documents(spark, sf_dir, "doc_id", "text", "lang")
+    judged = tokenizer_rules(rows, public.path("piece_bpe_32k.model"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return judged.drop("lang")
