@@ -11,11 +11,13 @@ from tarnish.llm.decontaminate import decontaminate
 from tarnish.llm.fertility import tokenizer_rules
 from tarnish.llm.licenses import scan_licenses
 from tarnish.llm.line_dedup import drop_repeated_lines
+from tarnish.llm.maxent import score_texts
 from tarnish.llm.packing import pack
 from tarnish.llm.quality import score_quality
 from tarnish.llm.simhash import near_duplicates
 from tarnish.llm.text import documents
 from tarnish.llm.toxicity import score_toxicity
+from tarnish.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +98,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, "doc_id", "text", "lang")
     judged = tokenizer_rules(rows, public.path("piece_bpe_32k.model"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     return judged.drop("lang")
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "words", "log_odds")
+
+
+@query("op2_maxent_score")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir, "doc_id", "text"))
