@@ -112,3 +112,90 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3) -> DataF
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = stage(rooted.join(lowest, "root").select("fp", "component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+SIGNATURES, WIDE = 2, 4  # 64-bit fingerprints over words for the index, and over shingles for the check
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _majority(hashes: np.ndarray, n: int) -> list[int]:
+    """`n` SimHashes of 64 bits over one set of hashes, each mixed in its own way."""
+    out = []
+    for k in range(n):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * ODD[k]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(mixed), 8192):
+            part = mixed[at : at + 8192]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def marks(text: str | None, width: int) -> list[int]:
+    """Fingerprints of the set of words, then of the set of shingles of `width` words; all 0 without words."""
+    words = lower_spaced_words(text)
+    if not words:
+        return [0] * (SIGNATURES + WIDE)
+    digest = xxhash.xxh64_intdigest
+    single = np.array([digest(w, SEED) for w in set(words)], np.uint64)
+    shingles = {b" ".join(s) for s in zip(*[words[k:] for k in range(width)], strict=False)} or {b" ".join(words)}
+    return _majority(single, SIGNATURES) + _majority(np.array([digest(s, SEED) for s in shingles], np.uint64), WIDE)
+
+
+def most_bits(similarity: float) -> int:
+    """Bits of the wide fingerprint that differ, on average, at a Jaccard similarity of two sets."""
+    return round(64 * WIDE * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(doc_id, text_hash, component, kept) for every row of `docs`: groups of near copies.
+
+    Texts are near copies if the shingles of `width` words are estimated, from 256 bits of SimHash, to
+    have at least `similarity` in common. Candidates share a half of a fingerprint over their words in
+    all but at most one bit. In each bucket of that index all entries are checked against the smallest;
+    those that are not near copies of it go on among themselves, so work stays linear in a bucket of
+    any size. `kept` marks the smallest doc_id of each group (of equal ids, the smallest text hash).
+    Rows with equal fingerprints are one entry. Null and wordless texts are copies of each other. A
+    null doc_id is above all others. Repeated rows share their verdict. An empty table gives an empty table.
+    """
+    limit = most_bits(similarity)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+    def make():
+        return lambda r: {"doc_id": r["doc_id"], "text_hash": r["text_hash"], "marks": [marks(t, width) for t in r["text"]]}
+
+    rows = stage(map_rows(rows, make, "doc_id long, text_hash long, marks array<long>").withColumn("entry", F.xxhash64("marks")))
+    entries = stage(rows.groupBy("entry", "marks").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    variants = F.concat(*[F.transform(_variants(F.col("marks")[k], 2), lambda x, k=k: F.xxhash64(F.lit(k), x["bit"], x["rest"])) for k in range(SIGNATURES)])
+    index = entries.select("entry", F.explode(variants).alias("key"))
+    edges: DataFrame | None = None
+    while True:
+        buckets = stage(index.groupBy("key").agg(F.min("entry").alias("v"), F.max("entry").alias("u"), F.count(F.lit(1)).alias("n")).filter("v < u"))
+        pairs = buckets.filter("n = 2").select(F.col("u").alias("entry"), "v")
+        crowded = stage(index.join(buckets.filter("n > 2").select("key", "v"), "key").filter("entry <> v"))
+        pairs = pairs.unionByName(crowded.select("entry", "v")).distinct()
+        wide = entries.select("entry", F.slice("marks", SIGNATURES + 1, WIDE).alias("wide"))
+        differ = F.zip_with("wide", "wide_v", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        checked = pairs.join(wide, "entry").join(wide.select(F.col("entry").alias("v"), F.col("wide").alias("wide_v")), "v")
+        near = stage(checked.filter(F.aggregate(differ, F.lit(0), lambda x, y: x + y) <= limit).select("entry", "v"))
+        found = near.select(F.col("entry").alias("u"), "v")
+        edges = found if edges is None else edges.unionByName(found)
+        index = stage(crowded.join(near, ["entry", "v"], "left_anti").select("entry", "key"))
+        if index.isEmpty():
+            break
+    roots = components(edges).withColumnRenamed("node", "entry")
+    rooted = entries.select("entry", "first").join(roots, "entry", "left").withColumn("component", F.coalesce("root", "entry")).drop("root")
+    best = rooted.groupBy("component").agg(F.min("first").alias("best"))
+    verdicts = stage(rooted.join(best, "component").select("entry", "component", "best"))
+    kept = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    return rows.join(verdicts, "entry").select("doc_id", "text_hash", "component", kept.alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """`docs` with one row of each group of near copies, see `near_copies`; columns stay as they are."""
+    kept = near_copies(docs, similarity, width).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_hash": F.xxhash64("text")}
+    return docs.withColumns(keys).join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")

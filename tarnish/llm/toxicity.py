@@ -185,7 +185,37 @@ def design(votes: pd.Series, density: pd.Series, n_voters: int) -> np.ndarray:
     return np.hstack([np.ones((len(x), 1)), x, extra])
 
 
-def score_toxicity(
+class ToxicityModel:
+    """Voters, label model and linear classifier; a few thousand numbers."""
+
+    def __init__(self, lexicon: list[str], model: tuple[np.ndarray, np.ndarray, float], weights: np.ndarray):
+        self.lexicon, self.model, self.weights = lexicon, model, weights
+        self.n_voters = len(lexicon) + PATTERNS
+
+    def scores(self, votes: pd.Series, density: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the classifier and of the label model."""
+        x = design(votes, density.clip(upper=50).round(1), self.n_voters)
+        value = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        return value, posterior(x[:, 1 : 1 + self.n_voters], *self.model)
+
+    def keep_clean(self, docs: DataFrame, threshold: float = 0.7) -> DataFrame:
+        """The rows of `docs` whose text scores below `threshold`, as they are and in one pass."""
+
+        def make():
+            voters = Voters(self.lexicon)
+
+            def work(rows):
+                found = [voters(t) for t in rows["text"]]
+                value, _ = self.scores(pd.Series([f[0] for f in found]), pd.Series([f[1] for f in found], dtype=float))
+                clean = np.flatnonzero(value < threshold).tolist()
+                return {c: [v[k] for k in clean] for c, v in rows.items()}
+
+            return work
+
+        return map_rows(docs, make, docs.schema)
+
+
+def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     held_out_fold: int = 1,
@@ -194,18 +224,9 @@ def score_toxicity(
     n_mined: int = 120,
     least: int = 4,
     precision: float = 0.6,
-    threshold: float = 0.7,
     newton_steps: int = 8,
-) -> DataFrame:
-    """(doc_id, held_out, score, predicted, label_model) for every row of `docs`.
-
-    Voters are mined from labels (doc_id, toxic) outside the held-out fold, of at most about
-    `max_labelled` documents chosen by a hash of their id; several labels of one document are averaged
-    and null labels ignored. The label model and the classifier see the votes on all texts outside
-    the held-out fold. Without usable labels only the seed lexicon and the patterns vote. Null and
-    empty texts have no votes and are scored like any other. Repeated rows get the same score each;
-    other columns are not used; an empty table gives an empty table.
-    """
+) -> tuple[ToxicityModel, DataFrame]:
+    """The model, and the votes on every row: (doc_id, votes, density, held_out); see `score_toxicity`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
     known = stage(known.filter(fold(F.col("doc_id"), n_folds) != held_out_fold))
@@ -233,15 +254,26 @@ def score_toxicity(
     steps = F.round(F.least("density", F.lit(50.0)), 1).alias("density")
     patterns = stage(table.filter("not held_out").groupBy("votes", steps).agg(F.count(F.lit(1)).alias("n")))
     prior = float(np.clip(share if share is not None else 0.05, 0.005, 0.5))
-    logs, offs, bias = label_model(patterns, n_voters, prior)
-    weights = _fit(patterns, n_voters, (logs, offs, bias), newton_steps)
+    model = label_model(patterns, n_voters, prior)
+    return ToxicityModel(lexicon, model, _fit(patterns, n_voters, model, newton_steps)), table
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+    """(doc_id, held_out, score, predicted, label_model) for every row of `docs`.
+
+    Voters are mined from labels (doc_id, toxic) outside the held-out fold, of at most about
+    `max_labelled` documents chosen by a hash of their id; several labels of one document are averaged
+    and null labels ignored. The label model and the classifier see the votes on all texts outside
+    the held-out fold. Without usable labels only the seed lexicon and the patterns vote. Null and
+    empty texts have no votes and are scored like any other. Repeated rows get the same score each;
+    other columns are not used; an empty table gives an empty table.
+    """
+    model, table = fit_toxicity(docs, labels, **options)
 
     def score(batches):
         for batch in batches:
-            x = design(batch["votes"], batch["density"].clip(upper=50).round(1), n_voters)
-            value = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            model = posterior(x[:, 1 : 1 + n_voters], logs, offs, bias)
-            yield batch[["doc_id", "held_out"]].assign(score=value, predicted=(value >= threshold).astype(np.int32), label_model=model)
+            value, posteriors = model.scores(batch["votes"], batch["density"])
+            yield batch[["doc_id", "held_out"]].assign(score=value, predicted=(value >= threshold).astype(np.int32), label_model=posteriors)
 
     return table.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int, label_model double")
 
