@@ -48,17 +48,43 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, fp long")
 
 
-def _variants(fp: Column, max_bits: int) -> Column:
-    """Every segment of a fingerprint with one bit taken out: (segment and bit, rest)."""
+def _segments(max_bits: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, bit after the highest, mask) of each segment."""
     n = max_bits // 2 + 1
     cuts = [64 * k // n for k in range(n + 1)]
-    out = []
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        mask = ((1 << (high - low)) - 1) << low
-        for bit in range(low, high):
-            rest = mask & ~(1 << bit)
-            out.append(F.struct(F.lit(bit).alias("bit"), fp.bitwiseAND(F.lit(rest - (1 << 64) if rest >> 63 else rest)).alias("rest")))
-    return F.array(*out)
+    return [(low, high, ((1 << (high - low)) - 1) << low) for low, high in zip(cuts, cuts[1:], strict=False)]
+
+
+def _masked(fp: Column, mask: int) -> Column:
+    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
+def _variants(fp: Column, max_bits: int) -> Column:
+    """Every segment of a fingerprint with one bit taken out: (the bit, the rest of its segment)."""
+    return F.array(
+        *[
+            F.struct(F.lit(bit).alias("bit"), _masked(fp, mask & ~(1 << bit)).alias("rest"))
+            for low, high, mask in _segments(max_bits)
+            for bit in range(low, high)
+        ]
+    )
+
+
+def _members(entries: DataFrame, buckets: DataFrame, fp: str, max_bits: int) -> DataFrame:
+    """Rows of `entries` in each of some `buckets` (bit, rest, ...), by whole segments.
+
+    A bucket holds two values of its segment, one for either state of its bit. So the entries need one
+    row for each segment, not one for each variant, to find the buckets that they are in.
+    """
+    segments = _segments(max_bits)
+    whole = F.array(*[F.struct(F.lit(k).alias("segment"), _masked(F.col(fp), m).alias("value")) for k, (_, _, m) in enumerate(segments)])
+    place = F.lit(0)
+    for low, _, _ in segments[1:]:
+        place = place + (F.col("bit") >= low).cast("int")
+    set_bit = F.expr("shiftleft(1L, bit)")
+    values = buckets.withColumn("segment", place).withColumn("value", F.explode(F.array("rest", F.col("rest").bitwiseOR(set_bit))))
+    parts = entries.withColumn("_x", F.explode(whole)).select(*entries.columns, "_x.segment", "_x.value")
+    return parts.join(values, ["segment", "value"]).drop("segment", "value")
 
 
 def _flips(fp: Column, bits: int) -> Column:
@@ -85,12 +111,14 @@ def links(distinct: DataFrame, max_bits: int = 2, bucket: int = 32) -> DataFrame
         .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("v"), F.max("fp").alias("u"))
         .filter("n > 1")
     )
-    entries = index.join(buckets.filter((F.col("n") > 2) & (F.col("n") <= bucket)).select("bit", "rest"), ["bit", "rest"])
+    crowd = _members(distinct.select("fp"), buckets.filter("n > 2").select("bit", "rest", "n"), "fp", max_bits)
+    crowd = stage(crowd)
+    some = crowd.filter(F.col("n") <= bucket)
     pairs = buckets.filter("n = 2").select("u", "v").unionByName(
-        entries.withColumnRenamed("fp", "u").join(entries.withColumnRenamed("fp", "v"), ["bit", "rest"]).filter("v < u").select("u", "v")
+        some.select("bit", "rest", F.col("fp").alias("u")).join(some.select("bit", "rest", F.col("fp").alias("v")), ["bit", "rest"]).filter("v < u").select("u", "v")
     )
     near = pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-    crowded = index.join(buckets.filter(F.col("n") > bucket).select("bit", "rest"), ["bit", "rest"], "left_semi").select("fp").distinct()
+    crowded = crowd.filter(F.col("n") > bucket).select("fp").distinct()
     reached = stage(crowded).select("fp", F.explode(_flips(F.col("fp"), max_bits // 2)).alias("x"))
     centres = reached.groupBy("x").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     stars = reached.join(centres, "x").filter("fp <> v").select(F.col("fp").alias("u"), "v")
@@ -169,13 +197,20 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
 
     rows = stage(map_rows(rows, make, "doc_id long, text_hash long, marks array<long>").withColumn("entry", F.xxhash64("marks")))
     entries = stage(rows.groupBy("entry", "marks").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
-    variants = F.concat(*[F.transform(_variants(F.col("marks")[k], 2), lambda x, k=k: F.xxhash64(F.lit(k), x["bit"], x["rest"])) for k in range(SIGNATURES)])
-    index = entries.select("entry", F.explode(variants).alias("key"))
+    signed = F.array(*[F.struct(F.lit(k).alias("sign"), F.col("marks")[k].alias("fp")) for k in range(SIGNATURES)])
+    signs = entries.select("entry", F.explode(signed).alias("x")).select("entry", "x.sign", "x.fp")
+    index = signs.select("entry", "sign", F.explode(_variants(F.col("fp"), 2)).alias("x")).select("entry", "sign", "x.bit", "x.rest")
     edges: DataFrame | None = None
     while True:
-        buckets = stage(index.groupBy("key").agg(F.min("entry").alias("v"), F.max("entry").alias("u"), F.count(F.lit(1)).alias("n")).filter("v < u"))
+        buckets = index.groupBy("sign", "bit", "rest").agg(F.min("entry").alias("v"), F.max("entry").alias("u"), F.count(F.lit(1)).alias("n"))
+        buckets = stage(buckets.filter("v < u"))
         pairs = buckets.filter("n = 2").select(F.col("u").alias("entry"), "v")
-        crowded = stage(index.join(buckets.filter("n > 2").select("key", "v"), "key").filter("entry <> v"))
+        many = buckets.filter("n > 2").select("sign", "bit", "rest", "v")
+        if edges is None:
+            crowded = _members(signs, many.withColumnRenamed("sign", "of"), "fp", 2).filter("sign = of").drop("of", "fp")
+        else:
+            crowded = index.join(many, ["sign", "bit", "rest"])
+        crowded = stage(crowded.filter("entry <> v"))
         pairs = pairs.unionByName(crowded.select("entry", "v")).distinct()
         wide = entries.select("entry", F.slice("marks", SIGNATURES + 1, WIDE).alias("wide"))
         differ = F.zip_with("wide", "wide_v", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
@@ -183,7 +218,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
         near = stage(checked.filter(F.aggregate(differ, F.lit(0), lambda x, y: x + y) <= limit).select("entry", "v"))
         found = near.select(F.col("entry").alias("u"), "v")
         edges = found if edges is None else edges.unionByName(found)
-        index = stage(crowded.join(near, ["entry", "v"], "left_anti").select("entry", "key"))
+        index = stage(crowded.join(near, ["entry", "v"], "left_anti").select("entry", "sign", "bit", "rest"))
         if index.isEmpty():
             break
     roots = components(edges).withColumnRenamed("node", "entry")
