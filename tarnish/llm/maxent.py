@@ -1,14 +1,16 @@
 """Operator 2: language-model scores from a hashed maximum-entropy model.
 
 Each word belongs to one class: the most frequent words have one of their own, the others share one
-with words of the same ending. The class of the next word is a softmax over hashed features: the word
-before, the pair before, and two skips further back. Inside a class, words have their smoothed share.
+with words of the same ending. The class of the next word comes from two softmaxes, one over groups of
+classes and one inside the group, over hashed features: the word before, the pair before, and two skips
+further back. Inside a class, words have their smoothed share.
 All weights are trained by gradient steps inside tasks, averaged over the tasks after each round; all
 training texts take part in one round. Counts of all words come from one aggregation.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 
@@ -26,14 +28,15 @@ SMOOTH = 0.1
 END = b""  # the token after the last word; no word is empty
 SINGLES, ENDINGS, OTHERS = 32, 56, 8
 CLASSES = SINGLES + ENDINGS + OTHERS
+GROUPS, IN_GROUP = 8, 12  # a class is a group and a place in it; each has its own softmax
 # Rows of weights by feature: word before, second before, pair before, third before.
 SIZES = (4096, 2048, 4096, 2048)
 STARTS = tuple(int(x) for x in np.cumsum((0, *SIZES[:-1])))
 ROWS = sum(SIZES)
-CHUNK = 4096
+CHUNK = 16_384
 FLUSH = 200_000
 CACHE = 300_000
-BLOCK = 64  # rows of weights that are averaged together
+BLOCKS = 64  # parts in which weights are averaged
 
 
 class WordCounts:
@@ -83,18 +86,17 @@ class Vocabulary:
         if len(ids) > CACHE:
             self._clear()
             ids = self.ids
-        out = [ids.get(w, -1) for w in words]
-        if -1 in out:
-            new = [w for w in dict.fromkeys(w for w, k in zip(words, out, strict=True) if k < 0)]
-            for w in new:
-                ids[w] = len(self.words)
-                self.words.append(w)
-            self.classes = np.append(self.classes, np.array([self.class_of(w) for w in new], np.int32))
-            self.hashes = np.append(self.hashes, np.array([zlib.crc32(w) for w in new], np.int64))
-            logs = [np.log10(n + SMOOTH) if (n := self.counts.get(w)) else np.nan for w in new]
-            self.logs = np.append(self.logs, logs)
-            out = [ids[w] for w in words]
-        return np.array(out, np.int64)
+        try:
+            return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            new = [w for w in dict.fromkeys(words) if w not in ids]
+        for w in new:
+            ids[w] = len(self.words)
+            self.words.append(w)
+        self.classes = np.append(self.classes, np.array([self.class_of(w) for w in new], np.int32))
+        self.hashes = np.append(self.hashes, np.array([zlib.crc32(w) for w in new], np.int64))
+        self.logs = np.append(self.logs, [np.log10(n + SMOOTH) if (n := self.counts.get(w)) else np.nan for w in new])
+        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
 
 
 def tokens(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -116,97 +118,140 @@ def contexts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     back = [np.where(place >= k, np.concatenate((np.full(min(k, n), end), hashes[: max(0, n - k)])), end) for k in (1, 2, 3)]
     pair = (back[0] * 0x9E3779B1 + back[1] * 0x85EBCA6B) >> 7
     features = (back[0], back[1], pair, back[2])
-    return np.stack([start + (f ^ (f >> 15)) % size for start, f, size in zip(STARTS, features, SIZES, strict=True)], axis=1)
+    return np.stack([start + (f ^ (f >> 15)) % size for start, f, size in zip(STARTS, features, SIZES, strict=True)])
 
 
-def logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        out += weights[rows[:, k]]
-    out += bias
-    return out
+class Weights:
+    """Weights of both softmaxes, class by class, with the mean squared gradients of each row."""
+
+    def __init__(self):
+        self.group, self.inner = np.zeros((GROUPS, ROWS), np.float32), np.zeros((IN_GROUP, ROWS * GROUPS), np.float32)
+        self.group_squares, self.inner_squares = np.zeros(ROWS, np.float32), np.zeros(ROWS * GROUPS, np.float32)
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """All of it, with the rows last."""
+        return self.group, self.group_squares[None], self.inner, self.inner_squares[None]
+
+
+def softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Exponentials of the summed weights, class by token; not yet divided by their sum."""
+    z = np.take(weights, rows[0], axis=1)
+    for r in rows[1:]:
+        z += np.take(weights, r, axis=1)
+    z += bias if bias.ndim > 1 else bias[:, None]
+    return np.exp(z, out=z)
+
 
+def biases(bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups, and of classes inside each group (place by group), from the log share of every class."""
+    by_group = bias.reshape(GROUPS, IN_GROUP)
+    groups = np.log(np.exp(by_group).sum(axis=1))
+    return groups.astype(np.float32), np.ascontiguousarray((by_group - groups[:, None]).T, np.float32)
 
-def log_classes(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+
+def log_classes(bias: np.ndarray, weights: Weights, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """log10 probability of each token's class after its context."""
+    groups_bias, inner_bias = biases(bias)
     out = np.empty(len(classes))
     for at in range(0, len(classes), CHUNK):
         part = slice(at, at + CHUNK)
-        z = logits(bias, weights, rows[part])
-        chosen = z[np.arange(len(z)), classes[part]]
-        np.exp(z, out=z)
-        out[part] = (chosen - np.log(z.sum(axis=1))) / np.log(10)
+        group, inner = np.divmod(classes[part], IN_GROUP)
+        each = np.arange(len(group))
+        z = softmax(groups_bias, weights.group, rows[:, part])
+        y = softmax(inner_bias[:, group], weights.inner, rows[:, part] * GROUPS + group)
+        out[part] = np.log10(z[group, each] / z.sum(axis=0)) + np.log10(y[inner, each] / y.sum(axis=0))
     return out
 
 
 class Trainer:
     """Adaptive gradient steps on one task's share of the texts, from the shared weights."""
 
-    def __init__(self, vocabulary: Vocabulary, bias: np.ndarray, weights: np.ndarray, squares: np.ndarray, rate: float):
-        self.vocabulary, self.bias, self.rate = vocabulary, bias, rate
-        self.weights, self.squares = weights.copy(), squares.copy()
-        self.touched = np.zeros(ROWS)
+    def __init__(self, vocabulary: Vocabulary, bias: np.ndarray, weights: Weights, rate: float):
+        self.vocabulary, self.weights, self.rate = vocabulary, weights, rate
+        self.bias, self.inner_bias = biases(bias)
+        self.touched = np.zeros(ROWS), np.zeros(ROWS * GROUPS)
 
     def __call__(self, columns):
         words, starts = tokens(columns["text"])
         ids = self.vocabulary(words)
         rows, classes = contexts(self.vocabulary.hashes[ids], starts), self.vocabulary.classes[ids]
         for at in range(0, len(classes), CHUNK):
-            self._step(rows[at : at + CHUNK], classes[at : at + CHUNK])
-
-    def _step(self, rows, classes):
-        z = logits(self.bias, self.weights, rows)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), classes] -= 1
-        for k in range(rows.shape[1]):
-            order = np.argsort(rows[:, k], kind="stable")
-            sorted_rows = rows[order, k]
-            first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-            hit = sorted_rows[first]
-            gradient = np.add.reduceat(z[order], first, axis=0)
-            self.squares[hit] += np.square(gradient).mean(axis=1)
-            self.weights[hit] -= gradient * (self.rate / np.sqrt(self.squares[hit] + 1.0))[:, None]
-            self.touched[hit] += np.diff(np.append(first, len(sorted_rows)))
+            part = slice(at, at + CHUNK)
+            group, inner = np.divmod(classes[part], IN_GROUP)
+            w = self.weights
+            self._step(w.group, w.group_squares, self.touched[0], self.bias, rows[:, part], group, 1)
+            self._step(w.inner, w.inner_squares, self.touched[1], self.inner_bias[:, group], rows[:, part] * GROUPS + group, inner, GROUPS)
+
+    def _step(self, weights, squares, touched, bias, rows, target, width):
+        error = softmax(bias, weights, rows)
+        error /= error.sum(axis=0)
+        error[target, np.arange(len(target))] -= 1
+        for start, size, r in zip(STARTS, SIZES, rows, strict=True):
+            # Gradients of one feature are dense: its rows are few, and a chunk has many tokens.
+            own = slice(start * width, (start + size) * width)
+            place = r - start * width
+            gradient = np.stack([np.bincount(place, e, size * width) for e in error]).astype(np.float32)
+            squares[own] += np.square(gradient).mean(axis=0)
+            gradient *= self.rate / np.sqrt(squares[own] + 1)
+            weights[:, own] -= gradient
+            touched[own] += np.bincount(place, minlength=size * width)
 
     def flush(self):
-        blocks = np.flatnonzero(self.touched.reshape(-1, BLOCK).any(axis=1))
-        state = np.column_stack([self.weights, self.squares, self.touched]).astype(np.float32).reshape(-1, BLOCK, CLASSES + 2)
-        return {"block": blocks.tolist(), "state": [state[b].tobytes() for b in blocks]}
+        """Blocks of rows that any token touched: weights, squares and how often, as numbers of 32 bits."""
+        parts = (*self.weights.parts(), self.touched[0][None], self.touched[1][None])
+        blocks = [b for b in range(BLOCKS) if self.touched[0][_rows(b, ROWS)].any()]
+        return {"block": blocks, "state": [b"".join(p[:, _rows(b, p.shape[1])].astype("<f4").tobytes() for p in parts) for b in blocks]}
+
+
+def _rows(block: int, n: int) -> slice:
+    return slice(block * n // BLOCKS, (block + 1) * n // BLOCKS)
+
+
+def _unpacked(state: bytes) -> list[np.ndarray]:
+    """Group weights, their squares, inner weights, their squares, and how often rows of both were touched."""
+    n = ROWS // BLOCKS
+    shapes = [(GROUPS, n), (1, n), (IN_GROUP, n * GROUPS), (1, n * GROUPS), (1, n), (1, n * GROUPS)]
+    cuts = np.cumsum([a * b for a, b in shapes])[:-1]
+    return [x.reshape(s) for x, s in zip(np.split(np.frombuffer(state, "<f4"), cuts), shapes, strict=True)]
 
 
 def _average(frame: pd.DataFrame) -> pd.DataFrame:
     """Weights and squares of a block, averaged by how many tokens of a task touched each row."""
-    total, seen = 0.0, 0.0
-    for data in frame["state"]:
-        state = np.frombuffer(data, np.float32).reshape(BLOCK, CLASSES + 2).astype(float)
-        total, seen = total + state[:, :-1] * state[:, -1:], seen + state[:, -1:]
-    mean = total / np.maximum(seen, 1e-9)
-    data = np.hstack([mean, seen]).astype(np.float32).tobytes()
+    total = None
+    for state in frame["state"]:
+        *values, group, inner = _unpacked(state)
+        weighted = [v * (group if k < 2 else inner).astype(float) for k, v in enumerate(values)] + [group.astype(float), inner.astype(float)]
+        total = weighted if total is None else [a + b for a, b in zip(total, weighted, strict=True)]
+    *sums, group, inner = total
+    mean = [v / np.maximum(group if k < 2 else inner, 1e-9) for k, v in enumerate(sums)]
+    data = b"".join(v.astype("<f4").tobytes() for v in (*mean, group, inner))
     return pd.DataFrame({"block": frame["block"].iloc[:1], "state": [data]})
 
 
-def train(docs: DataFrame, singles, endings, bias: np.ndarray, rounds: int, rate: float) -> np.ndarray:
+def train(docs: DataFrame, singles, endings, bias: np.ndarray, rounds: int, rate: float) -> Weights:
     """Weights after one pass over all of `docs`, a share of them in each round."""
     spark = docs.sparkSession
-    weights, squares = np.zeros((ROWS, CLASSES), np.float32), np.zeros(ROWS)
+    weights = Weights()
     tasks = 4 * spark.sparkContext.defaultParallelism  # each returns at most one set of weights
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, squares))
-        make = lambda shared=shared: Trainer(Vocabulary(singles, endings), bias, *shared.value, rate)
+        shared = spark.sparkContext.broadcast(weights)
+
+        def make(shared=shared):
+            return Trainer(Vocabulary(singles, endings), bias, copy.deepcopy(shared.value), rate)
+
         part = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text").coalesce(tasks)
-        states = map_rows(part, make, "block int, state binary", 200).groupBy("block").applyInPandas(_average, "block int, state binary")
-        weights, squares = weights.copy(), squares.copy()
-        for r in states.collect():
-            state = np.frombuffer(r["state"], np.float32).reshape(BLOCK, CLASSES + 2)
-            rows = r["block"] * BLOCK + np.flatnonzero(state[:, -1])
-            weights[rows], squares[rows] = state[state[:, -1] > 0, :CLASSES], state[state[:, -1] > 0, CLASSES]
+        states = map_rows(part, make, "block int, state binary", 500).groupBy("block").applyInPandas(_average, "block int, state binary")
+        for r in states.collect():  # one set of weights in all
+            *values, group, inner = _unpacked(r["state"])
+            for j, (whole, new) in enumerate(zip(weights.parts(), values, strict=True)):
+                seen = np.flatnonzero((group if j < 2 else inner)[0])
+                whole[:, _rows(r["block"], whole.shape[1])][:, seen] = new[:, seen]
         shared.unpersist()
     return weights
 
 
 def score_texts(
-    docs: DataFrame, held_out_fold: int = 0, n_folds: int = 10, n_head: int = 65_536, rounds: int = 3, rate: float = 0.5
+    docs: DataFrame, held_out_fold: int = 0, n_folds: int = 10, n_head: int = 65_536, rounds: int = 3, rate: float = 0.25
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`.
 
@@ -266,7 +311,7 @@ def score_texts(
         return work
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, model_log double, tail array<string>"
-    scored = stage(map_rows(docs, make, schema, 200))
+    scored = stage(map_rows(docs, make, schema, 500))
     # Rare words only: each is a small share of all tokens, so no key of this join is hot.
     rare = scored.select("row", F.explode("tail").alias("word")).join(counts.filter(F.col("n") < least_count(counts, n_head)), "word", "left")
     rare = rare.groupBy("row").agg(

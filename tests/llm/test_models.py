@@ -11,7 +11,7 @@ import pytest
 from tarnish.llm.fertility import band, tokenizer_rules
 from tarnish.llm.frequent import least_count, most_frequent
 from tarnish.llm.gram import summed
-from tarnish.llm.maxent import CLASSES, Vocabulary, contexts, log_classes, score_texts, tokens
+from tarnish.llm.maxent import CLASSES, Vocabulary, Weights, contexts, log_classes, score_texts, tokens
 from tarnish.llm.quality import isotonic, score_quality, statistics
 from tarnish.llm.toxicity import correlated, fit_toxicity, score_toxicity
 from tarnish.llm.urls import Segmenter, host_of, judge_urls, path_of
@@ -143,9 +143,12 @@ def test_class_probabilities_sum_to_one():
     words, starts = tokens(["one two abc", None, "two one"])
     ids = vocabulary(words)
     rows = contexts(vocabulary.hashes[ids], starts)
-    assert (rows[3] != rows[4]).any() and (rows[4] == rows[5]).all() and len(words) == 8
-    weights, bias = rng.normal(size=(12288, CLASSES)).astype(np.float32) / 9, rng.normal(size=CLASSES).astype(np.float32)
-    total = sum(10 ** log_classes(bias, weights, rows, np.full(len(rows), c)) for c in range(CLASSES))
+    assert (rows[:, 3] != rows[:, 4]).any() and (rows[:, 4] == rows[:, 5]).all() and len(words) == 8
+    weights, bias = Weights(), rng.normal(size=CLASSES).astype(np.float32)
+    bias -= np.log(np.exp(bias).sum())
+    for part in weights.parts():
+        part[:] = rng.normal(size=part.shape) / 9
+    total = sum(10 ** log_classes(bias, weights, rows, np.full(rows.shape[1], c)) for c in range(CLASSES))
     assert np.allclose(total, 1, atol=1e-4)
 
 
