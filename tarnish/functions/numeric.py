@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,30 +49,62 @@ def t_two_sided(t: str, df: str) -> Column:
     return F.expr(t_two_sided_sql(t, df))
 
 
-def g6_sql(v: str, text: str = "string") -> str:
-    """SQL text of a number with six significant digits, trailing zeros dropped (the C format %g).
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _rest(v: Column, scale: Column, product: Column) -> Column:
+    """v * scale - product, exactly: both factors are split in halves of 26 bits."""
+
+    def halves(x: Column) -> Column:
+        big = bound(x * F.lit(134217729e0), lambda c: c - (c - x))
+        return bound(big, lambda high: F.struct(high.alias("high"), (x - high).alias("low")))
+
+    def error(a: Column, b: Column) -> Column:
+        cross = (a["high"] * b["high"] - product) + a["high"] * b["low"] + a["low"] * b["high"]
+        return cross + a["low"] * b["low"]
+
+    return bound(halves(v), lambda a: bound(halves(scale), lambda b: error(a, b)))
+
 
-    `text` is the dialect's string type.
+def scaled_whole(v: Column, power: Column) -> Column:
+    """v * 10^power (v >= 0) rounded to a whole number as its exact binary value asks for, halves to even.
+
+    Where the product (for a negative power, the quotient) looks like a half, its exact remainder decides.
     """
-    raw = f"cast(floor(log10(abs({v}))) AS int)"
-    # rounding to six digits can reach the next power of ten
-    exponent = f"cast(floor(log10(abs(round({v} * pow(10e0, 5 - {raw})) / pow(10e0, 5 - {raw})))) AS int)"
-    rounded = f"(round({v} * pow(10e0, 5 - {exponent})) / pow(10e0, 5 - {exponent}))"
-    mantissa = f"(round({v} * pow(10e0, 5 - {exponent})) / 100000e0)"
+    step = F.pow(F.lit(10e0), F.abs(power))
 
-    def bare(x: str) -> str:
-        return f"regexp_replace(cast(cast({x} AS decimal(20,10)) AS {text}), '[.]?0+$', '')"
+    def decided(product: Column, scale: Column) -> Column:
+        down = F.floor(product).cast("double")
+        rest = F.when(power < 0, v - (down + 0.5) * scale).otherwise(_rest(v, scale, product))
+        half = F.when(rest > 0, down + 1).when(rest < 0, down).otherwise(down + down % 2)
+        return F.when(product - down == 0.5, half).otherwise(F.floor(product + 0.5).cast("double"))
 
-    sign = f"CASE WHEN {exponent} < 0 THEN '-' ELSE '+' END"
-    size = f"cast(abs({exponent}) AS {text})"
-    digits = f"lpad({size}, CASE WHEN length({size}) > 2 THEN cast(length({size}) AS int) ELSE 2 END, '0')"
-    return (
-        f"(CASE WHEN {v} IS NULL THEN '' WHEN {v} = 0 THEN '0' "
-        f"WHEN abs({v}) >= 0.0001e0 AND abs({v}) < 999999.5e0 THEN {bare(rounded)} "
-        f"ELSE {bare(mantissa)} || 'e' || {sign} || {digits} END)"
-    )
+    product = lambda scale: F.when(power < 0, v / scale).otherwise(v * scale)
+    return bound(step, lambda scale: bound(product(scale), lambda x: decided(x, scale)))
 
 
 def g6(name: str) -> Column:
-    """A numeric column as %g text; NULL becomes the empty string."""
-    return F.expr(g6_sql(f"cast(`{name}` AS double)"))
+    """A numeric column as text with six significant digits, trailing zeros dropped (the C format %g); NULL is empty."""
+    v = F.col(f"`{name}`").cast("double")
+
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(x.cast("decimal(20,10)").cast("string"), "[.]?0+$", "")
+
+    def text(size: Column, exponent: Column, digits: Column) -> Column:
+        sign = F.when(exponent < 0, "-").otherwise("+")
+        power = F.when(F.abs(exponent) < 10, F.concat(F.lit("0"), F.abs(exponent).cast("string"))).otherwise(F.abs(exponent).cast("string"))
+        plain = bare(digits / F.pow(F.lit(10e0), 5 - exponent))
+        return F.when((exponent >= -4) & (exponent < 6), plain).otherwise(F.concat(bare(digits / 1e5), F.lit("e"), sign, power))
+
+    def rounded(size: Column, raw: Column) -> Column:
+        # Rounding to six digits can reach the next power of ten.
+        digits = scaled_whole(size, 5 - raw)
+        return bound(digits, lambda d: F.when(d >= 1e6, text(size, raw + 1, F.lit(1e5))).otherwise(text(size, raw, d)))
+
+    def shown(size: Column) -> Column:
+        return bound(F.floor(F.log10(size)).cast("int"), lambda raw: rounded(size, raw))
+
+    minus = F.when(v < 0, "-").otherwise("")
+    return F.when(v.isNull(), "").when(v == 0, "0").otherwise(F.concat(minus, bound(F.abs(v), shown)))

@@ -8,6 +8,7 @@ offset, and only rows of one bucket are ever sorted together.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +18,13 @@ from tarnish.functions.hashing import bucket
 from tarnish.session import stage
 
 
+def join_nullable(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL is a value like any other, with the columns of `other` besides its keys."""
+    renamed = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+    return rows.join(renamed, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, tie: str, out: str, weight: Column | None = None
 ) -> DataFrame:
@@ -28,9 +36,9 @@ def running_total(
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_bucket.select(*keys, "_b", F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_off"))
     inside = W.partitionBy(*keys, "_b").orderBy(order, tie).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     return (
-        rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_b"])
+        join_nullable(placed, offsets, [*keys, "_b"])
         .withColumn(out, F.col("_off") + F.col("_in"))
         .drop("_w", "_b", "_off", "_in")
     )
@@ -50,9 +58,9 @@ def ordered_total(df: DataFrame, keys: Sequence[str], order: str, out: str, weig
     before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(*keys, "_p", F.coalesce(F.sum("_pw").over(before), F.lit(0)).alias("_off"))
     inside = W.partitionBy(*keys, "_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
     return (
-        rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_p"])
+        join_nullable(placed, offsets, [*keys, "_p"])
         .withColumn(out, F.col("_off") + F.col("_in"))
         .drop("_w", "_p", "_off", "_in")
     )
@@ -85,7 +93,7 @@ def cutoffs(
     )
     inside = W.partitionBy(*strata, "_b").orderBy("_h", "_t")
     found = (
-        rows.join(edge, [*strata, "_b"])
+        join_nullable(rows, edge, [*strata, "_b"])
         .withColumn("_r", F.row_number().over(inside))
         .filter(F.col("_r") == F.col("_rest"))
         .select(*strata, F.col("_h").alias("cut"), F.col("_t").alias("cut_tie"))
@@ -114,7 +122,7 @@ def flag_smallest(
     cuts = cutoffs(df, strata, order, tie, quota)
     if strata:
         return (
-            df.join(cuts, list(strata), "left")
+            join_nullable(df, cuts, list(strata), "left")
             .withColumn(out, within(F.col(order), F.col(tie)))
             .drop("n", "k", "cut", "cut_tie")
         )

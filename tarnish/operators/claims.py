@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection
 from functools import reduce
 
@@ -15,21 +16,27 @@ CONTEXT = 90
 TOLERANCE = 0.0002
 RELATIVE = 1e-4
 
-# Numbers that belong to any report and need no source.
-CONTEXT_NUMBERS = (
-    0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 40.0, 0.001, 0.01,
-    30000.0, 8090.0, 6472.0, 6470.0, 2025.0, 2026.0,
-)
 
+def joined_numbers(text: Column, decimal: str) -> Column:
+    """The text without the blanks that stand between a decimal sign and the digits around it."""
+    return F.regexp_replace(text, rf"(?<=[0-9])\s?\{decimal}\s?(?=[0-9])", decimal)
 
-def claim_pattern(decimal: str = ",", thousands: str = ".") -> str:
-    """Regex of a decimal number in running text: 1 whole part, 2 decimals.
 
-    A number is not part of a longer run of digits and decimal signs; one blank may stand on either side
-    of the decimal sign.
+def number_value(token: Column, decimal: str, thousands: str) -> Column:
+    """The value of a run of digits and signs by the grammar below, else NULL.
+
+    number := whole decimal-sign fraction; fraction := 1 to 4 digits; whole := digits, or a group of 1 to 3
+    digits followed by groups of exactly 3, with a thousands sign before each. Thousands signs at both ends
+    of the run are punctuation of the sentence and do not count.
     """
-    d, t = f"\\{decimal}", f"\\{thousands}"
-    return rf"(?<![0-9{d}])([0-9]{{1,3}}(?:{t}[0-9]{{3}})*|[0-9]+)\s?{d}\s?([0-9]{{1,4}})(?![0-9{d}])"
+    halves = F.split(F.btrim(token, F.lit(thousands)), f"\\{decimal}", -1)
+    fraction, groups = F.get(halves, F.lit(1)), F.split(F.get(halves, F.lit(0)), f"\\{thousands}", -1)
+    rest = F.slice(groups, 2, F.size(groups))
+    grouped = (F.char_length(F.get(groups, F.lit(0))) <= 3) & F.forall(rest, lambda g: F.char_length(g) == 3)
+    short = F.char_length(fraction).between(1, 4) & ~F.contains(fraction, F.lit(thousands))
+    filled = F.forall(groups, lambda g: F.char_length(g) > 0)
+    ok = (F.size(halves) == 2) & short & filled & ((F.size(groups) == 1) | grouped)
+    return F.when(ok, F.concat(F.array_join(groups, ""), F.lit("."), fraction).try_cast("double"))
 
 
 def extract_claims(
@@ -37,34 +44,28 @@ def extract_claims(
 ) -> DataFrame:
     """One row per number: (doc_id, claim_no, value, context), the context reaching 90 characters to each side.
 
-    The numbers and the text between them come from one extraction and one split. A context is put
-    together from the nearest of these pieces: a number has at least three characters, so 30 numbers
-    fill 90 characters and the work per number is bounded, however long the text.
+    Texts are cut into runs of digits and signs and the gaps between them, and each run is read by
+    `number_value`. A context is put together from the nearest of these pieces: a run and a gap have at
+    least one character each, so 45 of both fill 90 characters and the work per number is bounded,
+    however long the text.
     """
-    pattern = F.lit(claim_pattern(decimal, thousands))
-    reach = CONTEXT // 3
-    cut = docs.select(
-        F.col(doc_id),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("numbers"),
-        F.split(text, claim_pattern(decimal, thousands), -1).alias("gaps"),
-    ).filter(F.size("numbers") > 0)
+    signs = rf"[0-9\{decimal}\{thousands}]+"
+    reach = CONTEXT // 2
+    whole = docs.select(F.col(doc_id), joined_numbers(F.col(text), decimal).alias("text"))
+    cut = whole.select(
+        doc_id, F.regexp_extract_all("text", F.lit(signs), F.lit(0)).alias("numbers"), F.split("text", signs, -1).alias("gaps")
+    )
+    read = F.transform("numbers", lambda t, i: F.struct(i.alias("at"), number_value(t, decimal, thousands).alias("value")))
+    hits = cut.withColumn("hits", F.filter(read, lambda h: h["value"].isNotNull())).filter(F.size("hits") > 0)
     shown = F.expr(f"""
-        transform(sequence(0, size(numbers) - 1), i -> struct(
-            numbers[i] AS number,
-            right(concat(
-                array_join(transform(sequence(greatest(0, i - {reach}), i), j ->
-                    concat(if(j > greatest(0, i - {reach}), numbers[j - 1], ''), right(gaps[j], {CONTEXT}))), '')),
-                {CONTEXT}) AS before,
-            left(array_join(transform(sequence(i, least(size(numbers) - 1, i + {reach})), j ->
-                    concat(if(j > i, numbers[j], ''), left(gaps[j + 1], {CONTEXT}))), ''), {CONTEXT}) AS after))""")
-    found = cut.select(doc_id, F.posexplode(shown).alias("claim_no", "c"))
-    # translate maps the decimal sign to a point and drops the thousands sign, which has no counterpart
-    plain = F.translate(F.regexp_replace("c.number", r"\s", ""), decimal + thousands, ".")
+        transform(hits, h -> struct(h.value AS value, numbers[h.at] AS number,
+            right(array_join(transform(sequence(greatest(0, h.at - {reach}), h.at), j ->
+                concat(if(j > greatest(0, h.at - {reach}), numbers[j - 1], ''), right(gaps[j], {CONTEXT}))), ''), {CONTEXT}) AS before,
+            left(array_join(transform(sequence(h.at, least(size(numbers) - 1, h.at + {reach})), j ->
+                concat(if(j > h.at, numbers[j], ''), left(gaps[j + 1], {CONTEXT}))), ''), {CONTEXT}) AS after))""")
+    found = hits.select(doc_id, F.posexplode(shown).alias("claim_no", "c"))
     context = F.concat(F.col("c.before"), F.col("c.number"), F.col("c.after"))
-    return found.select(
-        doc_id, "claim_no", plain.try_cast("double").alias("value"),
-        F.trim(F.regexp_replace(context, r"\s+", " ")).alias("context"),
-    ).filter("value IS NOT NULL")
+    return found.select(doc_id, "claim_no", "c.value", F.trim(F.regexp_replace(context, r"\s+", " ")).alias("context"))
 
 
 def publish(tables: dict[str, DataFrame]) -> DataFrame:
@@ -94,36 +95,37 @@ def _slot(v: Column, tolerance: float) -> Column:
     """Integer slots in which two values within the tolerance are equal or neighbours.
 
     Up to the turning point the tolerance is absolute and slots have its width; beyond, it is relative
-    and slots are logarithmic.
+    and slots are logarithmic, just as wide as the tolerance reaches downwards.
     """
     turn = tolerance / RELATIVE
     size = F.abs(v)
-    far = turn / tolerance + F.log(F.greatest(size, F.lit(turn)) / turn) / RELATIVE
-    scaled = F.when(size <= turn, size / tolerance).otherwise(far)
-    return F.floor(F.signum(v) * scaled / 1.01).cast("bigint")
+    far = turn / tolerance + F.log(F.greatest(size, F.lit(turn)) / turn) / -math.log1p(-RELATIVE)
+    return F.floor(F.signum(v) * F.when(size <= turn, size / tolerance).otherwise(far)).cast("bigint")
 
 
 def reconcile_values(claimed: DataFrame, published: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Distinct claimed values with `supported`: an accepted form lies within max(tolerance, |v| / 10,000).
 
-    The band join is an equality on slots; both sides are distinct values, so no slot is crowded by a
-    number that is cited or published often.
+    The band join is an equality on slots as wide as the tolerance. Of a slot only its smallest and its
+    largest known value can be nearest to a claim from outside; a claim inside a slot that lies
+    between both is within the tolerance of one of them. So the known side is one row per slot, and
+    each claim meets three of them at most.
     """
-    keys = accepted_forms(published).select(F.col("value").alias("known")).distinct().withColumn("slot", _slot(F.col("known"), tolerance))
+    known = F.col("known")
+    forms = accepted_forms(published).select(F.col("value").alias("known")).withColumn("slot", _slot(known, tolerance))
+    ends = forms.groupBy("slot").agg(F.min("known").alias("low"), F.max("known").alias("high"))
     values = claimed.select("value").distinct()
     at = _slot(F.col("value"), tolerance)
-    near = values.withColumn("slot", F.explode(F.array(at - 1, at, at + 1)))
+    near = values.withColumn("slot", F.explode(F.array(at - 1, at, at + 1))).join(ends, "slot", "left")
     limit = F.greatest(F.lit(tolerance), F.abs(F.col("value")) * RELATIVE)
-    hits = near.join(keys, "slot").filter(F.abs(F.col("known") - F.col("value")) <= limit).select("value").distinct()
-    return values.join(hits.withColumn("_hit", F.lit(True)), "value", "left").select(
-        "value", F.coalesce("_hit", F.lit(False)).alias("supported")
-    )
+    away = F.least(F.abs(F.col("low") - F.col("value")), F.abs(F.col("high") - F.col("value")))
+    return near.groupBy("value").agg(F.coalesce(F.bool_or(away <= limit), F.lit(False)).alias("supported"))
 
 
 def unsupported_claims(
-    claims: DataFrame, published: DataFrame, tolerance: float = TOLERANCE, context_numbers: Collection[float] = CONTEXT_NUMBERS
+    claims: DataFrame, published: DataFrame, tolerance: float = TOLERANCE, context_numbers: Collection[float] = ()
 ) -> DataFrame:
-    """The claims that match no published value and are no context numbers."""
+    """The claims that match no published value, without the caller's `context_numbers`."""
     known = F.col("value").isin(*context_numbers) if context_numbers else F.lit(False)
     open_claims = stage(claims.filter(~known))  # the texts are read once
     verdict = reconcile_values(open_claims, published, tolerance)
@@ -131,4 +133,3 @@ def unsupported_claims(
     per_value = sizes.join(verdict, "value")
     total = sizes.agg(F.sum("_n")).scalar()
     return attach(open_claims, per_value, ["value"], ["supported"], "_n", total).filter(~F.col("supported")).drop("supported")
-

@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from tarnish.functions.hashing import encode
 from tarnish.model import FD
 from tarnish.operators import noise, prep
 from tarnish.session import stage
+from tarnish.sources.tables import nan_to_null
 
 METRICS = ("accuracy", "precision", "recall", "f1", "f1_macro")
 
@@ -118,28 +119,70 @@ def univariate_power(df: DataFrame, columns: Sequence[str], target: str, folds:
     return scores.groupBy("column").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_sd"))
 
 
-def numeric_power(
-    df: DataFrame, column: str, target: str, folds: int, fold: str = "fold", depth: int = 10, min_leaf: int = 1
-) -> DataFrame:
-    """Weighted F1 of one numeric column alone: an MLlib tree per fold."""
-    labelled = prep.encode_labels(df.select(F.col(column).cast("double").alias("x"), target, fold), target)
-    data = VectorAssembler(inputCols=["x"], outputCol="features", handleInvalid="skip").transform(labelled)
-    tree = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_leaf, maxBins=64, seed=42)
-    parts = []
-    for f in range(folds):
-        train, test = prep.split_fold(data, f, fold)
-        parts.append(stage(confusion(tree.fit(train).transform(test)).withColumn("fold", F.lit(f))))
-    scores = metrics(reduce(DataFrame.unionByName, parts), ["fold"])
+def nearest_seen(values: DataFrame, keys: Sequence[str], order: str, seen: Column) -> DataFrame:
+    """Add `below` and `above`: the nearest values of `order` that are `seen`, the own one included, per key.
+
+    Rows (distinct in keys and order) are range-partitioned; inside a range a running maximum gives the
+    nearest, and the ends of all ranges, one row for each, carry over where a range has none.
+    """
+    keys = list(keys)
+    ranged = stage(values.withColumn("_v", F.when(seen, F.col(order))).repartitionByRange(*keys, order).withColumn("_p", F.spark_partition_id()))
+    up = W.partitionBy(*keys, "_p").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = W.partitionBy(*keys, "_p").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
+    ends = ranged.groupBy(*keys, "_p").agg(F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
+    ends = ends.select(*keys, "_p", F.max("_hi").over(before).alias("_from"), F.min("_lo").over(after).alias("_to"))
+    inside = ranged.withColumn("_b", F.max("_v").over(up)).withColumn("_a", F.min("_v").over(down))
+    return (
+        inside.join(ends, [*keys, "_p"])
+        .withColumn("below", F.coalesce("_b", "_from"))
+        .withColumn("above", F.coalesce("_a", "_to"))
+        .drop("_v", "_p", "_b", "_a", "_from", "_to")
+    )
+
+
+def numeric_confusion(df: DataFrame, column: str, target: str, folds: int, fold: str = "fold") -> DataFrame:
+    """Out-of-fold predictions of one numeric column alone, as confusion counts per fold.
+
+    A fully grown tree on one number predicts the majority class of the value, the smallest class on
+    ties; a value that training has not seen gets the class of the nearest one, the lower one if two
+    are as near, because cuts lie in the middle. Missing values, in training and test, are the median of
+    the fold's training rows. Counts of values suffice, so neither depth nor number of cuts is limited.
+    """
+    rows = nan_to_null(df.select(F.col(column).cast("double").alias("x"), F.col(target).alias("label"), F.col(fold).alias("_f")))
+    medians = {f: prep.fit_medians(rows.filter(F.col("_f") != f), ["x"])["x"] for f in range(folds)}
+    own = [F.count_if(F.col("_f") == f).alias(f"_n{f}") for f in range(folds)]
+    counts = rows.groupBy("x", "label").agg(F.count(F.lit(1)).alias("_all"), *own)
+    per_fold = F.array(
+        *[F.struct(F.lit(f).alias("fold"), F.coalesce("x", F.lit(medians[f])).alias("x"), F.col(f"_n{f}").alias("n")) for f in range(folds)]
+    )
+    cells = counts.withColumn("_x", F.explode(per_fold)).groupBy("_x.fold", "_x.x", "label").agg(
+        F.sum("_x.n").alias("n"), F.sum(F.col("_all") - F.col("_x.n")).alias("train")
+    )
+    cells = stage(cells)
+    vote = F.when(F.col("train") > 0, F.struct((-F.col("train")).alias("rank"), "label"))
+    values = cells.groupBy("fold", "x").agg(F.min(vote).getField("label").alias("choice"))
+    near = nearest_seen(values, ["fold"], "x", F.col("choice").isNotNull())
+    closer = F.when(F.col("above").isNull() | (F.col("x") - F.col("below") <= F.col("above") - F.col("x")), F.col("below")).otherwise(F.col("above"))
+    seen = near.filter("choice IS NOT NULL").select("fold", F.col("x").alias("_like"), F.col("choice").alias("prediction"))
+    chosen = near.select("fold", "x", closer.alias("_like")).join(seen, ["fold", "_like"])
+    return cells.filter("n > 0").join(chosen, ["fold", "x"]).groupBy("fold", "label", "prediction").agg(F.sum("n").alias("n"))
+
+
+def numeric_power(df: DataFrame, column: str, target: str, folds: int, fold: str = "fold") -> DataFrame:
+    """Weighted F1 of one numeric column alone: mean and population deviation over folds."""
+    scores = metrics(numeric_confusion(df, column, target, folds, fold), ["fold"])
     return scores.agg(F.lit(column).alias("column"), F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_sd"))
 
 
 def screen_targets(
-    df: DataFrame, targets: dict[str, str], columns: Sequence[str], folds: int, seed, cap: int = 1500, key: str = "row_id"
+    df: DataFrame, targets: dict[str, str], columns: Sequence[str], folds: int, seed, cap: int | None = None, key: str = "row_id"
 ) -> DataFrame:
     """Candidate targets x columns: classes, rows, chance level and F1 of each column alone.
 
-    `targets` maps a display name to a target column. Classes are balanced and capped; a column that
-    occurs in the name of the target is skipped.
+    `targets` maps a display name to a target column. Classes are balanced (and, if the caller says so,
+    capped); numbers are ranked next to categories; a column that occurs in the name of the target is skipped.
     """
     wanted = [key, *dict.fromkeys([*targets.values(), *columns])]
     rows = stage(df.select(*wanted))
@@ -150,7 +193,9 @@ def screen_targets(
         folded = prep.assign_folds(balanced, target, folds, seed, key)
         size = balanced.agg(F.count_distinct(target).alias("classes"), F.count(F.lit(1)).alias("n_rows"))
         facts = size.select(F.lit(name).alias("target"), "classes", "n_rows", (1 / F.col("classes")).alias("chance")).first()
-        power = univariate_power(folded, usable, target, folds)
+        numeric, categorical = prep.feature_roles(folded.select(*usable), [])
+        powers = [univariate_power(folded, categorical, target, folds)] if categorical else []
+        power = reduce(DataFrame.unionByName, [*powers, *[numeric_power(folded, c, target, folds) for c in numeric]])
         parts.append(
             power.select(
                 F.lit(name).alias("target"), F.lit(facts["classes"]).alias("classes"), F.lit(facts["n_rows"]).alias("n_rows"),
@@ -163,18 +208,18 @@ def screen_targets(
 # ---- models --------------------------------------------------------------------------------------
 
 
-def default_models(n_rows: int, n_features: int, n_classes: int, scale: float = 1.0) -> dict[str, Estimator]:
-    """The four classifiers with plain settings and a fixed seed; `scale` < 1 shortens trial runs."""
+def default_models(n_rows: int, n_features: int, n_classes: int) -> dict[str, Estimator]:
+    """The four classifiers with plain settings and a fixed seed."""
     return {
         "logistic regression": LogisticRegression(
-            maxIter=max(10, int(1000 * scale)), regParam=1.0 / n_rows, elasticNetParam=0.0, standardization=False
+            maxIter=1000, regParam=1.0 / n_rows, elasticNetParam=0.0, standardization=False
         ),
         "random forest": RandomForestClassifier(
-            numTrees=max(5, int(100 * scale)), maxDepth=max(8, int(30 * scale)), seed=42
+            numTrees=100, maxDepth=30, seed=42
         ),
-        "decision tree": DecisionTreeClassifier(maxDepth=max(8, int(30 * scale)), seed=42),
+        "decision tree": DecisionTreeClassifier(maxDepth=30, seed=42),
         "neural network": MultilayerPerceptronClassifier(
-            layers=[n_features, 100, n_classes], maxIter=max(10, int(1000 * scale)), seed=42
+            layers=[n_features, 100, n_classes], maxIter=1000, seed=42
         ),
     }
 
@@ -210,12 +255,15 @@ class Features:
         return out.select(*keep, "label", "features")
 
 
-def _fit_and_score(train: DataFrame, tests: dict[str, DataFrame], target: str, ignore: Sequence[str], models, scale) -> DataFrame:
-    """Confusion counts per (model, test set)."""
+def _fit_and_score(train: DataFrame, tests: dict[str, DataFrame], target: str, ignore: Sequence[str], models, fit_rows, key) -> DataFrame:
+    """Confusion counts per (model, test set); all test rows are scored."""
+    if fit_rows is not None:
+        train = stage(prep.sample_rows(train, fit_rows, "fit", key))
     features = Features(train, target, ignore)
-    ready = features.transform(train).persist()
+    # Fits pass over the rows many times; a bounded sample is one partition, so a pass is one task.
+    ready = features.transform(train if fit_rows is None else train.coalesce(1)).persist()
     n_rows, width = ready.count(), len(ready.first()["features"])
-    built = default_models(n_rows, width, len(features.labels.labels), scale)
+    built = default_models(n_rows, width, len(features.labels.labels))
     parts = []
     for name in models or built:
         model = built[name].fit(ready)
@@ -238,36 +286,47 @@ def require_aligned(dirty: DataFrame, clean: DataFrame, target: str, key: str =
 
 def hold_out(
     clean: DataFrame, target: str, fold: int, corrupt: Callable[[DataFrame], DataFrame] | None = None,
-    ignore: Sequence[str] = (), models: Sequence[str] | None = None, scale: float = 1.0,
+    ignore: Sequence[str] = (), models: Sequence[str] | None = None, fit_rows: int | None = None, key: str = "row_id",
 ) -> DataFrame:
-    """Train on the corrupted training rows of a fold, score its clean test rows: metrics per model."""
+    """Train on the corrupted training rows of a fold, score its clean test rows: metrics per model.
+
+    `fit_rows` bounds the rows that a classifier is fitted on (a sample by key); all test rows are scored.
+    """
     train, test = prep.split_fold(clean, fold)
     dirty = corrupt(train) if corrupt else train
-    matrix = _fit_and_score(dirty.select(*clean.columns), {"clean": test}, target, ignore, models, scale)
+    matrix = _fit_and_score(dirty.select(*clean.columns), {"clean": test}, target, ignore, models, fit_rows, key)
     return metrics(matrix, ["model", "test"])
 
 
 def dual_cv(
     clean: DataFrame, dirty: DataFrame, target: str, folds: int, ignore: Sequence[str] = (),
-    models: Sequence[str] | None = None, scale: float = 1.0, key: str = "row_id", fold: str = "fold",
+    models: Sequence[str] | None = None, fit_rows: int | None = None, key: str = "row_id", fold: str = "fold",
 ) -> DataFrame:
-    """Cross-validation on dirty rows; every fold scores the same test rows twice, dirty and clean."""
+    """Cross-validation on dirty rows; every fold scores the same test rows twice, dirty and clean.
+
+    `dirty_share` is the share of the fold's training rows that differ from the clean ones in any column.
+    """
     require_aligned(dirty, clean, target, key)
+    compared = [c for c in clean.columns if c not in (key, fold, target)]
+    changed = stage(noise.changed_rows(clean, dirty, compared, key))
     parts = []
     for f in range(folds):
         train, dirty_test = prep.split_fold(dirty, f, fold)
         _, clean_test = prep.split_fold(clean, f, fold)
         matrix = _fit_and_score(
             train, {"dirty": dirty_test.select(*train.columns), "clean": clean_test.select(*train.columns)},
-            target, ignore, models, scale,
+            target, ignore, models, fit_rows, key,
         )
-        parts.append(metrics(matrix, ["model", "test"]).withColumn("fold", F.lit(f)))
+        share = train.select(key).join(changed, key).agg(F.avg(F.col("dirty").cast("double"))).first()[0]
+        scored = metrics(matrix, ["model", "test"]).withColumn("fold", F.lit(f))
+        parts.append(scored.withColumn("dirty_share", F.lit(share).cast("double")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def relevance_runs(
     clean: DataFrame, configurations: dict[str, Sequence[FD]], target: str, folds: int, replicas: Sequence[int],
-    level: int = 40, base_seed: int = 100, ignore: Sequence[str] = (), models: Sequence[str] | None = None, scale: float = 1.0,
+    level: int = 40, base_seed: int = 100, ignore: Sequence[str] = (), models: Sequence[str] | None = None,
+    fit_rows: int | None = None,
 ) -> DataFrame:
     """F1 on clean test rows when one configuration at a time is corrupted; the baseline is level 0."""
     parts = []
@@ -276,7 +335,7 @@ def relevance_runs(
         folded = stage(prep.assign_folds(prep.balance(clean, target, seed), target, folds, seed))
         for name, fds in {"baseline": [], **configurations}.items():
             dirty = stage(noise.inject_independent(folded, fds, level, seed)) if fds else folded
-            scores = dual_cv(folded, dirty, target, folds, [*ignore, "row_id", "fold"], models, scale)
+            scores = dual_cv(folded, dirty, target, folds, [*ignore, "row_id", "fold"], models, fit_rows)
             mean = scores.filter("test = 'clean'").groupBy("model").agg(F.avg("f1").alias("f1_clean"))
             parts.append(stage(mean.select(F.lit(name).alias("config"), F.lit(replica).alias("replica"), "model", "f1_clean")))
     return reduce(DataFrame.unionByName, parts)

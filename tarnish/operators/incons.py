@@ -25,6 +25,7 @@ from tarnish.session import stage
 from tarnish.sources.tables import nan_to_null
 
 COUNT = "decimal(38,0)"
+SETS_AT_ONCE = 128  # column sets for which the counts are expanded in one pass
 
 
 def require_complete(df: DataFrame, fds: Sequence[FD]) -> None:
@@ -136,8 +137,6 @@ def im_terms(fds: Sequence[FD]) -> dict[frozenset[str], int]:
     the product of (1 - [L] + [LR]), where [S] says that the pair agrees on S and [S][S'] = [S u S'].
     Multiplying out and merging equal column sets leaves few terms; those that cancel need no work.
     """
-    if len(fds) > 10:
-        raise ValueError("the number of column sets grows too fast beyond 10 dependencies")
     product = {frozenset(): 1}
     for fd in fds:
         left, both = frozenset(fd.lhs), frozenset(fd.columns)
@@ -160,8 +159,10 @@ def _im(combos: DataFrame, fds: Sequence[FD], by: Sequence[str], each: bool = Fa
     code = {
         t: sum(1 << (len(order) - 1 - i) for i, c in enumerate(order) if c not in by and c not in t) for t in terms
     }
-    grouped = combos.groupingSets(sets, *order).agg(F.grouping_id().alias("_set"), F.sum("n").alias("_n"))
-    per_set = grouped.groupBy(*by, "_set").agg(F.sum(pairs(F.col("_n"))).alias("_pairs"))
+    batches = [sets[at : at + SETS_AT_ONCE] for at in range(0, len(sets), SETS_AT_ONCE)]
+    grouped = [combos.groupingSets(some, *order).agg(F.grouping_id().alias("_set"), F.sum("n").alias("_n")) for some in batches]
+    summed = [g.groupBy(*by, "_set").agg(F.sum(pairs(F.col("_n"))).alias("_pairs")) for g in grouped]
+    per_set = reduce(DataFrame.unionByName, summed)
 
     def weighted(factor: dict[frozenset[str], int]) -> Column:
         chain = reduce(lambda acc, t: acc.when(F.col("_set") == code[t], F.lit(factor[t])), factor, F)

@@ -164,7 +164,7 @@ def ols(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFram
     """Least squares of y on an intercept and xs, per group: one row per term with se, t and p, plus R2.
 
     One aggregation gives counts, means and covariances; only these few numbers per group reach the
-    solver, never the rows.
+    solver, never the rows. A group with too few points or dependent xs keeps its terms, without values.
     """
     by, xs = list(by), list(xs)
     names = [*xs, y]
@@ -186,6 +186,7 @@ def ols(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFram
                     cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] * n
                 mean = np.array([row[f"m{i}"] for i in range(size)])
                 if free <= 0 or np.linalg.matrix_rank(cov[:size, :size]) < size:
+                    out += [{**{k: row[k] for k in by}, "term": t, "n_points": n, "coef": None, "se": None, "r2": None} for t in ["intercept", *xs]]
                     continue
                 inverse = np.linalg.inv(cov[:size, :size])
                 slope = inverse @ cov[:size, size]

@@ -89,28 +89,29 @@ def certification_pair(spark, sf):
     return profile.certify_pair(ship, prep.balance(ship, "duration_bucket", 42), POOL)
 
 
-CANDIDATES = ["l_suppkey", "s_nationkey", "s_regionkey", "c_nationkey", "c_regionkey", "lane_distance", "lane_group",
-              "ship_month", "duration_bucket"]
+CANDIDATES = ["l_orderkey", "l_suppkey", "s_nationkey", "s_nation", "s_regionkey", "s_region", "o_custkey", "c_nationkey", "c_nation", "c_regionkey",
+              "c_region", "l_partkey", "p_brand", "lane_distance", "lane_group", "ship_day", "ship_month", "l_quantity", "l_discount", "duration",
+              "duration_bucket"]
 
 
 @query("F4_candidate_columns", f"""WITH {sql.SHIP}, counts AS ({' UNION ALL '.join(
     f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n_distinct FROM ship" for c in [*CANDIDATES, 'row_id'])})
 SELECT name AS "column", n_distinct, n_distinct > 1 AND n_distinct < (SELECT count(*) FROM ship) AS candidate FROM counts""")
 def candidate_columns(spark, sf):
-    rows = views.shipments(spark, sf).select(*CANDIDATES, "row_id")
+    rows = views.shipments(spark, sf)
     kept = profile.candidate_columns(rows)
     return profile.distinct_counts(rows).withColumn("candidate", F.col("column").isin(kept))
 
 
 def _discovery_tables() -> str:
-    """One table of per-group distinct counts for every left side, then the right sides that never exceed one."""
+    """For every left side whether any group has two values of each other column, then the columns where none has."""
     ctes, picks = [], []
     for size in (1, 2):
         for lhs in combinations(CANDIDATES, size):
             rest = [c for c in CANDIDATES if c not in lhs]
             name = "g_" + "_".join(str(CANDIDATES.index(c)) for c in lhs)
             tops = ", ".join(f"max({c}) AS {c}" for c in rest)
-            counts = ", ".join(f"count(DISTINCT {c}) AS {c}" for c in rest)
+            counts = ", ".join(f"CASE WHEN min({c}) = max({c}) THEN 1 ELSE 2 END AS {c}" for c in rest)
             ctes.append(f"{name} AS MATERIALIZED (SELECT {tops} FROM (SELECT {counts} FROM ship GROUP BY {', '.join(lhs)}))")
             picks += [f"SELECT '{' + '.join(lhs)}' AS lhs, '{c}' AS rhs, '{size} -> 1' AS kind FROM {name} WHERE {c} = 1" for c in rest]
     return f"WITH {sql.SHIP.replace('ship AS (', 'ship AS MATERIALIZED (')},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(picks)
@@ -118,7 +119,7 @@ def _discovery_tables() -> str:
 
 @query("F5_discover_dependencies", _discovery_tables())
 def discover(spark, sf):
-    return profile.discover(views.shipments(spark, sf).select(*CANDIDATES), max_lhs=2, refute_fraction=0.05)
+    return profile.discover(views.shipments(spark, sf), max_lhs=2, refute_fraction=0.05)
 
 
 @query("F6_group_statistics", f"WITH {DIRTY} " + " UNION ALL ".join(
@@ -267,12 +268,39 @@ def matching_cover(spark, sf):
     return cover.matching_cover(views.lines(spark, sf), BROKEN)
 
 
-@query("I12_exact_repair_components")
-def exact_repair(spark, sf):
+def _component_sql(src: str, fds) -> str:
+    """CTE repairs: components by reachability over shared violating groups, with counts and bounds."""
+    columns = list(dict.fromkeys(c for f in fds for c in f.columns))
+    flags = ", ".join(f"any_value(conflict_{i}) AS conflict_{i}, any_value(cover_{i}) AS cover_{i}" for i in range(1, len(fds) + 1))
+
+    def text(names):
+        return ", ".join(f"'=' || CAST({c} AS VARCHAR)" for c in names)
+
+    groups = " UNION ALL ".join(
+        f"SELECT vertex, concat_ws('|', '{i}', {text(fd.lhs)}) AS grp FROM vertices WHERE conflict_{i}" for i, fd in enumerate(fds, 1)
+    )
+    single = ", ".join(f"coalesce(sum(n) FILTER (WHERE cover_{i}), 0)" for i in range(1, len(fds) + 1))
+    return f"""vertices AS (SELECT md5(concat_ws('|', {text(columns)})) AS vertex, {', '.join(columns)}, count(*) AS n, count(m.row_id) AS matched, {flags}
+ FROM marked s LEFT JOIN matched m ON s.row_id = m.row_id WHERE {sql.any_of('conflict', len(fds))} GROUP BY {', '.join(columns)}),
+shared AS ({groups}),
+reach(vertex, root) AS (SELECT vertex, vertex FROM vertices UNION SELECT b.vertex, r.root FROM reach r JOIN shared a ON r.vertex = a.vertex JOIN shared b ON a.grp = b.grp),
+bounds AS (SELECT component, count(*) AS vertices, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(matched) AS BIGINT) AS ih_approx,
+ CAST(greatest(sum(matched) // 2, {single}) AS BIGINT) AS lower, CAST(least(sum(matched), sum(n) FILTER (WHERE {sql.any_of('cover', len(fds))})) AS BIGINT) AS upper
+ FROM vertices JOIN (SELECT vertex, min(root) AS component FROM reach GROUP BY 1) USING (vertex) GROUP BY component),
+repairs AS (SELECT *, CASE WHEN lower = upper THEN lower END AS ih_exact, lower = upper AS solved FROM bounds)"""
+
+
+_COMPONENTS = f"WITH RECURSIVE {sql.LINES}, {sql.covers('lines', 'marked', BROKEN)}, {_matching_sql('lines', BROKEN)}, {_component_sql('lines', BROKEN)}"
+
+
+@query("I12_exact_repair_components", f"{_COMPONENTS} SELECT * FROM repairs")
+def component_repairs(spark, sf):
     return line_repairs(spark, sf)
 
 
-@query("I12_exact_repair_total")
+@query("I12_exact_repair_total", f"""{_COMPONENTS} SELECT count(*) AS components, count(*) FILTER (WHERE solved) AS solved,
+ CAST(coalesce(sum(lower), 0) AS BIGINT) AS ih_lower, CAST(coalesce(sum(upper), 0) AS BIGINT) AS ih_upper,
+ CASE WHEN coalesce(bool_and(solved), true) THEN CAST(coalesce(sum(lower), 0) AS BIGINT) END AS ih_exact FROM repairs""")
 def exact_repair_total(spark, sf):
     return cover.exact_total(line_repairs(spark, sf))
 
@@ -288,15 +316,15 @@ def all_indices(spark, sf):
     return exact_text(incons.indices(corrupted(spark, sf), POOL))
 
 
-_FOLD_FDS = [views.LANE, views.MONTH]
+_FOLD_FDS = list(POOL)
 
 
 @query("I14_indices_by_fold", f"""WITH {DIRTY}, {folds_sql(3).replace('FROM ship', 'FROM dirty')},
 trained AS (SELECT folded.*, t.f AS train_fold FROM folded JOIN (SELECT unnest(range(0, 3)) AS f) t ON fold <> t.f),
 {sql.conflict_pairs('trained', 'pairs', _FOLD_FDS, ['train_fold'])}, {sql.covers('trained', 'marked', _FOLD_FDS, ['train_fold'])},
 a AS (SELECT train_fold, count(*) AS im FROM pairs GROUP BY 1),
-b AS (SELECT train_fold, count(*) AS n_rows, count(*) FILTER (WHERE {sql.any_of('conflict', 2)}) AS ip, count(*) FILTER (WHERE {sql.any_of('cover', 2)}) AS ih,
-  greatest(count(*) FILTER (WHERE cover_1), count(*) FILTER (WHERE cover_2)) AS ih_min FROM marked GROUP BY 1)
+b AS (SELECT train_fold, count(*) AS n_rows, count(*) FILTER (WHERE {sql.any_of('conflict', 4)}) AS ip, count(*) FILTER (WHERE {sql.any_of('cover', 4)}) AS ih,
+  greatest({_COVER_COUNTS}) AS ih_min FROM marked GROUP BY 1)
 SELECT CAST(floor(avg(n_rows)) AS BIGINT) AS n_rows, {', '.join(f'round(avg({m}), 4) AS {m}_mean, round(stddev_samp({m}), 4) AS {m}_sd' for m in ('im', 'ip', 'ih', 'ih_min'))}
 FROM a JOIN b USING (train_fold)""")
 def indices_by_fold(spark, sf):
@@ -383,10 +411,11 @@ def compare_repairs(spark, sf):
     return rounded(cover.compare_repairs(_repairs(spark, sf)))
 
 
-@query("I18_component_comparison")
+@query("I18_component_comparison", f"""{_COMPONENTS} SELECT vertices, count(*) AS instances, count(*) FILTER (WHERE solved) AS n_solved,
+ round(avg(ih_approx) FILTER (WHERE solved), 6) AS approx_mean, round(avg(ih_exact), 6) AS exact_mean, min(ih_approx - ih_exact) AS gap_min, max(ih_approx - ih_exact) AS gap_max,
+ round(min(ih_approx / ih_exact), 6) AS ratio_min, round(max(ih_approx / ih_exact), 6) AS ratio_max FROM repairs GROUP BY 1""")
 def component_comparison(spark, sf):
-    repairs = line_repairs(spark, sf).withColumn("ih_approx", F.col("upper"))
-    return cover.comparison_summary(cover.compare_repairs(repairs), ["vertices"])
+    return rounded(cover.comparison_summary(cover.compare_repairs(line_repairs(spark, sf)), ["vertices"]))
 
 
 @query("I19_complete_levels", f"""WITH {sql.EXPERIMENT}, solved AS (SELECT *, ih < 20 AS ok FROM res)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from tarnish.sources import views
 
 TARGET = "duration_bucket"
 CATEGORIES = ["s_nation", "c_nation", "p_brand", "ship_month", "lane_group", "l_partkey"]
-TRIAL = 0.02  # share of the full training effort, for queries that only have to show the operator
+FIT_ROWS = 1000  # the most rows that a classifier is fitted on here; all test rows are scored
 COLUMNS = corrupted_columns(CONFIGS["C2"])
 
 
@@ -86,11 +88,23 @@ def univariate_power(spark, sf):
     return rounded(evalm.univariate_power(folded(spark, sf, 3), CATEGORIES, TARGET, 3))
 
 
-@query("M8_numeric_power")
+NUMBERS = ["lane_distance", "l_quantity", "l_discount"]
+
+
+def _numeric_sql() -> str:
+    """Each number alone: the majority of the nearest value that the other folds have, by comparing all values."""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS x, {TARGET} AS label, fold FROM folded" for c in NUMBERS)
+    return f"""nums AS ({long}), nf AS (SELECT unnest(range(0, 3)) AS f),
+best AS (SELECT f, col, x, label, row_number() OVER (PARTITION BY f, col, x ORDER BY count(*) DESC, label) AS rn FROM nums JOIN nf ON fold <> f GROUP BY f, col, x, label),
+known AS (SELECT f, col, x, label FROM best WHERE rn = 1), asked AS (SELECT DISTINCT fold AS f, col, x FROM nums),
+likely AS (SELECT a.f, a.col, a.x, arg_min(k.label, struct_pack(d := abs(a.x - k.x), v := k.x)) AS prediction FROM asked a JOIN known k ON a.f = k.f AND a.col = k.col GROUP BY 1, 2, 3),
+conf AS (SELECT n.col, n.fold, n.label, prediction, count(*) AS n FROM nums n JOIN likely l ON n.fold = l.f AND n.col = l.col AND n.x = l.x GROUP BY ALL)"""
+
+
+@query("M8_numeric_power", f"WITH {sql.SHIP}, {folds_sql(3)}, {_numeric_sql()}, {_METRICS} SELECT col AS \"column\", round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_sd FROM scores GROUP BY 1")
 def numeric_power(spark, sf):
-    rows = stage(training_table(spark, sf).select("l_quantity", "lane_distance", TARGET, "fold"))
-    return evalm.numeric_power(rows, "lane_distance", TARGET, 3).unionByName(
-        evalm.numeric_power(rows, "l_quantity", TARGET, 3, min_leaf=5))
+    rows = stage(folded(spark, sf, 3).select(*NUMBERS, TARGET, "fold"))
+    return rounded(reduce(DataFrame.unionByName, [evalm.numeric_power(rows, c, TARGET, 3) for c in NUMBERS]))
 
 
 SCREENED = {"duration (5 bands)": "duration_bucket", "area of c_region": "c_region", "l_returnflag": "l_returnflag"}
@@ -103,7 +117,7 @@ def _screen_sql() -> str:
         columns = [c for c in SCREEN_COLUMNS if c not in name and c != target]
         smallest = f"(SELECT min(c) FROM (SELECT count(*) AS c FROM shipr GROUP BY {target}))"
         body = _confusion_sql(f"folded_{i}", columns, 3, target, f"_{i}") + ", " + _metrics_sql(f"_{i}")
-        ctes.append(f"bal_{i} AS ({sql.ranked_choice('shipr', SEED, target, f'least({smallest}, 1500)')})")
+        ctes.append(f"bal_{i} AS ({sql.ranked_choice('shipr', SEED, target, f'{smallest}')})")
         ctes.append(f"folded_{i} AS (SELECT *, CAST((row_number() OVER (PARTITION BY {target} ORDER BY {sql.draw(sql.lit(SEED), 'row_id')}, row_id) - 1) % 3 AS INTEGER) AS fold FROM bal_{i})")
         ctes.append(body)
         selects.append(f"SELECT '{name}' AS target, (SELECT count(DISTINCT {target}) FROM bal_{i}) AS classes, (SELECT count(*) FROM bal_{i}) AS n_rows, "
@@ -120,7 +134,13 @@ def target_screening(spark, sf):
 # ---- models --------------------------------------------------------------------------------------
 
 
-@query("P20_one_hot_unknown_is_zero")
+_TRAINING = f"""WITH {sql.SHIP}, smallest AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM ship GROUP BY {TARGET})),
+bal AS ({sql.ranked_choice('ship', SEED, TARGET, '(SELECT k FROM smallest)')}),
+training AS (SELECT *, CAST((row_number() OVER (PARTITION BY {TARGET} ORDER BY {sql.draw(sql.lit(SEED), 'row_id')}, row_id) - 1) % 3 AS INTEGER) AS fold FROM bal)"""
+
+
+@query("P20_one_hot_unknown_is_zero", f"""{_TRAINING}, known AS (SELECT * FROM training WHERE fold <> 0 AND s_nation <> 'NATION_3'), asked AS (SELECT * FROM training WHERE fold = 0)
+SELECT s_nation, CAST((s_nation IN (SELECT s_nation FROM known))::INT + (p_brand IN (SELECT p_brand FROM known))::INT AS DOUBLE) AS ones, count(*) AS n FROM asked GROUP BY 1, 2""")
 def one_hot(spark, sf):
     rows = training_table(spark, sf).select("row_id", "fold", TARGET, "s_nation", "p_brand")
     train, test = prep.split_fold(rows.filter("s_nation <> 'NATION_3' OR fold = 0"), 0)
@@ -129,7 +149,15 @@ def one_hot(spark, sf):
     return features.transform(test, ["s_nation"]).groupBy("s_nation", ones.alias("ones")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M2_preprocessing_pipeline")
+def _width_sql() -> str:
+    numeric = {"s_nationkey", "c_nationkey", "s_regionkey", "c_regionkey", "lane_distance", "lane_group", "l_quantity", "l_discount"}
+    names = list(dict.fromkeys([*COLUMNS, "s_nation", "l_quantity", "l_discount", "ship_month", "p_brand"]))
+    parts = ["1" if c in numeric else f"(SELECT count(DISTINCT {c}) FROM training WHERE fold <> 0)" for c in names]
+    return " + ".join(parts)
+
+
+@query("M2_preprocessing_pipeline", f"""{_TRAINING}, names AS (SELECT {TARGET} AS name, row_number() OVER (ORDER BY {TARGET}) - 1 AS label FROM (SELECT DISTINCT {TARGET} FROM training WHERE fold <> 0))
+SELECT CAST(label AS DOUBLE) AS label, count(*) AS n, CAST({_width_sql()} AS INTEGER) AS width FROM training JOIN names ON {TARGET} = name WHERE fold = 0 GROUP BY label""")
 def preprocessing(spark, sf):
     train, test = prep.split_fold(training_table(spark, sf), 0)
     features = evalm.Features(train, TARGET, IGNORE)
@@ -139,7 +167,7 @@ def preprocessing(spark, sf):
 
 @query("M1_four_classifiers")
 def four_classifiers(spark, sf):
-    return evalm.hold_out(stage(training_table(spark, sf)), TARGET, 0, None, IGNORE, scale=TRIAL)
+    return evalm.hold_out(stage(training_table(spark, sf)), TARGET, 0, None, IGNORE, fit_rows=FIT_ROWS)
 
 
 @query("M3_train_dirty_test_clean")
@@ -147,19 +175,18 @@ def train_dirty_test_clean(spark, sf):
     def corrupt(train):
         return noise.inject_shared(train, COLUMNS, 40, 1040)
 
-    return evalm.hold_out(stage(training_table(spark, sf)), TARGET, 0, corrupt, IGNORE,
-                          models=["logistic regression", "decision tree"], scale=TRIAL)
+    return evalm.hold_out(stage(training_table(spark, sf)), TARGET, 0, corrupt, IGNORE, fit_rows=FIT_ROWS)
 
 
 @query("M4_dual_evaluation")
 def dual_evaluation(spark, sf):
     clean = stage(training_table(spark, sf))
     dirty = stage(noise.inject_independent(clean, CONFIGS["C2"], 40, 100))
-    return evalm.dual_cv(clean, dirty, TARGET, 3, IGNORE, models=["decision tree"], scale=TRIAL)
+    return evalm.dual_cv(clean, dirty, TARGET, 3, IGNORE, fit_rows=FIT_ROWS)
 
 
 @query("M10_relevance_experiment")
 def relevance_experiment(spark, sf):
     rows = views.shipments(spark, sf).select("row_id", TARGET, *COLUMNS, "l_quantity", "ship_day", "ship_month")
     pool = {"route": [views.LANE], "band": [views.BAND]}
-    return evalm.relevance_runs(rows, pool, TARGET, 2, [0], models=["decision tree"], scale=TRIAL, ignore=["ship_day"])
+    return evalm.relevance_runs(rows, pool, TARGET, 2, [0], fit_rows=FIT_ROWS, ignore=["ship_day"])

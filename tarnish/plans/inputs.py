@@ -25,8 +25,8 @@ def corrupted(spark: SparkSession, sf_dir: str, config: str = "C4", level: int =
 
 
 def line_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact or bounded repairs of every conflict component of the raw line items."""
+    """Repairs, or bounds of them, for every conflict component of the raw line items."""
     key = (spark.sparkContext.applicationId, sf_dir, "repairs")
     if key not in _versions:
-        _versions[key] = stage(cover.exact_repair(views.lines(spark, sf_dir), BROKEN))
+        _versions[key] = stage(cover.component_repairs(views.lines(spark, sf_dir), BROKEN))
     return _versions[key]

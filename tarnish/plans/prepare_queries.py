@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tarnish.functions.numeric import g6_sql
 from tarnish.operators import prep, profile
 from tarnish.plans import sql
 from tarnish.plans.registry import query, rounded
@@ -70,11 +69,11 @@ def derived_table(spark, sf):
     return spark.read.csv(path, schema=out.schema, header=True)
 
 
-_G = g6_sql("m", "varchar")
+_G = sql.g6("m")
 
 
 @query("S7_markdown_table", f"""WITH {sql.EXPERIMENT}
-SELECT '| ' || concat_ws(' | ', config, {g6_sql('CAST(level AS DOUBLE)', 'varchar')}, {_G}, {g6_sql('CAST(im AS DOUBLE)', 'varchar')}) || ' |' AS line
+SELECT '| ' || concat_ws(' | ', config, {sql.g6('level')}, {_G}, {sql.g6('im')}) || ' |' AS line
 FROM (SELECT config, level, round(avg(f1_clean), 4) AS m, CAST(sum(im) AS BIGINT) AS im FROM res GROUP BY 1, 2)""")
 def markdown_table(spark, sf):
     report = views.experiment(spark, sf).groupBy("config", "level").agg(

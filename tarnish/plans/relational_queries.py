@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnish.functions.hashing import fingerprint
 from tarnish.functions.joins import attach
-from tarnish.functions.numeric import g6, g6_sql, safe_ratio
+from tarnish.functions.numeric import g6, safe_ratio
 from tarnish.operators import noise, results
 from tarnish.plans import sql
 from tarnish.plans.conflict_queries import DIRTY
@@ -77,7 +77,7 @@ def ratio(spark, sf):
     return rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", safe_ratio(F.col("l_quantity"), F.col("l_tax")).alias("ratio")))
 
 
-@query("X8_number_formats", f"SELECT o_orderkey, {g6_sql('o_totalprice', 'varchar')} AS short, format('{{:,}}', CAST(round(o_totalprice) AS BIGINT)) AS thousands FROM orders")
+@query("X8_number_formats", f"SELECT o_orderkey, {sql.g6('o_totalprice')} AS short, format('{{:,}}', CAST(round(o_totalprice) AS BIGINT)) AS thousands FROM orders")
 def number_formats(spark, sf):
     rows = views.table(spark, sf, "orders")
     return rows.select("o_orderkey", g6("o_totalprice").alias("short"),

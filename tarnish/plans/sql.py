@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from tarnish.model import FD, corrupted_columns
-from tarnish.sources.views import DURATION_LABELS
+from tarnish.sources.views import DURATION_EDGES, DURATION_LABELS
 
 
 def draw(*parts: str) -> str:
@@ -21,7 +21,10 @@ LINES = """lines AS (
                 CAST(round(l_extendedprice * 100) AS BIGINT))) AS row_id
   FROM lineitem)"""
 
-_B = DURATION_LABELS
+_BANDS = " ".join(
+    f"WHEN duration > {low}" + (f" AND duration <= {high}" if high else "") + f" THEN '{name}'"
+    for low, high, name in zip(DURATION_EDGES, DURATION_EDGES[1:], DURATION_LABELS, strict=False)
+)
 SHIP = f"""{LINES},
 ship AS (
   SELECT row_id, l_orderkey, l_suppkey, s_nationkey, sn.n_name AS s_nation, sn.n_regionkey AS s_regionkey,
@@ -29,9 +32,7 @@ ship AS (
          cr.r_name AS c_region, l_partkey, p_brand, lane_distance, lane_distance // 250 + 1 AS lane_group,
          strftime(l_shipdate, '%Y-%m-%d') AS ship_day, strftime(l_shipdate, '%Y-%m') AS ship_month,
          l_quantity, l_discount, duration,
-         CASE WHEN duration > 0 AND duration <= 90 THEN '{_B[0]}' WHEN duration > 90 AND duration <= 150 THEN '{_B[1]}'
-              WHEN duration > 150 AND duration <= 210 THEN '{_B[2]}' WHEN duration > 210 AND duration <= 300 THEN '{_B[3]}'
-              WHEN duration > 300 THEN '{_B[4]}' END AS duration_bucket
+         CASE {_BANDS} END AS duration_bucket
   FROM (SELECT *, lane_distance // 8 + 30 + CAST(l_quantity AS INTEGER) % 10 AS duration
         FROM (SELECT *, CAST((s_nationkey * 37 + c_nationkey * 91) % 60 * 50 + 50 AS INTEGER) AS lane_distance
               FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -153,7 +154,28 @@ def ranked_choice(src: str, seed, stratum: str | None, quota: str) -> str:
              count(*) OVER ({part}) AS n FROM {src}) WHERE rn <= {quota}"""
 
 
-def t_tail(t: str, df: str) -> str:
-    from tarnish.functions.numeric import STEPS, t_two_sided_sql
+def t_tail(t: str, df: str, terms: int = 300) -> str:
+    """Two-sided tail of Student's t as a regularised incomplete beta function, by its continued fraction.
 
-    return t_two_sided_sql(t, df, f"list_sum(list_transform(range(0, {STEPS + 1}), lambda i: {{body}}))")
+    P(|T| > |t|) = I_x(df/2, 1/2) with x = df / (df + t^2). The fraction is worked out from its last term
+    backwards; on the other side of the distribution's bulk the symmetric form converges faster.
+    """
+    x = f"({df} / ({df} + ({t}) * ({t})))"
+
+    def beta(x: str, a: str, b: str) -> str:
+        half, even = "(k // 2)", "k % 2 = 0"
+        step = (f"CASE WHEN {even} THEN {half} * ({b} - {half}) * {x} / (({a} + k - 1) * ({a} + k)) "
+                f"ELSE -({a} + {half}) * ({a} + {b} + {half}) * {x} / (({a} + k - 1) * ({a} + k)) END")
+        fraction = f"list_reduce(list_prepend(1e0, list_transform(range({terms}, 0, -1), lambda k: {step})), lambda acc, d: 1e0 + d / acc)"
+        log_front = f"{a} * ln({x}) + {b} * ln(1e0 - {x}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})"
+        return f"(exp({log_front}) / {a} / {fraction})"
+
+    a = f"(({df}) / 2e0)"
+    near = f"{x} < ({a} + 1e0) / ({a} + 2.5e0)"
+    return (f"(CASE WHEN ({t}) IS NULL OR ({df}) IS NULL OR ({df}) <= 0 THEN NULL WHEN ({t}) = 0 THEN 1e0 WHEN {near} THEN {beta(x, a, '0.5e0')} "
+            f"ELSE 1e0 - {beta(f'(1e0 - {x})', '0.5e0', a)} END)")
+
+
+def g6(v: str) -> str:
+    """%g text of a number, NULL as the empty text, by the engine's own formatting."""
+    return f"coalesce(printf('%g', CAST({v} AS DOUBLE)), '')"

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-_own_dirs: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = 8, app: str = "tarnish", memory: str = "12g") -> SparkSession:
@@ -29,25 +28,37 @@ def local_session(cores: int | str = 8, app: str = "tarnish", memory: str = "12g
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: the one the cluster names, else one made for this session."""
+    """Folder for staged tables: the one the cluster names, else one below the warehouse.
+
+    Outside local mode it must be a folder that all executors share, so the warehouse has to be named
+    or the checkpoint folder set; the executors' own disks are refused.
+    """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    folder = configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged"
+    if not configured and not spark.sparkContext.master.startswith("local") and folder.startswith(("file:", "/")):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="tarnish-")
-    return _own_dirs[app]
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` once to the staging folder and re-read it.
 
     Cuts the lineage in a way that survives the loss of executors, and gives the optimizer the true
-    size, so that it alone decides whether the table is small enough to broadcast.
+    size, so that it alone decides whether the table is small enough to broadcast. Staged tables live as
+    long as their session, see `clear_staged`.
     """
     spark = df.sparkSession
-    path = os.path.join(staging_dir(spark), f"stage-{uuid.uuid4().hex}")
+    path = os.path.join(staging_dir(spark), f"{spark.sparkContext.applicationId}-stage-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables that this session has staged; call it before the session ends. Returns their number."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    context = spark.sparkContext
+    for path in paths:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)

@@ -10,8 +10,9 @@ from tarnish.operators.prep import bucketize_right
 from tarnish.session import stage
 from tarnish.sources.tables import load, with_row_id
 
-DURATION_EDGES = (0, 90, 150, 210, 300, None)
-DURATION_LABELS = ("<90m", "90-150m", "150-210m", "210-300m", ">300m")
+# Five bands of about equal size for the invented durations.
+DURATION_EDGES = (0, 125, 200, 275, 345, None)
+DURATION_LABELS = ("very short", "short", "medium", "long", "very long")
 
 LANE = FD(("s_nationkey", "c_nationkey"), "lane_distance", ("c_nation", "c_regionkey", "c_region"))
 BAND = FD(("lane_distance",), "lane_group")

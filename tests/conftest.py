@@ -1,6 +1,6 @@
 import pytest
 
-from tarnish.session import local_session
+from tarnish.session import clear_staged, local_session
 
 
 @pytest.fixture(scope="session")
@@ -8,4 +8,5 @@ def spark():
     session = local_session(4, "tarnish-tests", "6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_staged(session)
     session.stop()

@@ -39,7 +39,7 @@ def test_unknown_category_is_all_zeros(data):
 
 
 def test_dual_evaluation_agrees_on_clean_data(data):
-    scores = evalm.dual_cv(data, data, "y", 2, ["row_id", "fold"], ["decision tree"], 0.01).collect()
+    scores = evalm.dual_cv(data, data, "y", 2, ["row_id", "fold"], ["decision tree"], 60).collect()
     by_fold = {}
     for r in scores:
         by_fold.setdefault(r["fold"], set()).add(r["f1"])
@@ -53,7 +53,7 @@ def test_dual_evaluation_agrees_on_clean_data(data):
 def test_experiment_resumes(spark, data, tmp_path):
     path = str(tmp_path / "grid")
     configs = {"C1": [FD(("k",), "d")], "C2": [FD(("k",), "d", ()), FD(("d",), "k")]}
-    args = dict(target="y", folds=2, path=path, ignore=["row_id", "fold"], models=["decision tree"], scale=0.01)
+    args = dict(target="y", folds=2, path=path, ignore=["row_id", "fold"], models=["decision tree"], fit_rows=100)
     first = experiment.run_grid(data, {"C1": configs["C1"]}, levels=[0], **args)
     assert first.count() == 2
     full = experiment.run_grid(data, configs, levels=[0, 20], **args)
@@ -62,3 +62,51 @@ def test_experiment_resumes(spark, data, tmp_path):
     assert full.filter("level = 20 AND im = 0").count() == 0
     assert set(experiment.analyse(full, ["C1", "C2"])) == {"summary", "degradation", "configurations", "correlations", "thresholds"}
     assert experiment.analyse(full, ["C1", "C2"])["summary"].count() == 4
+
+
+def numeric_reference(rows, folds):
+    """(fold, label, prediction) counts of the nearest training value's majority, missing values at the median."""
+    from collections import Counter
+    from statistics import median
+
+    out = Counter()
+    for f in range(folds):
+        mid = median(x for x, _, g in rows if g != f and x is not None)
+        train = [(mid if x is None else x, y) for x, y, g in rows if g != f]
+        for x, y, g in rows:
+            if g == f:
+                x = mid if x is None else x
+                near = min({v for v, _ in train}, key=lambda v: (abs(v - x), v))
+                votes = Counter(label for v, label in train if v == near)
+                out[f, y, min(votes, key=lambda c: (-votes[c], c))] += 1
+    return out
+
+
+def test_numeric_column_alone(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, float("nan"), *map(float, range(0, 40, 3))]), rng.choice("abc"), rng.randrange(3)) for _ in range(300)]
+    rows += [(100.0 + k, "a", k % 3) for k in range(9)]
+    df = spark.createDataFrame(rows, "v double, y string, fold int").repartition(5)
+    plain = [(None if x is None or x != x else x, y, g) for x, y, g in rows]
+    got = {(r["fold"], r["label"], r["prediction"]): r["n"] for r in evalm.numeric_confusion(df, "v", "y", 3).collect()}
+    assert got == numeric_reference(plain, 3) and sum(got.values()) == len(rows)
+
+
+def test_screening_ranks_numbers_too(spark, data):
+    rows = data.drop("fold").withColumnRenamed("k", "kind")
+    got = {(r["target"], r["column"]): r["f1_mean"] for r in evalm.screen_targets(rows, {"y": "y"}, ["kind", "d", "v"], 2, 1).collect()}
+    assert got["y", "kind"] == got["y", "d"] == 1.0 and 0 < got["y", "v"] < 1
+
+
+def test_replicas_resume(spark, data, tmp_path):
+    clean = data.select("row_id", "k", "d", "y")
+    args = dict(target="y", levels=[0, 30], replicas=[0], folds=2, path=str(tmp_path / "replicas"), models=["decision tree"], fit_rows=60)
+    found = experiment.run_replicas(clean, {"C1": [FD(("k",), "d")]}, **args)
+    rows = {(r["config"], r["level"]): r for r in found.collect()}
+    assert set(rows) == {("baseline", 0), ("C1", 30)}
+    assert rows["baseline", 0]["share"] == 0 and rows["baseline", 0]["im"] == 0 and rows["baseline", 0]["ih_approx"] == 0
+    dirty = rows["C1", 30]
+    assert 0 < dirty["share"] <= 0.3 and dirty["ih"] <= dirty["ih_approx"] <= 2 * dirty["ih"] and dirty["f1_clean"] >= dirty["f1_dirty"] - 0.2
+    assert experiment.run_replicas(clean, {"C1": [FD(("k",), "d")]}, **args).count() == 2

@@ -93,3 +93,11 @@ def test_columns_and_targets(spark):
     assert prep.binarise_target(df, "s").columns == df.columns
     assert {(r["s"], r["label"]) for r in prep.encode_labels(df, "s").collect()} == {("a", 0), ("c", 1)}
     assert prep.feature_roles(df, ["i"]) == (["e", "v"], ["s"])
+
+
+def test_a_missing_class_is_a_class(spark):
+    rows = [(f"r{i}", None if i % 10 == 0 else "ab"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id string, y string")
+    folded = prep.assign_folds(df, "y", 5, 1)
+    assert folded.count() == 100 and {r["n"] for r in folded.filter("y IS NULL").groupBy("fold").count().withColumnRenamed("count", "n").collect()} == {2}
+    assert prep.stratified_sample(df, "y", 50, 1).filter("y IS NULL").count() == 5

@@ -9,12 +9,8 @@ import pytest
 import __spark_entry__ as entry_points
 
 SF = "/root/testdata/sf0.001"
-QUICK = (
-    "S1_", "S3_", "S5_", "S7_", "P1_", "P8_", "P10_", "P13_", "P17_", "F1_", "F2_", "F6_", "I2_", "I3_", "I7_", "I8_conflict_b",
-    "I10_", "I11_matching", "I13_", "N6_", "N12_", "M5_conf", "A1_", "A8_", "G6_", "G12_", "T1_extract_claims", "T2_rec", "W2_", "X8_",
-)
 ORACLES = entry_points.oracle_sql()
-NAMES = [n for n in ORACLES if os.environ.get("TARNISH_ALL_QUERIES") or n.startswith(QUICK)]
+NAMES = list(ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

@@ -99,3 +99,10 @@ def test_pending_cells(spark):
     done = spark.createDataFrame([("C1", 0)] * 4 + [("C1", 5)] * 3, "config string, level int")
     cells = results.grid(spark, config=["C1"], level=[0, 5, 10])
     assert {r["level"] for r in results.pending(cells, done, ["config", "level"]).collect()} == {5, 10}
+
+
+def test_regression_keeps_groups_without_a_solution(spark):
+    rows = [("few", 1.0, 1.0, 2.0)] * 2 + [("same", float(k), float(k), 2.0 * k) for k in range(20)]
+    got = stats.ols(spark.createDataFrame(rows, "g string, y double, a double, b double"), ["g"], "y", ["a", "b"]).collect()
+    assert len(got) == 6 and all(r["coef"] is None and r["p_value"] is None for r in got)
+    assert {(r["g"], r["n_points"]) for r in got} == {("few", 2), ("same", 20)}
