@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3) -> DataF
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+SMALL = 8
 SIGNATURES, WIDE = 2, 4  # 64-bit fingerprints over words for the index, and over shingles for the check
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -183,9 +184,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
 
     Texts are near copies if the shingles of `width` words are estimated, from 256 bits of SimHash, to
     have at least `similarity` in common. Candidates share a half of a fingerprint over their words in
-    all but at most one bit. In each bucket of that index all entries are checked against the smallest;
-    those that are not near copies of it go on among themselves, so work stays linear in a bucket of
-    any size. `kept` marks the smallest doc_id of each group (of equal ids, the smallest text hash).
+    all but at most one bit. In buckets of that index with up to `SMALL` entries
+    all are compared; in larger ones all are checked against four of them, and those that are near copies
+    of none go on among themselves, so work stays linear in a bucket of any size. `kept` marks the smallest doc_id of each group (of equal ids, the smallest text hash).
     Rows with equal fingerprints are one entry. Null and wordless texts are copies of each other. A
     null doc_id is above all others. Repeated rows share their verdict. An empty table gives an empty table.
     """
@@ -201,24 +202,35 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     signs = entries.select("entry", F.explode(signed).alias("x")).select("entry", "x.sign", "x.fp")
     index = signs.select("entry", "sign", F.explode(_variants(F.col("fp"), 2)).alias("x")).select("entry", "sign", "x.bit", "x.rest")
     edges: DataFrame | None = None
+    key = ["sign", "bit", "rest"]
     while True:
-        buckets = index.groupBy("sign", "bit", "rest").agg(F.min("entry").alias("v"), F.max("entry").alias("u"), F.count(F.lit(1)).alias("n"))
-        buckets = stage(buckets.filter("v < u"))
-        pairs = buckets.filter("n = 2").select(F.col("u").alias("entry"), "v")
-        many = buckets.filter("n > 2").select("sign", "bit", "rest", "v")
+        # Four centres a bucket, by value and by hash: most groups in it lose their members at once.
+        mixed = F.xxhash64("entry")
+        centres = [F.min("entry"), F.max("entry"), F.min_by("entry", mixed), F.max_by("entry", mixed)]
+        buckets = index.groupBy("sign", "bit", "rest").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*centres)).alias("centres"))
+        buckets = stage(buckets.filter("n > 1"))
+        pairs = buckets.filter("n = 2").select(F.array_max("centres").alias("u"), F.array_min("centres").alias("v"))
+        many = buckets.filter("n > 2").select("sign", "bit", "rest", "n", "centres")
         if edges is None:
-            crowded = _members(signs, many.withColumnRenamed("sign", "of"), "fp", 2).filter("sign = of").drop("of", "fp")
+            crowd = _members(signs, many.withColumnRenamed("sign", "of"), "fp", 2).filter("sign = of").drop("of", "fp")
         else:
-            crowded = index.join(many, ["sign", "bit", "rest"])
-        crowded = stage(crowded.filter("entry <> v"))
-        pairs = pairs.unionByName(crowded.select("entry", "v")).distinct()
+            crowd = index.join(many, key)
+        crowd = stage(crowd)
+        few, more = crowd.filter(F.col("n") <= SMALL), crowd.filter(F.col("n") > SMALL)
+        all_of_few = few.select(*key, F.col("entry").alias("u")).join(few.select(*key, F.col("entry").alias("v")), key).filter("v < u")
+        tried = more.select("entry", *key, F.explode("centres").alias("c")).filter("entry <> c")
+        tried = tried.withColumn("u", F.greatest("entry", "c")).withColumn("v", F.least("entry", "c"))
+        pairs = pairs.unionByName(all_of_few.select("u", "v")).unionByName(tried.select("u", "v")).distinct()
         wide = entries.select("entry", F.slice("marks", SIGNATURES + 1, WIDE).alias("wide"))
         differ = F.zip_with("wide", "wide_v", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-        checked = pairs.join(wide, "entry").join(wide.select(F.col("entry").alias("v"), F.col("wide").alias("wide_v")), "v")
-        near = stage(checked.filter(F.aggregate(differ, F.lit(0), lambda x, y: x + y) <= limit).select("entry", "v"))
-        found = near.select(F.col("entry").alias("u"), "v")
-        edges = found if edges is None else edges.unionByName(found)
-        index = stage(crowded.join(near, ["entry", "v"], "left_anti").select("entry", "sign", "bit", "rest"))
+        checked = pairs.join(wide.withColumnRenamed("entry", "u"), "u").join(wide.select(F.col("entry").alias("v"), F.col("wide").alias("wide_v")), "v")
+        near = stage(checked.filter(F.aggregate(differ, F.lit(0), lambda x, y: x + y) <= limit).select("u", "v"))
+        edges = near if edges is None else edges.unionByName(near)
+        met = tried.join(near.withColumn("near", F.lit(True)), ["u", "v"], "left").groupBy("entry", *key)
+        rest = met.agg(F.count("near").alias("near"), F.count(F.lit(1)).alias("tries")).filter("near = 0")
+        # A centre is compared with the other centres only, so it has fewer tries than there are centres.
+        left = rest.join(many.select(*key, F.size("centres").alias("k")), key).filter("tries = k")
+        index = stage(left.select("entry", *key))
         if index.isEmpty():
             break
     roots = components(edges).withColumnRenamed("node", "entry")
