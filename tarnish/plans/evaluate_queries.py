@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from tarnish.model import corrupted_columns
 from tarnish.operators import evalm, noise, prep
-from tarnish.plans import sql
+from tarnish.plans import experiment, sql
 from tarnish.plans.inputs import CONFIGS
 from tarnish.plans.prepare_queries import SEED, folded, folds_sql
 from tarnish.plans.registry import query, rounded
-from tarnish.session import stage
+from tarnish.session import stage, staging_dir
 from tarnish.sources import views
 
 TARGET = "duration_bucket"
@@ -190,3 +191,10 @@ def relevance_experiment(spark, sf):
     rows = views.shipments(spark, sf).select("row_id", TARGET, *COLUMNS, "l_quantity", "ship_day", "ship_month")
     pool = {"route": [views.LANE], "band": [views.BAND]}
     return evalm.relevance_runs(rows, pool, TARGET, 2, [0], fit_rows=FIT_ROWS, ignore=["ship_day"])
+
+
+@query("M16_replicated_experiment")
+def replicated_experiment(spark, sf):
+    rows = views.shipments(spark, sf).select("row_id", TARGET, *COLUMNS, "l_quantity", "ship_month")
+    path = f"{staging_dir(spark)}/replicas-{uuid.uuid4().hex}"
+    return experiment.run_replicas(rows, {"C2": CONFIGS["C2"]}, TARGET, [0, 40], [0], 2, path, fit_rows=FIT_ROWS)
