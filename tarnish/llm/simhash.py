@@ -142,98 +142,118 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3) -> DataF
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-SMALL = 8
-SIGNATURES, WIDE = 2, 4  # 64-bit fingerprints over words for the index, and over shingles for the check
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
-def _majority(hashes: np.ndarray, n: int) -> list[int]:
-    """`n` SimHashes of 64 bits over one set of hashes, each mixed in its own way."""
-    out = []
-    for k in range(n):
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * ODD[k]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(mixed), 8192):
-            part = mixed[at : at + 8192]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
-    return out
-
-
-def marks(text: str | None, width: int) -> list[int]:
-    """Fingerprints of the set of words, then of the set of shingles of `width` words; all 0 without words."""
+BLOCK, FEW = 256, 16
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the different shingles of `width` words (a shorter text is one), sorted; none without words."""
     words = lower_spaced_words(text)
     if not words:
-        return [0] * (SIGNATURES + WIDE)
+        return np.zeros(0, np.int64)
     digest = xxhash.xxh64_intdigest
-    single = np.array([digest(w, SEED) for w in set(words)], np.uint64)
-    shingles = {b" ".join(s) for s in zip(*[words[k:] for k in range(width)], strict=False)} or {b" ".join(words)}
-    return _majority(single, SIGNATURES) + _majority(np.array([digest(s, SEED) for s in shingles], np.uint64), WIDE)
-
-
-def most_bits(similarity: float) -> int:
-    """Bits of the wide fingerprint that differ, on average, at a Jaccard similarity of two sets."""
-    return round(64 * WIDE * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+    found = {b" ".join(s) for s in zip(*[words[k:] for k in range(width)], strict=False)} or {b" ".join(words)}
+    return np.unique(np.fromiter((digest(s, SEED) for s in found), np.uint64, len(found)).view(np.int64))
+
+
+def _needed(n: Column | np.ndarray, similarity: float, ceil=np.ceil):
+    """Least number of shared shingles of two sets with `n` shingles in all."""
+    return ceil(n * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (u, v) that the sizes and prefixes of the sets leave possible."""
+    sides = [entries.select(F.col("entry").alias(k), F.col("size").alias(f"size_{k}"), F.col("prefix").alias(f"prefix_{k}")) for k in "uv"]
+    both = pairs.join(sides[0], "u").join(sides[1], "v")
+    # Up to the smaller of the last prefix hashes, all that the two sets share is in both prefixes.
+    until = F.least(F.element_at("prefix_u", -1), F.element_at("prefix_v", -1))
+    after = [F.col(f"size_{k}") - F.size(F.filter(f"prefix_{k}", lambda x: x <= until)) for k in "uv"]
+    most = F.size(F.array_intersect("prefix_u", "prefix_v")) + F.least(*after)
+    # The bound also holds the lengths: no more than the smaller set can be shared.
+    return both.filter(most >= _needed(F.col("size_u") + F.col("size_v"), similarity, F.ceil)).select("u", "v")
+
+
+def _possible_in_block(sets: list[np.ndarray], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """The same for all pairs of a few prefixes, as a square of flags."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    owner, code = owner[count[code] > 1], place[code[count[code] > 1]]
+    shared = np.zeros((n, n), np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        a, b = np.searchsorted(code, (low, low + 4096))
+        part = np.zeros((n, 4096), np.float32)
+        part[owner[a:b], code[a:b] - low] = 1
+        shared += part @ part.T
+    last = np.array([s[-1] for s in sets])
+    after = np.array([size - np.searchsorted(s, last, side="right") for s, size in zip(sets, sizes, strict=True)])
+    return shared + np.minimum(after, after.T) >= _needed(sizes[:, None] + sizes[None, :], similarity)
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(doc_id, text_hash, component, kept) for every row of `docs`: groups of near copies.
 
-    Texts are near copies if the shingles of `width` words are estimated, from 256 bits of SimHash, to
-    have at least `similarity` in common. Candidates share a half of a fingerprint over their words in
-    all but at most one bit. In buckets of that index with up to `SMALL` entries
-    all are compared; in larger ones all are checked against four of them, and those that are near copies
-    of none go on among themselves, so work stays linear in a bucket of any size. `kept` marks the smallest doc_id of each group (of equal ids, the smallest text hash).
-    Rows with equal fingerprints are one entry. Null and wordless texts are copies of each other. A
-    null doc_id is above all others. Repeated rows share their verdict. An empty table gives an empty table.
+    Texts are near copies if their sets of hashed shingles of `width` words have a Jaccard similarity of
+    at least `similarity`, counted exactly; a group is what such pairs connect. Two such sets share one
+    of their smallest hashes (prefix filter), which is what entries are joined by; sizes and prefixes
+    bound what a pair can share, and pairs left are counted over whole sets. First every bucket of a
+    hash is checked against its smallest entry. Then, in buckets whose entries are not all in one group
+    by that, all pairs of different groups are checked; large buckets are cut into blocks for it, so
+    no task holds more than two blocks. `kept` marks the smallest doc_id of each group (of equal ids,
+    the smallest text hash). Rows with equal sets are one entry. Null and wordless texts are copies of
+    each other. A null doc_id is above all others. Repeated rows share their verdict. An empty table
+    gives an empty table.
     """
-    limit = most_bits(similarity)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
     def make():
-        return lambda r: {"doc_id": r["doc_id"], "text_hash": r["text_hash"], "marks": [marks(t, width) for t in r["text"]]}
-
-    rows = stage(map_rows(rows, make, "doc_id long, text_hash long, marks array<long>").withColumn("entry", F.xxhash64("marks")))
-    entries = stage(rows.groupBy("entry", "marks").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
-    signed = F.array(*[F.struct(F.lit(k).alias("sign"), F.col("marks")[k].alias("fp")) for k in range(SIGNATURES)])
-    signs = entries.select("entry", F.explode(signed).alias("x")).select("entry", "x.sign", "x.fp")
-    index = signs.select("entry", "sign", F.explode(_variants(F.col("fp"), 2)).alias("x")).select("entry", "sign", "x.bit", "x.rest")
-    edges: DataFrame | None = None
-    key = ["sign", "bit", "rest"]
-    while True:
-        # Four centres a bucket, by value and by hash: most groups in it lose their members at once.
-        mixed = F.xxhash64("entry")
-        centres = [F.min("entry"), F.max("entry"), F.min_by("entry", mixed), F.max_by("entry", mixed)]
-        buckets = index.groupBy("sign", "bit", "rest").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*centres)).alias("centres"))
-        buckets = stage(buckets.filter("n > 1"))
-        pairs = buckets.filter("n = 2").select(F.array_max("centres").alias("u"), F.array_min("centres").alias("v"))
-        many = buckets.filter("n > 2").select("sign", "bit", "rest", "n", "centres")
-        if edges is None:
-            crowd = _members(signs, many.withColumnRenamed("sign", "of"), "fp", 2).filter("sign = of").drop("of", "fp")
-        else:
-            crowd = index.join(many, key)
-        crowd = stage(crowd)
-        few, more = crowd.filter(F.col("n") <= SMALL), crowd.filter(F.col("n") > SMALL)
-        all_of_few = few.select(*key, F.col("entry").alias("u")).join(few.select(*key, F.col("entry").alias("v")), key).filter("v < u")
-        tried = more.select("entry", *key, F.explode("centres").alias("c")).filter("entry <> c")
-        tried = tried.withColumn("u", F.greatest("entry", "c")).withColumn("v", F.least("entry", "c"))
-        pairs = pairs.unionByName(all_of_few.select("u", "v")).unionByName(tried.select("u", "v")).distinct()
-        wide = entries.select("entry", F.slice("marks", SIGNATURES + 1, WIDE).alias("wide"))
-        differ = F.zip_with("wide", "wide_v", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-        checked = pairs.join(wide.withColumnRenamed("entry", "u"), "u").join(wide.select(F.col("entry").alias("v"), F.col("wide").alias("wide_v")), "v")
-        near = stage(checked.filter(F.aggregate(differ, F.lit(0), lambda x, y: x + y) <= limit).select("u", "v"))
-        edges = near if edges is None else edges.unionByName(near)
-        met = tried.join(near.withColumn("near", F.lit(True)), ["u", "v"], "left").groupBy("entry", *key)
-        rest = met.agg(F.count("near").alias("near"), F.count(F.lit(1)).alias("tries")).filter("near = 0")
-        # A centre is compared with the other centres only, so it has fewer tries than there are centres.
-        left = rest.join(many.select(*key, F.size("centres").alias("k")), key).filter("tries = k")
-        index = stage(left.select("entry", *key))
-        if index.isEmpty():
-            break
-    roots = components(edges).withColumnRenamed("node", "entry")
+        def work(r):
+            sets = [shingles(t, width) for t in r["text"]]
+            entry = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+            prefix = [s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1] for s in sets]
+            signed = [e - (1 << 64) if e >> 63 else e for e in entry]
+            return {"doc_id": r["doc_id"], "text_hash": r["text_hash"], "entry": signed, "size": [len(s) for s in sets], "prefix": prefix}
+
+        return work
+
+    rows = stage(map_rows(texts, make, "doc_id long, text_hash long, entry long, size long, prefix array<long>"))
+    entries = stage(rows.groupBy("entry", "size", "prefix").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    index = entries.select("entry", F.explode("prefix").alias("x"))
+    buckets = index.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("low")).filter("n > 1")
+    index = stage(index.join(buckets, "x"))
+    stars = index.filter("entry <> low").select(F.col("entry").alias("u"), F.col("low").alias("v")).distinct()
+    near = stage(_counted(_possible(stars, entries, similarity), texts, entries, similarity, width))
+    groups = components(near).withColumnRenamed("node", "entry")
+
+    open_ = index.filter("n > 2").select("x", "n", "entry").join(groups, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+    mixed = open_.groupBy("x").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("x")
+    open_ = stage(open_.join(mixed, "x"))
+    few = open_.filter(F.col("n") <= FEW).select("x", F.col("entry").alias("u"), F.col("root").alias("root_u"))
+    other = few.select("x", F.col("u").alias("v"), F.col("root_u").alias("root_v"))
+    pairs = few.join(other, "x").filter("v < u and root_u <> root_v").select("u", "v").distinct()
+
+    def compare(group):
+        sets = [np.asarray(p) for p in group["prefix"]]
+        flags = _possible_in_block(sets, group["size"].to_numpy(), similarity)
+        root, part, entry = (group[c].to_numpy() for c in ("root", "part", "entry"))
+        flags &= root[:, None] != root[None, :]
+        if part.min() < part.max():
+            flags &= part[:, None] != part[None, :]
+        u, v = np.nonzero(flags & (entry[:, None] > entry[None, :]))
+        return type(group)({"u": entry[u], "v": entry[v]})
+
+    many = open_.filter(F.col("n") > FEW).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    many = many.withColumn("part", F.pmod(F.xxhash64("entry", "x"), F.col("parts")).cast("int"))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("x", "entry", "root", "part", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"))
+    many = many.join(entries.select("entry", "size", "prefix"), "entry")
+    blocks = many.groupBy("x", "a", "b").applyInPandas(compare, "u long, v long").distinct()
+    rest = stage(_possible(pairs, entries, similarity).unionByName(blocks).distinct())
+    more = _counted(rest, texts, entries, similarity, width)
+
+    roots = components(near.unionByName(more)).withColumnRenamed("node", "entry")
     rooted = entries.select("entry", "first").join(roots, "entry", "left").withColumn("component", F.coalesce("root", "entry")).drop("root")
     best = rooted.groupBy("component").agg(F.min("first").alias("best"))
     verdicts = stage(rooted.join(best, "component").select("entry", "component", "best"))
@@ -241,6 +261,23 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     return rows.join(verdicts, "entry").select("doc_id", "text_hash", "component", kept.alias("kept"))
 
 
+def _counted(pairs: DataFrame, texts: DataFrame, entries: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of `pairs` (u, v) whose whole sets of shingles are similar, counted; only their texts are cut again."""
+    pairs = stage(pairs)
+    used = pairs.select(F.col("u").alias("entry")).unionByName(pairs.select(F.col("v").alias("entry"))).distinct()
+    wanted = entries.join(used, "entry").select("entry", "first.doc_id", "first.text_hash")
+    source = texts.join(wanted, ["doc_id", "text_hash"]).select("entry", "text")
+
+    def make():
+        return lambda r: {"entry": r["entry"], "set": [shingles(t, width) for t in r["text"]]}
+
+    sets = stage(map_rows(source, make, "entry long, set array<long>").dropDuplicates(["entry"]))
+    sides = [sets.select(F.col("entry").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv"]
+    both = pairs.join(sides[0], "u").join(sides[1], "v")
+    shared = F.size(F.array_intersect("set_u", "set_v"))
+    return both.filter(shared >= _needed(F.size("set_u") + F.size("set_v"), similarity, F.ceil)).select("u", "v")
+
+
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """`docs` with one row of each group of near copies, see `near_copies`; columns stay as they are."""
     kept = near_copies(docs, similarity, width).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))

@@ -148,6 +148,55 @@ def test_near_copies(spark, empty):
     assert near_copies(empty).count() == 0
 
 
+def shingle_groups(docs, similarity=0.8):
+    """Group of each text by brute force over all pairs of sets of five-word shingles."""
+    sets = {}
+    for d, text in docs:
+        w = text.split()
+        sets[d] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for u in sets:
+        for v in sets:
+            shared = len(sets[u] & sets[v])
+            if v < u and shared >= similarity * (len(sets[u]) + len(sets[v]) - shared) - 1e-9:
+                a, b = find(u), find(v)
+                root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in sets}
+
+
+def edited(rng, base, edits, name):
+    """`base` with `edits` words changed, each in another stretch, so that each changes five shingles."""
+    text = list(base)
+    for at in rng.sample(range(2, len(base) // 5 - 1), edits):
+        text[5 * at] = f"{name}e{at}"
+    return text
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_near_copies_of_one_base_are_all_found(spark, monkeypatch, block):
+    """Each copy is near the base (at least 0.8) and, mostly, not near another copy."""
+    import random
+
+    from tarnish.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(9)
+    docs = []
+    for g, copies in enumerate((9, 14, 40)):
+        base = rng.choices([f"w{k}" for k in range(3000)], k=200)
+        docs += [(g * 100 + k, " ".join(edited(rng, base, 4, f"g{g}k{k}"))) for k in range(copies)] + [(g * 100 + 99, " ".join(base))]
+    want = shingle_groups(docs)
+    assert len(set(want.values())) == 3
+    found = near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found if r["kept"]) == sorted(set(want.values()))
+
+
 def token_ids(text):
     from tokenizers import Tokenizer as Reference
 
