@@ -103,7 +103,7 @@ def tokenizer_rules(
     pattern: str,
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    tail: float = 0.001,
+    least: float = 0.05,
     spread: float = 4.0,
     min_texts: int = 200,
 ) -> DataFrame:
@@ -112,9 +112,10 @@ def tokenizer_rules(
     Words lie between ASCII white space. `base_failed`: fewer than `min_words` words, or more than
     `max_repeat_percent` of them in windows of three that occur again. `kept` is false if that holds, or
     if a measure lies outside the band of the text's language: `spread` times the distance between the
-    quartiles beyond them, but never inside the outer `tail` of the texts with enough words. Languages
-    (column `lang`; two or three letters, else one group) with fewer than `min_texts` such texts have
-    the band of all texts. A null or empty text has no words and fails. Repeated rows are judged each for
+    quartiles beyond them, and at least the share `least` of the measure's scale (12 characters a token,
+    1 for shares). So junk in under a quarter of a group's texts cannot take the band to itself. Languages
+    (column `lang`; two or three letters, else one group) with fewer than `min_texts` texts that pass
+    the base rules have the band of all such texts. A null or empty text has no words and fails. Repeated rows are judged each for
     itself; a missing `lang` column or value is the rest group; an empty table gives an empty table.
     """
     names = {c.lower() for c in docs.columns}
@@ -141,7 +142,7 @@ def tokenizer_rules(
     table = stage(map_rows(rows, make, counted + ", ".join(f"{m} double" for m in MEASURES)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     table = table.withColumn("base_failed", failed)
-    limits = bands(table.filter("not base_failed"), tail, spread, min_texts)
+    limits = bands(table.filter("not base_failed"), least, spread, min_texts)
 
     def judge(batches):
         for batch in batches:
@@ -155,7 +156,7 @@ def tokenizer_rules(
     return table.mapInPandas(judge, table.schema.simpleString()[7:-1].replace(":", " ") + ", kept boolean")
 
 
-def bands(table: DataFrame, tail: float, spread: float, min_texts: int) -> dict[str, list[tuple[float, float]]]:
+def bands(table: DataFrame, least: float, spread: float, min_texts: int) -> dict[str, list[tuple[float, float]]]:
     """By language and for `all`: lowest and highest value of each measure, from exact histograms.
 
     At most one row for each language, measure and bin comes to the driver: languages are two or three
@@ -167,14 +168,15 @@ def bands(table: DataFrame, tail: float, spread: float, min_texts: int) -> dict[
     for r in counts.collect():
         for group in (r["lang"], "all"):
             grid.setdefault(group, np.zeros((len(MEASURES), BINS)))[r["measure"], r["bin"]] += r["n"]
-    return {g: [band(h, t, tail, spread) for h, t in zip(hist, TOP, strict=True)] for g, hist in grid.items() if g == "all" or hist[0].sum() >= min_texts}
+    return {g: [band(h, t, least, spread) for h, t in zip(hist, TOP, strict=True)] for g, hist in grid.items() if g == "all" or hist[0].sum() >= min_texts}
 
 
-def band(histogram: np.ndarray, top: float, tail: float, spread: float) -> tuple[float, float]:
+def band(histogram: np.ndarray, top: float, least: float, spread: float) -> tuple[float, float]:
+    """`spread` quartile distances beyond the quartiles, no less than the share `least` of the scale."""
     total = histogram.sum()
     if not total:
         return -np.inf, np.inf
     at = lambda q: int(np.searchsorted(histogram.cumsum(), max(q * total, 0.5)))
     low, high, step = at(0.25), at(0.75) + 1, top / BINS
-    reach = spread * (high - low)
-    return min(low - reach, at(tail)) * step, max(high + reach, at(1 - tail) + 1) * step
+    reach = max(spread * (high - low), least * BINS)
+    return (low - reach) * step, (high + reach) * step

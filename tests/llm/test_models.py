@@ -223,3 +223,24 @@ def test_tokenizer_rules(spark, table, made, empty):
     assert all(out[k]["kept"] for k, *_ in normal) and not out[1000]["kept"] and out[1000]["fallback_share"] > 0.5
     assert rules(empty).count() == 0
     assert band(np.zeros(400), 12.0, 0.001, 4.0) == (-np.inf, np.inf)
+
+
+@pytest.mark.parametrize("percent", [1, 2, 5])
+def test_junk_does_not_widen_its_band(percent):
+    texts = 10_000
+    values = np.zeros(400)
+    values[0], values[376] = texts * (100 - percent) / 100, texts * percent / 100
+    assert band(values, 1.0, 0.05, 4.0)[1] < 0.1
+    lengths = np.bincount(np.clip(np.random.default_rng(1).normal(140, 8, texts).astype(int), 0, 399), minlength=400).astype(float)
+    lengths[20] += texts * percent / 100
+    low, high = band(lengths, 12.0, 0.05, 4.0)
+    assert 21 * 12 / 400 < low < 110 * 12 / 400 and 170 * 12 / 400 < high
+
+
+def test_planted_junk_is_rejected(spark):
+    words = "the of and people water under house green letter small river stone".split()
+    normal = [(k, " ".join(random.Random(k).choices(words, k=80)) + f" {k}", "en") for k in range(2000)]
+    junk = [(5000 + k, " ".join(chr(0x13000 + random.Random(60 * k + j).randrange(900)) * 4 for j in range(60)), "en") for k in range(60)]
+    docs = spark.createDataFrame(normal + junk, "doc_id long, text string, lang string").repartition(4)
+    rules = tokenizer_rules(docs, public.path("piece_bpe_32k.model"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, max_repeat_percent=100)
+    assert {r["doc_id"] for r in rules.collect() if r["kept"]} == set(range(2000))
