@@ -133,7 +133,9 @@ def scan_licenses(
     with those of templates too, both distinct, sorted and comma-joined; `score`, 1 with a phrase,
     else the largest share of a template that a block holds, 0 without a match; `blocks`, the matches.
     A block is a line, or for longer lines each window of `window` words, a new one every half window;
-    so each template of up to half a window lies whole in some block. A block matches if it holds at
+    the words of the whole text are cut into such windows too (`line` is null for them, and `first`
+    counts from the start of the text), so that notices wrapped over lines are found. So each template
+    of up to half a window lies whole in some block. A block matches if it holds at
     least `threshold` of a template's different words. Null and empty texts have no words. Repeated
     rows are scanned each for itself; an empty table gives an empty table; columns named like the
     added ones are replaced. Templates of over `max_template_words` words in all are refused.
@@ -176,9 +178,13 @@ def scan_licenses(
 
 
 def _match(index: TemplateIndex, text: str, window: int) -> list[dict]:
+    lines = [alnum_words(line) for line in encoded(text).decode().split("\n")]
+    # The text as a whole comes last; where one line has all words, its windows are those of the text.
+    parts = list(enumerate(lines))
+    if sum(map(bool, lines)) > 1:
+        parts.append((None, [w for words in lines for w in words]))
     found = []
-    for number, line in enumerate(encoded(text).split(b"\n")):
-        words = alnum_words(line.decode())
+    for number, words in parts:
         for first in range(0, max(1, len(words) - window // 2), window // 2):
             block = words[first : first + window]
             for label, share in index.search(block):

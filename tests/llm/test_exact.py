@@ -185,7 +185,7 @@ def test_near_copies_of_one_base_are_all_found(spark, monkeypatch, block):
 
     from tarnish.llm import simhash
 
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
     rng = random.Random(9)
     docs = []
     for g, copies in enumerate((9, 14, 40)):
@@ -257,6 +257,17 @@ def test_licenses(table, made, empty):
     assert {*scan_licenses(table).columns} >= {"score", "labels", "n_words", "blocks", "lang"}
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files"
+    gpl = "This program is free software: you can redistribute it and/or\n * modify it under the terms of the GNU General\n * Public License as published by the Free Software Foundation"
+    filler = "\n".join(f"word{k} and word{k + 1}" for k in range(40))
+    texts = [(1, mit), (2, f"{filler}\n{mit}\n{filler}"), (3, gpl), (4, filler), (5, "head\nReleased under the MIT License\ntail"), (6, mit.replace("\n", " "))]
+    found = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [found[k]["labels"] for k in range(1, 7)] == ["mit", "mit", "gpl", "", "mit", "mit"]
+    assert all(b["line"] is None for k in (1, 2) for b in found[k]["blocks"]) and found[2]["score"] == 1.0
+    assert {b["line"] for b in found[5]["blocks"]} == {1, None} and [b["line"] for b in found[6]["blocks"]] == [0]
+
+
 def test_license_join_finds_every_block():
     import random
 
