@@ -197,6 +197,25 @@ def test_near_copies_of_one_base_are_all_found(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in found if r["kept"]) == sorted(set(want.values()))
 
 
+def test_near_copies_are_those_of_the_exact_similarity(spark):
+    """Pairs on both sides of the threshold, and chains of them, as brute force has them."""
+    import random
+
+    rng = random.Random(10)
+    docs = []
+    for g in range(60):
+        base = rng.choices([f"w{k}" for k in range(3000)], k=rng.randint(120, 260))
+        docs += [(g * 10, " ".join(base))]
+        docs += [(g * 10 + k, " ".join(edited(rng, base, rng.randint(3, 7), f"g{g}k{k}"))) for k in range(1, rng.randint(2, 5))]
+    want = shingle_groups(docs)
+    found = {r["doc_id"]: r for r in near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d for d, r in found.items() if r["kept"]} == set(want.values())
+    groups = {}
+    for d, r in found.items():
+        groups.setdefault(r["component"], set()).add(want[d])
+    assert all(len(g) == 1 for g in groups.values())
+
+
 def token_ids(text):
     from tokenizers import Tokenizer as Reference
 
