@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tarnish.model import FD, corrupted_columns, redundancy_dependencies
-from tarnish.operators import cover, incons, prep, profile
+from tarnish.operators import cover, discovery, incons, prep, profile
 from tarnish.plans import sql
 from tarnish.plans.inputs import BROKEN, CONFIGS, LEVEL, SEED, corrupted, line_repairs
 from tarnish.plans.prepare_queries import folded, folds_sql
@@ -99,27 +99,32 @@ CANDIDATES = ["l_orderkey", "l_suppkey", "s_nationkey", "s_nation", "s_regionkey
 SELECT name AS "column", n_distinct, n_distinct > 1 AND n_distinct < (SELECT count(*) FROM ship) AS candidate FROM counts""")
 def candidate_columns(spark, sf):
     rows = views.shipments(spark, sf)
-    kept = profile.candidate_columns(rows)
+    kept = discovery.candidate_columns(rows)
     return profile.distinct_counts(rows).withColumn("candidate", F.col("column").isin(kept))
 
 
 def _discovery_tables() -> str:
-    """For every left side whether any group has two values of each other column, then the columns where none has."""
+    """For every left side whether any group has two values of each other column, then the columns where none has.
+
+    Columns are numbered by value first, so that grouping and comparing are on integers.
+    """
+    numbered = ", ".join(f"dense_rank() OVER (ORDER BY {c}) AS {c}" for c in CANDIDATES)
     ctes, picks = [], []
     for size in (1, 2):
         for lhs in combinations(CANDIDATES, size):
             rest = [c for c in CANDIDATES if c not in lhs]
+            counts = ", ".join(f"min({c}) = max({c}) AS {c}" for c in rest)
+            holds = ", ".join(f"bool_and({c}) AS {c}" for c in rest)
             name = "g_" + "_".join(str(CANDIDATES.index(c)) for c in lhs)
-            tops = ", ".join(f"max({c}) AS {c}" for c in rest)
-            counts = ", ".join(f"CASE WHEN min({c}) = max({c}) THEN 1 ELSE 2 END AS {c}" for c in rest)
-            ctes.append(f"{name} AS MATERIALIZED (SELECT {tops} FROM (SELECT {counts} FROM ship GROUP BY {', '.join(lhs)}))")
-            picks += [f"SELECT '{' + '.join(lhs)}' AS lhs, '{c}' AS rhs, '{size} -> 1' AS kind FROM {name} WHERE {c} = 1" for c in rest]
-    return f"WITH {sql.SHIP.replace('ship AS (', 'ship AS MATERIALIZED (')},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(picks)
+            ctes.append(f"{name} AS (SELECT {holds} FROM (SELECT {counts} FROM coded GROUP BY {', '.join(lhs)}))")
+            picks.append(f"SELECT '{' + '.join(lhs)}' AS lhs, rhs, '{size} -> 1' AS kind FROM (UNPIVOT {name} ON {', '.join(rest)} INTO NAME rhs VALUE holds) WHERE holds")
+    ship = sql.SHIP.replace("ship AS (", "ship AS MATERIALIZED (")
+    return f"WITH {ship},\ncoded AS MATERIALIZED (SELECT {numbered} FROM ship),\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(picks)
 
 
 @query("F5_discover_dependencies", _discovery_tables())
 def discover(spark, sf):
-    return profile.discover(views.shipments(spark, sf), max_lhs=2, refute_fraction=0.05)
+    return discovery.discover(views.shipments(spark, sf), max_lhs=2)
 
 
 @query("F6_group_statistics", f"WITH {DIRTY} " + " UNION ALL ".join(
