@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnish.functions.ranking import free_name
+
 HOT_KEYS = 1000
 
 
@@ -24,14 +26,16 @@ def attach(
     keys, values = list(keys), list(values)
     spread = [identity] if identity in rows.columns else rows.columns
     hot_test = F.col(size) * HOT_KEYS > total
-    hot = stats.filter(hot_test).select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
-    cold = stats.filter(~hot_test).select(*keys, F.lit(0).alias("_slot"), *[F.col(v).alias(f"_cold_{v}") for v in values])
-    slot = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0))
+    # What is joined on goes under names that the rows do not have, values in one struct for each side.
+    mark, slot = free_name(rows, "_hot"), free_name(rows, "_slot")
+    value = F.struct(*[F.col(v) for v in values])
+    hot = stats.filter(hot_test).select(*keys, value.alias(mark))
+    cold = stats.filter(~hot_test).select(*keys, F.lit(0).alias(slot), value.alias(free_name(rows, "_cold")))
+    dealt = F.when(F.col(mark).isNotNull(), 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0))
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slot", slot.cast("int"))
-        .join(cold, [*keys, "_slot"], "left")
-    )
-    return joined.select(
-        *[joined[c] for c in rows.columns], *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values]
+        .withColumn(slot, dealt.cast("int"))
+        .join(cold, [*keys, slot], "left")
+        .withColumn(mark, F.coalesce(mark, free_name(rows, "_cold")))
     )
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns if c not in values], *[F.col(mark).getField(v).alias(v) for v in values])

@@ -66,46 +66,55 @@ def ordered_total(df: DataFrame, keys: Sequence[str], order: str, out: str, weig
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or the first one with underscores added that is no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cutoffs(
-    df: DataFrame, strata: Sequence[str], order: str, tie: str, quota: Callable[[Column, Column], Column]
+    df: DataFrame, strata: Sequence[str], order: str, tie: str, quota: Callable[[Column, Column], Column], out: str = "_cutoff"
 ) -> DataFrame:
-    """The last row that belongs to the `quota` smallest rows of each stratum, as (strata, n, k, cut, cut_tie).
+    """The last row that belongs to the `quota` smallest rows of each stratum, as (strata, out: struct(n, k, cut, cut_tie)).
 
     `quota(n, smallest)` gets the stratum size and the smallest stratum size and returns how many rows to
-    take. A NULL cut means the whole stratum (k >= n) or nothing (k = 0).
+    take; it may use the strata. A NULL cut means the whole stratum (k >= n) or nothing (k = 0).
     """
     strata = list(strata)
     rows = df.select(*strata, F.col(order).alias("_h"), F.col(tie).alias("_t")).withColumn("_b", bucket(F.col("_h")))
     hist = stage(rows.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bn")))
-    sizes = hist.groupBy(*strata).agg(F.sum("_bn").alias("n"))
-    smallest = sizes.agg(F.min("n")).scalar()
+    sizes = hist.groupBy(*strata).agg(F.sum("_bn").alias("_n"))
+    smallest = sizes.agg(F.min("_n")).scalar()
     upto = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(*strata)
     marked = (
         hist.withColumn("_cum", F.sum("_bn").over(upto))
-        .withColumn("n", F.sum("_bn").over(whole))
-        .withColumn("k", quota(F.col("n"), smallest).cast("bigint"))
+        .withColumn("_n", F.sum("_bn").over(whole))
+        .withColumn("_k", quota(F.col("_n"), smallest).cast("bigint"))
     )
     edge = stage(
-        marked.filter((F.col("k") > 0) & (F.col("k") < F.col("n")))
-        .filter((F.col("_cum") >= F.col("k")) & (F.col("_cum") - F.col("_bn") < F.col("k")))
-        .select(*strata, "_b", (F.col("k") - F.col("_cum") + F.col("_bn")).alias("_rest"))
+        marked.filter((F.col("_k") > 0) & (F.col("_k") < F.col("_n")))
+        .filter((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_bn") < F.col("_k")))
+        .select(*strata, "_b", (F.col("_k") - F.col("_cum") + F.col("_bn")).alias("_rest"))
     )
     inside = W.partitionBy(*strata, "_b").orderBy("_h", "_t")
     found = (
         join_nullable(rows, edge, [*strata, "_b"])
         .withColumn("_r", F.row_number().over(inside))
         .filter(F.col("_r") == F.col("_rest"))
-        .select(*strata, F.col("_h").alias("cut"), F.col("_t").alias("cut_tie"))
+        .select(*strata, F.col("_h").alias("_cut"), F.col("_t").alias("_cut_tie"))
     )
-    quotas = marked.groupBy(*strata).agg(F.max("n").alias("n"), F.max("k").alias("k"))
+    quotas = marked.groupBy(*strata).agg(F.max("_n").alias("_n"), F.max("_k").alias("_k"))
     both = quotas.unionByName(found, allowMissingColumns=True)
-    return stage(both.groupBy(*strata).agg(*[F.max(c).alias(c) for c in ("n", "k", "cut", "cut_tie")]))
+    cutoff = F.struct(*[F.max(f"_{c}").alias(c) for c in ("n", "k", "cut", "cut_tie")])
+    return stage(both.groupBy(*strata).agg(cutoff.alias(out)))
 
 
-def within(order: Column, tie: Column) -> Column:
-    """Whether a row lies within the cutoff columns joined to it."""
-    k, n, cut, cut_tie = (F.col(c) for c in ("k", "n", "cut", "cut_tie"))
+def within(order: Column, tie: Column, cutoff: str = "_cutoff") -> Column:
+    """Whether a row lies within the cutoff joined to it."""
+    k, n, cut, cut_tie = (F.col(cutoff).getField(c) for c in ("k", "n", "cut", "cut_tie"))
     inside = (order < cut) | ((order == cut) & (tie <= cut_tie))
     return F.coalesce(F.when(k >= n, F.lit(True)).when(k <= 0, F.lit(False)).otherwise(inside), F.lit(False))
 
@@ -119,20 +128,17 @@ def flag_smallest(
     out: str = "selected",
 ) -> DataFrame:
     """Add boolean `out`: the row is among the `quota` smallest of its stratum by (order, tie)."""
-    cuts = cutoffs(df, strata, order, tie, quota)
+    name = free_name(df, "_cutoff")
+    cuts = cutoffs(df, strata, order, tie, quota, name)
     if strata:
-        return (
-            join_nullable(df, cuts, list(strata), "left")
-            .withColumn(out, within(F.col(order), F.col(tie)))
-            .drop("n", "k", "cut", "cut_tie")
-        )
-    cut = cuts.first()  # one row
-    return df.withColumn(out, literal_within(F.col(order), F.col(tie), cut))
+        return join_nullable(df, cuts, list(strata), "left").withColumn(out, within(F.col(order), F.col(tie), name)).drop(name)
+    found = cuts.first()  # one row
+    return df.withColumn(out, literal_within(F.col(order), F.col(tie), found and found[name]))
 
 
 def literal_within(order: Column, tie: Column, cut) -> Column:
-    """`within` for one cutoff row already on the driver."""
-    if cut is None or cut["k"] <= 0:
+    """`within` for one cutoff already on the driver."""
+    if cut is None or not cut["k"] or cut["k"] <= 0:
         return F.lit(False)
     if cut["k"] >= cut["n"]:
         return F.lit(True)

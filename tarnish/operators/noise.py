@@ -136,7 +136,7 @@ def inject_independent(
     domains = domains or Domains(df, columns)
     draws = F.array(*[F.struct(F.lit(i).alias("fd"), draw(seed, i, F.col(key)).alias("h")) for i in range(1, len(fds) + 1)])
     long = df.select(key, F.explode(draws).alias("d")).select(key, "d.fd", "d.h")
-    cuts = {r["fd"]: r for r in ranking.cutoffs(long, ["fd"], "h", key, percent_of(level)).collect()}  # one per fd
+    cuts = {r["fd"]: r["_cutoff"] for r in ranking.cutoffs(long, ["fd"], "h", key, percent_of(level)).collect()}  # one per fd
     out = df
     for i, fd in enumerate(fds, 1):
         hit = ranking.literal_within(draw(seed, i, F.col(key)), F.col(key), cuts.get(i))
@@ -169,9 +169,10 @@ def inject_grid(
     per_replica = df.withColumn("_v", F.explode(seeds)).select(*df.columns, "_v.replica", "_v._order")
     wanted = F.array(*[F.lit(level) for level in levels])
     long = per_replica.select(key, "replica", "_order").withColumn("level", F.explode(wanted))
-    cuts = ranking.cutoffs(long, ["replica", "level"], "_order", key, lambda n, _: F.floor(n * F.col("level") / 100))
+    name = ranking.free_name(df, "_cutoff")
+    cuts = ranking.cutoffs(long, ["replica", "level"], "_order", key, lambda n, _: F.floor(n * F.col("level") / 100), name)
     versions = per_replica.withColumn("level", F.explode(wanted)).join(cuts, ["replica", "level"])
-    flagged = versions.withColumn("hit", ranking.within(F.col("_order"), F.col(key)))
+    flagged = versions.withColumn("hit", ranking.within(F.col("_order"), F.col(key), name))
     seed = (F.lit(base_seed) + F.col("replica")).cast("string")
     return _replace(flagged, domains, columns, "hit", seed, key, [*df.columns, "level", "replica", "hit"])
 
@@ -194,8 +195,9 @@ def inject_per_fold(
         .withColumn("_order", draw(F.col("_seed"), F.col(key)))
     )
     strata = ["train_fold", "level"]
-    cuts = ranking.cutoffs(versions, strata, "_order", key, lambda n, _: F.floor(n * F.col("level") / 100))
-    flagged = versions.join(cuts, strata).withColumn("hit", ranking.within(F.col("_order"), F.col(key)))
+    name = ranking.free_name(df, "_cutoff")
+    cuts = ranking.cutoffs(versions, strata, "_order", key, lambda n, _: F.floor(n * F.col("level") / 100), name)
+    flagged = versions.join(cuts, strata).withColumn("hit", ranking.within(F.col("_order"), F.col(key), name))
     return _replace(flagged, domains, columns, "hit", F.col("_seed"), key, [*df.columns, *strata, "hit"])
 
 

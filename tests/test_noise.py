@@ -80,3 +80,28 @@ def test_guards(clean):
     broken = noise.guarantees(clean, clean, clean, clean.limit(5), 10, ["a"], [FD(("row_id",), "a")])
     with pytest.raises(AssertionError):
         noise.require_guarantees(broken)
+
+
+def test_columns_may_have_any_name(spark):
+    """Names that the rank and join helpers use themselves, on every operator that goes through them."""
+    from pyspark.sql import functions as F
+
+    from tarnish.functions.joins import attach
+    from tarnish.operators import prep
+
+    names = ["n", "k", "cut", "cut_tie", "_cutoff", "_hot", "_slot", "_cold"]
+    rows = [(f"r{i}", "ab"[i % 3 == 0], f"v{i % 5}", i % 2, *range(len(names))) for i in range(60)]
+    df = spark.createDataFrame(rows, f"row_id string, cls string, a string, fold int, {', '.join(f'{x} int' for x in names)}")
+    assert prep.sample_rows(df, 7, 1).count() == 7
+    assert prep.stratified_sample(df, "cls", 50, 1).count() == 30
+    assert prep.balance(df, "cls", 1).count() == 40 and prep.balance(df, "cls", 1, cap=3).count() == 6
+    assert noise.inject_shared(df, ["a"], 10, 1).filter("hit").count() == 6
+    grid = noise.inject_grid(df, ["a"], [10, 20], [0, 1])
+    assert grid.filter("hit").count() == 36 and set(df.columns) <= set(grid.columns)
+    assert noise.inject_per_fold(df, ["a"], [50], 2).filter("hit").count() == 30
+    groups = df.groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.max("k").alias("top"))
+    got = attach(df, groups, ["cls"], ["size", "top"], "size", 60)
+    assert got.columns == [*df.columns, "size", "top"] and {(r["cls"], r["size"]) for r in got.collect()} == {("a", 40), ("b", 20)}
+    for name in names:  # also as the stratum
+        sample = prep.stratified_sample(df.withColumn(name, F.col("cls")), name, 50, 1)
+        assert sample.count() == 30
