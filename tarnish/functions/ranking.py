@@ -45,25 +45,27 @@ def running_total(
 
 
 def ordered_total(df: DataFrame, keys: Sequence[str], order: str, out: str, weight: Column | None = None) -> DataFrame:
-    """Add `out`: the total weight (default 1) of the rows before this one, per key, by an order that is no draw.
+    """Add `out`: the total weight (default 1) of the rows before this one, per key, by an order that is no draw."""
+    return ordered_totals(df, keys, order, {out: F.lit(1) if weight is None else weight})
+
+
+def ordered_totals(df: DataFrame, keys: Sequence[str], order: str, weights: dict[str, Column]) -> DataFrame:
+    """Add for each name the total of its weight over the rows before this one, per key, by an order that is no draw.
 
     Rows (distinct in keys and order) are range-partitioned, which balances by sampling, and written with
     the number of their range; totals per range then offset the running totals inside each range.
     """
     keys = list(keys)
-    weight = F.lit(1) if weight is None else weight
-    ranged = df.withColumn("_w", weight.cast("bigint")).repartitionByRange(*keys, order)
+    names = [(out, f"_w{i}", f"_p{i}", f"_off{i}") for i, out in enumerate(weights)]
+    ranged = df.withColumns({w: weights[out].cast("bigint") for out, w, _, _ in names}).repartitionByRange(*keys, order)
     rows = stage(ranged.withColumn("_p", F.spark_partition_id()))
-    per_range = rows.groupBy(*keys, "_p").agg(F.sum("_w").alias("_pw"))
+    per_range = rows.groupBy(*keys, "_p").agg(*[F.sum(w).alias(p) for _, w, p, _ in names])
     before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_range.select(*keys, "_p", F.coalesce(F.sum("_pw").over(before), F.lit(0)).alias("_off"))
+    offsets = per_range.select(*keys, "_p", *[F.coalesce(F.sum(p).over(before), F.lit(0)).alias(off) for _, _, p, off in names])
     inside = W.partitionBy(*keys, "_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    return (
-        join_nullable(placed, offsets, [*keys, "_p"])
-        .withColumn(out, F.col("_off") + F.col("_in"))
-        .drop("_w", "_p", "_off", "_in")
-    )
+    placed = join_nullable(rows, offsets, [*keys, "_p"])
+    totals = {out: F.col(off) + F.coalesce(F.sum(w).over(inside), F.lit(0)) for out, w, _, off in names}
+    return placed.withColumns(totals).drop("_p", *[c for _, w, _, off in names for c in (w, off)])
 
 
 def free_name(df: DataFrame, name: str) -> str:

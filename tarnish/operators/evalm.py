@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnish.functions import ranking
 from tarnish.functions.hashing import encode
 from tarnish.model import FD
 from tarnish.operators import noise, prep
@@ -82,12 +84,19 @@ def fold_summary(scores: DataFrame, by: Sequence[str], names: Sequence[str] = ME
 # ---- one column alone ----------------------------------------------------------------------------
 
 
-def univariate_confusion(df: DataFrame, columns: Sequence[str], target: str, folds: int, fold: str = "fold") -> DataFrame:
+def univariate_confusion(
+    df: DataFrame, columns: Sequence[str], target: str, folds: int, fold: str = "fold", leaf: int = 1
+) -> DataFrame:
     """Out-of-fold predictions of each categorical column alone, as confusion counts per (column, fold).
 
     A fully grown tree on one category predicts the majority class of the value, so counts suffice: the
     training count of a fold is the total minus the fold's own count. Ties go to the smallest class; a
     value unseen in training gets the majority class of the training rows.
+
+    Each cut takes one value from the rest. With a smallest `leaf`, values of fewer training rows cannot be
+    cut off and stay together as the rest, and if the rest alone is too small, so does the value whose cut
+    lowers the Gini impurity of all rows least (the largest one of equals). The rest has one majority
+    class, which unseen values get too.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), encode(F.col(c)).alias("value")) for c in columns])
     long = df.select(F.col(target).alias("label"), F.col(fold).alias("_f"), F.explode(cells).alias("cell"))
@@ -108,14 +117,53 @@ def univariate_confusion(df: DataFrame, columns: Sequence[str], target: str, fol
         .groupBy("fold")
         .agg(F.min(F.struct("rank", "label")).getField("label").alias("_default"))
     )
-    predicted = spread.withColumn("_best", best).join(fallback, "fold").filter("n > 0")
+    voted = spread.withColumn("_best", best)
+    if leaf > 1:
+        rest = _rest(spread, leaf)
+        alone = F.struct(F.lit(0).cast("long").alias("rank"), F.col("_pool").alias("label"))
+        voted = (
+            spread.join(rest.values, ["column", "fold", "value"], "left").join(rest.classes, ["column", "fold"], "left")
+            .withColumn("_best", F.when(F.col("_pooled") | (F.sum("train").over(W.partitionBy("column", "value", "fold")) == 0), F.when(F.col("_pool").isNotNull(), alone)).otherwise(best))
+        )
+    predicted = voted.join(fallback, "fold").filter("n > 0")
     choice = F.coalesce(F.col("_best.label"), F.col("_default"))
     return predicted.groupBy("column", "fold", "label", choice.alias("prediction")).agg(F.sum("n").alias("n"))
 
 
-def univariate_power(df: DataFrame, columns: Sequence[str], target: str, folds: int, fold: str = "fold") -> DataFrame:
+class _Rest(NamedTuple):
+    values: DataFrame  # (column, fold, value, _pooled) of the values that stay together
+    classes: DataFrame  # (column, fold, _pool): the majority class of those values
+
+
+def _rest(spread: DataFrame, leaf: int) -> _Rest:
+    """The values of each (column, fold) that no cut can take off, see `univariate_confusion`."""
+    keys = ["column", "fold"]
+    square = F.sum((F.col("train") * F.col("train")).cast("double"))
+    values = spread.groupBy(*keys, "value").agg(F.sum("train").alias("rows"), square.alias("own")).filter("rows > 0")
+    totals = spread.groupBy(*keys, "label").agg(F.sum("train").alias("_all"))
+    # What a cut leaves: the squares of the other rows' class counts, from sums of products.
+    products = spread.join(totals, [*keys, "label"]).groupBy(*keys, "value").agg(F.sum(F.col("train") * F.col("_all").cast("double")).alias("both"))
+    whole = totals.groupBy(*keys).agg(F.sum("_all").alias("_n"), F.sum((F.col("_all") * F.col("_all")).cast("double")).alias("_squares"))
+    left = (F.col("_squares") - 2 * F.col("both") + F.col("own")) / F.nullif(F.col("_n") - F.col("rows"), F.lit(0))
+    values = values.join(products, [*keys, "value"]).join(whole, keys).withColumn("gain", F.col("own") / F.col("rows") + left)
+    values = stage(values.select(*keys, "value", "rows", "gain"))
+    small = values.groupBy(*keys).agg(
+        F.sum(F.when(F.col("rows") < leaf, F.col("rows"))).alias("small"),
+        F.min(F.when(F.col("rows") >= leaf, F.col("gain"))).alias("least"),
+    )
+    near = values.join(small, keys)
+    last = near.filter((F.col("small") < leaf) & (F.col("rows") >= leaf) & (F.col("gain") == F.col("least"))).groupBy(*keys).agg(F.max("value").alias("value"))
+    pooled = near.filter(F.col("rows") < leaf).select(*keys, "value").unionByName(last.select(*keys, "value")).withColumn("_pooled", F.lit(True))
+    pooled = stage(pooled)
+    votes = spread.join(pooled, [*keys, "value"]).groupBy(*keys, "label").agg(F.sum("train").alias("votes")).filter("votes > 0")
+    return _Rest(pooled, votes.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("rank"), "label")).getField("label").alias("_pool")))
+
+
+def univariate_power(
+    df: DataFrame, columns: Sequence[str], target: str, folds: int, fold: str = "fold", leaf: int = 1
+) -> DataFrame:
     """Weighted F1 of each categorical column alone: mean and population deviation over folds."""
-    scores = metrics(univariate_confusion(df, columns, target, folds, fold), ["column", "fold"])
+    scores = metrics(univariate_confusion(df, columns, target, folds, fold, leaf), ["column", "fold"])
     return scores.groupBy("column").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_sd"))
 
 
@@ -142,20 +190,70 @@ def nearest_seen(values: DataFrame, keys: Sequence[str], order: str, seen: Colum
     )
 
 
-def numeric_confusion(df: DataFrame, column: str, target: str, folds: int, fold: str = "fold") -> DataFrame:
+def leaf_choices(values: DataFrame, keys: Sequence[str], order: str, votes: str, leaf: int) -> DataFrame:
+    """(keys, order, choice): the place of the majority class in the leaf that each value of one number falls in.
+
+    `values` are distinct in keys and order and hold an array of rows by class. The tree is fully grown: a
+    node is cut between two values where the Gini impurity falls most (the lowest cut of equals), as long
+    as both sides have at least `leaf` rows. A node is a stretch of the sorted values, so running totals,
+    made once, give the class counts on both sides of every cut: a level of the tree is one pass of
+    grouped maxima over all its nodes, for all keys at once. Ties go to the first class.
+    """
+    keys = list(keys)
+    width = values.select(F.max(F.size(votes))).first()[0] or 1
+    spread = values.select(*keys, order, *[F.get(votes, F.lit(k)).alias(f"_c{k}") for k in range(width)])
+    run = ranking.ordered_totals(spread, keys, order, {f"_b{k}": F.col(f"_c{k}") for k in range(width)})
+    array = lambda f: F.array(*[f(k) for k in range(width)])
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x)
+    squares = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x * x)
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    # `upto`: class counts up to this value; a node is (rows before it, class counts before it and up to its end).
+    run = run.select(*keys, order, array(lambda k: F.col(f"_b{k}") + F.col(f"_c{k}")).alias("upto"))
+    ends = run.groupBy(*keys).agg(F.max_by("upto", order).alias("end"))
+    open_ = run.join(ends, keys).withColumn("start", array(lambda k: F.lit(0).cast("long")))
+    done = []
+    while True:
+        whole = minus(F.col("end"), F.col("start"))
+        inside = total(whole)
+        mixed = (F.array_max(whole) < inside) & (inside >= 2 * leaf)
+        left, right = minus(F.col("upto"), F.col("start")), minus(F.col("end"), F.col("upto"))
+        n_left, n_right = total(left), total(right)
+        gain = F.when(mixed & (n_left >= leaf) & (n_right >= leaf), squares(left) / n_left + squares(right) / n_right)
+        open_ = stage(open_.withColumn("node", total(F.col("start"))).withColumn("gain", gain))
+        cut = F.max(F.when(F.col("gain").isNotNull(), F.struct("gain", (-F.col(order)).alias("low"), "upto"))).alias("cut")
+        cuts = open_.groupBy(*keys, "node").agg(cut)
+        joined = open_.drop("gain").join(cuts, [*keys, "node"]).drop("node")
+        best = F.transform(whole, lambda x: -x)
+        done.append(joined.filter("cut IS NULL").select(*keys, order, (F.array_position(best, F.array_min(best)) - 1).cast("int").alias("choice")))
+        lower = F.col(order) <= -F.col("cut.low")
+        split = joined.filter("cut IS NOT NULL").select(
+            *keys, order, "upto", F.when(lower, F.col("start")).otherwise(F.col("cut.upto")).alias("start"),
+            F.when(lower, F.col("cut.upto")).otherwise(F.col("end")).alias("end"),
+        )
+        open_ = stage(split)
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
+def numeric_confusion(df: DataFrame, column: str, target: str, folds: int, fold: str = "fold", leaf: int = 1) -> DataFrame:
     """Out-of-fold predictions of one numeric column alone, as confusion counts per fold.
 
     A fully grown tree on one number predicts the majority class of the value, the smallest class on
     ties; a value that training has not seen gets the class of the nearest one, the lower one if two
     are as near, because cuts lie in the middle. Missing values, in training and test, are the median of
     the fold's training rows. Counts of values suffice, so neither depth nor number of cuts is limited.
+    With a smallest `leaf` the tree is grown level by level, see `leaf_choices`; all classes are counted side
+    by side then, so their number has to be small.
     """
     rows = nan_to_null(df.select(F.col(column).cast("double").alias("x"), F.col(target).alias("label"), F.col(fold).alias("_f")))
-    medians = {f: prep.fit_medians(rows.filter(F.col("_f") != f), ["x"])["x"] for f in range(folds)}
+    medians = [None] * folds
+    if not rows.filter("x IS NULL").isEmpty():
+        medians = [m and m[0] for m in prep.quantiles(rows, {str(f): F.when(F.col("_f") != f, F.col("x")) for f in range(folds)}, [0.5]).values()]
     own = [F.count_if(F.col("_f") == f).alias(f"_n{f}") for f in range(folds)]
     counts = rows.groupBy("x", "label").agg(F.count(F.lit(1)).alias("_all"), *own)
     per_fold = F.array(
-        *[F.struct(F.lit(f).alias("fold"), F.coalesce("x", F.lit(medians[f])).alias("x"), F.col(f"_n{f}").alias("n")) for f in range(folds)]
+        *[F.struct(F.lit(f).alias("fold"), F.coalesce("x", F.lit(medians[f]).cast("double")).alias("x"), F.col(f"_n{f}").alias("n")) for f in range(folds)]
     )
     cells = counts.withColumn("_x", F.explode(per_fold)).groupBy("_x.fold", "_x.x", "label").agg(
         F.sum("_x.n").alias("n"), F.sum(F.col("_all") - F.col("_x.n")).alias("train")
@@ -163,6 +261,13 @@ def numeric_confusion(df: DataFrame, column: str, target: str, folds: int, fold:
     cells = stage(cells)
     vote = F.when(F.col("train") > 0, F.struct((-F.col("train")).alias("rank"), "label"))
     values = cells.groupBy("fold", "x").agg(F.min(vote).getField("label").alias("choice"))
+    if leaf > 1:
+        classes = [r[0] for r in cells.select("label").distinct().orderBy("label").collect()]  # the classes of the target
+        count = lambda c: F.coalesce(F.sum(F.when(F.col("label") == c, F.col("train"))), F.lit(0)).cast("long")
+        seen = cells.filter("train > 0").groupBy("fold", "x").agg(F.array(*[count(c) for c in classes]).alias("votes"))
+        leaves = leaf_choices(seen, ["fold"], "x", "votes", leaf)
+        label = F.get(F.array(*[F.lit(c) for c in classes]), F.col("choice")).alias("choice")
+        values = values.drop("choice").join(leaves.select("fold", "x", label), ["fold", "x"], "left")
     near = nearest_seen(values, ["fold"], "x", F.col("choice").isNotNull())
     closer = F.when(F.col("above").isNull() | (F.col("x") - F.col("below") <= F.col("above") - F.col("x")), F.col("below")).otherwise(F.col("above"))
     seen = near.filter("choice IS NOT NULL").select("fold", F.col("x").alias("_like"), F.col("choice").alias("prediction"))
@@ -170,32 +275,40 @@ def numeric_confusion(df: DataFrame, column: str, target: str, folds: int, fold:
     return cells.filter("n > 0").join(chosen, ["fold", "x"]).groupBy("fold", "label", "prediction").agg(F.sum("n").alias("n"))
 
 
-def numeric_power(df: DataFrame, column: str, target: str, folds: int, fold: str = "fold") -> DataFrame:
+def numeric_power(df: DataFrame, column: str, target: str, folds: int, fold: str = "fold", leaf: int = 1) -> DataFrame:
     """Weighted F1 of one numeric column alone: mean and population deviation over folds."""
-    scores = metrics(numeric_confusion(df, column, target, folds, fold), ["fold"])
+    scores = metrics(numeric_confusion(df, column, target, folds, fold, leaf), ["fold"])
     return scores.agg(F.lit(column).alias("column"), F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_sd"))
 
 
 def screen_targets(
-    df: DataFrame, targets: dict[str, str], columns: Sequence[str], folds: int, seed, cap: int | None = None, key: str = "row_id"
+    df: DataFrame, targets: dict[str, str | tuple[str, int]], columns: Sequence[str], folds: int, seed, cap: int | None = None,
+    key: str = "row_id", leaf: int = 1,
 ) -> DataFrame:
     """Candidate targets x columns: classes, rows, chance level and F1 of each column alone.
 
-    `targets` maps a display name to a target column. Classes are balanced (and, if the caller says so,
-    capped); numbers are ranked next to categories; a column that occurs in the name of the target is skipped.
+    `targets` maps a display name to a target column, or to a numeric one and a number of quantile bins that
+    make its classes. Classes are balanced (and, if the caller says so, capped); numbers are ranked next to
+    categories; a column that occurs in the name of the target is skipped. `leaf` is the smallest leaf.
     """
-    wanted = [key, *dict.fromkeys([*targets.values(), *columns])]
-    rows = stage(df.select(*wanted))
+    sources = [t if isinstance(t, str) else t[0] for t in targets.values()]
+    wanted = [key, *dict.fromkeys([*sources, *columns])]
+    whole = stage(df.select(*wanted))
     parts = []
     for name, target in targets.items():
+        rows = whole
+        if not isinstance(target, str):
+            source, bins = target
+            target = ranking.free_name(whole, "target")
+            rows = prep.quantile_bins(whole, source, bins, target)
         usable = [c for c in columns if c not in name and c != target]
         balanced = stage(prep.balance(rows.select(key, *dict.fromkeys([target, *usable])), target, seed, key, cap))
         folded = prep.assign_folds(balanced, target, folds, seed, key)
         size = balanced.agg(F.count_distinct(target).alias("classes"), F.count(F.lit(1)).alias("n_rows"))
         facts = size.select(F.lit(name).alias("target"), "classes", "n_rows", (1 / F.col("classes")).alias("chance")).first()
         numeric, categorical = prep.feature_roles(folded.select(*usable), [])
-        powers = [univariate_power(folded, categorical, target, folds)] if categorical else []
-        power = reduce(DataFrame.unionByName, [*powers, *[numeric_power(folded, c, target, folds) for c in numeric]])
+        powers = [univariate_power(folded, categorical, target, folds, leaf=leaf)] if categorical else []
+        power = reduce(DataFrame.unionByName, [*powers, *[numeric_power(folded, c, target, folds, leaf=leaf) for c in numeric]])
         parts.append(
             power.select(
                 F.lit(name).alias("target"), F.lit(facts["classes"]).alias("classes"), F.lit(facts["n_rows"]).alias("n_rows"),

@@ -108,6 +108,65 @@ def numeric_power(spark, sf):
     return rounded(reduce(DataFrame.unionByName, [evalm.numeric_power(rows, c, TARGET, 3) for c in NUMBERS]))
 
 
+LEAF = 5
+
+
+def _leaf_numeric_sql() -> str:
+    """Each number alone by a tree with leaves of at least LEAF rows: nodes are stretches of values, cut again and again."""
+    return _numeric_sql().split("best AS")[0] + f"""
+tr AS (SELECT f, col, x, label, count(*) AS n FROM nums JOIN nf ON fold <> f GROUP BY ALL),
+vals AS (SELECT f, col, x, row_number() OVER (PARTITION BY f, col ORDER BY x) AS i FROM (SELECT DISTINCT f, col, x FROM tr)),
+labs AS (SELECT DISTINCT label FROM nums),
+pre AS (SELECT v.f, v.col, v.i, b.label, sum(coalesce(t.n, 0)) OVER (PARTITION BY v.f, v.col, b.label ORDER BY v.i) AS cum
+  FROM vals v CROSS JOIN labs b LEFT JOIN tr t ON t.f = v.f AND t.col = v.col AND t.x = v.x AND t.label = b.label
+  UNION ALL SELECT DISTINCT v.f, v.col, 0, b.label, 0 FROM vals v CROSS JOIN labs b),
+tree(f, col, a, b) AS (SELECT f, col, CAST(0 AS BIGINT), max(i) FROM vals GROUP BY 1, 2 UNION ALL
+  SELECT f, col, unnest([a, cut]), unnest([cut, b]) FROM (
+    SELECT f, col, a, b, arg_max(i, struct_pack(g := gain, l := -i)) AS cut FROM (
+      SELECT t.f, t.col, t.a, t.b, p.i, CAST(sum((p.cum - s.cum) * (p.cum - s.cum)) AS DOUBLE) / CAST(sum(p.cum - s.cum) AS DOUBLE)
+             + CAST(sum((e.cum - p.cum) * (e.cum - p.cum)) AS DOUBLE) / CAST(sum(e.cum - p.cum) AS DOUBLE) AS gain
+      FROM tree t JOIN pre p ON p.f = t.f AND p.col = t.col AND p.i > t.a AND p.i < t.b
+      JOIN pre s ON s.f = t.f AND s.col = t.col AND s.i = t.a AND s.label = p.label JOIN pre e ON e.f = t.f AND e.col = t.col AND e.i = t.b AND e.label = p.label
+      GROUP BY t.f, t.col, t.a, t.b, p.i HAVING sum(p.cum - s.cum) >= {LEAF} AND sum(e.cum - p.cum) >= {LEAF}) GROUP BY f, col, a, b)),
+leaves AS (SELECT f, col, a, min(b) AS b FROM tree GROUP BY f, col, a),
+named AS (SELECT l.f, l.col, l.a, l.b, e.label, row_number() OVER (PARTITION BY l.f, l.col, l.a ORDER BY e.cum - s.cum DESC, e.label) AS rn FROM leaves l
+  JOIN pre s ON s.f = l.f AND s.col = l.col AND s.i = l.a JOIN pre e ON e.f = l.f AND e.col = l.col AND e.i = l.b AND e.label = s.label),
+known AS (SELECT v.f, v.col, v.x, c.label FROM vals v JOIN named c ON c.f = v.f AND c.col = v.col AND v.i > c.a AND v.i <= c.b AND c.rn = 1),
+asked AS""" + _numeric_sql().split("asked AS")[1]
+
+
+@query("M8_numeric_power_leaf", f"WITH RECURSIVE {sql.SHIP}, {folds_sql(3)}, {_leaf_numeric_sql()}, {_METRICS} SELECT col AS \"column\", round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_sd FROM scores GROUP BY 1")
+def numeric_power_leaf(spark, sf):
+    rows = stage(folded(spark, sf, 3).select(*NUMBERS, TARGET, "fold"))
+    return rounded(reduce(DataFrame.unionByName, [evalm.numeric_power(rows, c, TARGET, 3, leaf=LEAF) for c in NUMBERS]))
+
+
+def _leaf_confusion_sql(src: str, columns, folds: int, label: str = TARGET, tag: str = "") -> str:
+    """Like `_confusion_sql`, with values of fewer than LEAF training rows, and what has to stay with them, taken together."""
+    plain = _confusion_sql(src, columns, folds, label, tag).split(f"conf{tag} AS")[0]
+    return plain + f"""tv{tag} AS (SELECT f, col, value, label, count(*) AS n FROM long{tag} JOIN f{tag} ON fold <> f GROUP BY ALL),
+tot{tag} AS (SELECT f, col, label, sum(n) AS a FROM tv{tag} GROUP BY ALL),
+wh{tag} AS (SELECT f, col, sum(a) AS whole, CAST(sum(a * a) AS DOUBLE) AS sq FROM tot{tag} GROUP BY ALL),
+va{tag} AS (SELECT f, col, value, sum(n) AS r, CAST(sum(n * n) AS DOUBLE) AS own, CAST(sum(n * a) AS DOUBLE) AS together FROM tv{tag} JOIN tot{tag} USING (f, col, label) GROUP BY ALL),
+ga{tag} AS (SELECT f, col, value, r, own / r + (sq - 2 * together + own) / nullif(whole - r, 0) AS gain FROM va{tag} JOIN wh{tag} USING (f, col)),
+sm{tag} AS (SELECT f, col, sum(r) FILTER (WHERE r < {LEAF}) AS small, min(gain) FILTER (WHERE r >= {LEAF}) AS least FROM ga{tag} GROUP BY f, col),
+pool{tag} AS (SELECT f, col, value FROM ga{tag} WHERE r < {LEAF} UNION ALL
+  SELECT f, col, max(value) FROM ga{tag} JOIN sm{tag} USING (f, col) WHERE small < {LEAF} AND r >= {LEAF} AND gain = least GROUP BY f, col),
+rest{tag} AS (SELECT f, col, label, row_number() OVER (PARTITION BY f, col ORDER BY sum(n) DESC, label) AS rn FROM tv{tag} JOIN pool{tag} USING (f, col, value) GROUP BY f, col, label),
+conf{tag} AS (SELECT l.col, l.fold, l.label, CASE WHEN p.value IS NOT NULL OR s.label IS NULL THEN coalesce(r.label, u.label) ELSE s.label END AS prediction, count(*) AS n FROM long{tag} l
+  LEFT JOIN seen{tag} s ON s.f = l.fold AND s.col = l.col AND s.value = l.value AND s.rn = 1 LEFT JOIN pool{tag} p ON p.f = l.fold AND p.col = l.col AND p.value = l.value
+  LEFT JOIN rest{tag} r ON r.f = l.fold AND r.col = l.col AND r.rn = 1 JOIN usual{tag} u ON u.f = l.fold AND u.rn = 1 GROUP BY ALL)"""
+
+
+LEAF_CATEGORIES = [*CATEGORIES, "o_custkey", "l_orderkey"]
+
+
+@query("M8_univariate_power_leaf", f"WITH {sql.SHIP}, {folds_sql(3)}, {_leaf_confusion_sql('folded', LEAF_CATEGORIES, 3)}, {_METRICS} "
+       "SELECT col AS \"column\", round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_sd FROM scores GROUP BY 1")
+def univariate_power_leaf(spark, sf):
+    return rounded(evalm.univariate_power(folded(spark, sf, 3), LEAF_CATEGORIES, TARGET, 3, leaf=LEAF))
+
+
 SCREENED = {"duration (5 bands)": "duration_bucket", "area of c_region": "c_region", "l_returnflag": "l_returnflag"}
 SCREEN_COLUMNS = ["s_nation", "c_region", "lane_group", "ship_month"]
 
@@ -132,6 +191,28 @@ def target_screening(spark, sf):
     return rounded(evalm.screen_targets(rows, SCREENED, SCREEN_COLUMNS, 3, SEED))
 
 
+QUANTILE_SOURCE = "lane_distance"
+QUANTILE_COLUMNS = ["s_nation", "ship_month", "o_custkey"]
+
+
+def _quantile_sql() -> str:
+    """Three bands of equal size as classes, balanced, and each column alone with leaves of at least LEAF rows."""
+    edges = ", ".join(f"quantile_cont({QUANTILE_SOURCE}::DOUBLE, {k}/3.0::DOUBLE) AS e{k}" for k in (1, 2))
+    return f"""WITH {sql.SHIP}, edges AS (SELECT {edges} FROM ship),
+banded AS (SELECT ship.*, CASE WHEN {QUANTILE_SOURCE} <= e1 THEN 0 WHEN {QUANTILE_SOURCE} <= e2 THEN 1 ELSE 2 END AS band FROM ship, edges),
+bal AS ({sql.ranked_choice('banded', SEED, 'band', '(SELECT min(c) FROM (SELECT count(*) AS c FROM banded GROUP BY band))')}),
+folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY band ORDER BY {sql.draw(sql.lit(SEED), 'row_id')}, row_id) - 1) % 3 AS INTEGER) AS fold FROM bal),
+{_leaf_confusion_sql('folded', QUANTILE_COLUMNS, 3, 'band')}, {_METRICS}
+SELECT 'distance (3 bands)' AS target, (SELECT count(DISTINCT band) FROM bal) AS classes, (SELECT count(*) FROM bal) AS n_rows,
+ round(1 / (SELECT count(DISTINCT band) FROM bal), 6) AS chance, col AS "column", round(avg(f1), 6) AS f1_mean FROM scores GROUP BY col"""
+
+
+@query("M9_quantile_target_screening", _quantile_sql())
+def quantile_target_screening(spark, sf):
+    rows = views.shipments(spark, sf).withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    return rounded(evalm.screen_targets(rows, {"distance (3 bands)": (QUANTILE_SOURCE, 3)}, QUANTILE_COLUMNS, 3, SEED, leaf=LEAF))
+
+
 # ---- models --------------------------------------------------------------------------------------
 
 

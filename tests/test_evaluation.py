@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -110,3 +112,43 @@ def test_replicas_resume(spark, data, tmp_path):
     dirty = rows["C1", 30]
     assert 0 < dirty["share"] <= 0.3 and dirty["ih"] <= dirty["ih_approx"] <= 2 * dirty["ih"] and dirty["f1_clean"] >= dirty["f1_dirty"] - 0.2
     assert experiment.run_replicas(clean, {"C1": [FD(("k",), "d")]}, **args).count() == 2
+
+
+def grown(values, leaf):
+    """Class of every value by the tree's definition: [(x, votes)] in order of x."""
+    total = [sum(v[k] for _, v in values) for k in range(len(values[0][1]))]
+    cuts = []
+    for i in range(1, len(values)):
+        left = [sum(v[k] for _, v in values[:i]) for k in range(len(total))]
+        right = [t - x for t, x in zip(total, left, strict=True)]
+        if min(sum(left), sum(right)) >= leaf:
+            cuts.append((sum(x * x for x in left) / sum(left) + sum(x * x for x in right) / sum(right), -i))
+    if max(total) == sum(total) or not cuts:
+        return {x: total.index(max(total)) for x, _ in values}
+    i = -max(cuts)[1]
+    return grown(values[:i], leaf) | grown(values[i:], leaf)
+
+
+@pytest.mark.parametrize("leaf", [2, 5])
+def test_leaves_of_a_tree_on_one_number(spark, leaf):
+    rng = random.Random(leaf)
+    values = {g: [(float(x), [rng.randint(0, 3) for _ in range(3)]) for x in sorted(rng.sample(range(100), n))] for g, n in ((0, 40), (1, 1), (2, 7))}
+    values = {g: [(x, v) for x, v in rows if sum(v)] or [(1.0, [0, 2, 0])] for g, rows in values.items()}
+    rows = [(g, x, v) for g, some in values.items() for x, v in some]
+    df = spark.createDataFrame(rows, "g int, x double, votes array<long>")
+    got = {(r["g"], r["x"]): r["choice"] for r in evalm.leaf_choices(df, ["g"], "x", "votes", leaf).collect()}
+    assert got == {(g, x): c for g, some in values.items() for x, c in grown(some, leaf).items()}
+
+
+def test_small_values_stay_together(spark):
+    """Values of under five rows share a class; alone they are too few, so the least telling value joins them."""
+    rows = [("big", "u", 8), ("big", "v", 2), ("flat", "u", 5), ("flat", "v", 5), ("rare", "v", 2), ("odd", "v", 1), ("new", "u", 0)]
+    train = [(v, label, 1) for v, label, n in rows for _ in range(n)]
+    test = [(v, "u", 0) for v in ("big", "flat", "rare", "odd", "new")]
+    df = spark.createDataFrame(train + test, "v string, y string, fold int")
+    pooled = {r["prediction"]: r["n"] for r in evalm.univariate_confusion(df, ["v"], "y", 2, leaf=5).filter("fold = 0").collect()}
+    assert pooled == {"u": 1, "v": 4}  # big alone; flat, rare and odd hold 5 u and 8 v, and so does what is new
+    alone = {r["prediction"]: r["n"] for r in evalm.univariate_confusion(df, ["v"], "y", 2, leaf=1).filter("fold = 0").collect()}
+    assert alone == {"u": 3, "v": 2}
+    again = evalm.univariate_confusion(df, ["v"], "y", 2).exceptAll(evalm.univariate_confusion(df, ["v"], "y", 2, leaf=1))
+    assert again.isEmpty()

@@ -34,6 +34,24 @@ def test_quantiles_are_exact(spark, rows):
     assert prep.exact_quantiles(tied, "v", [0.5, 1]) == [5.0, 1e9]
 
 
+def test_quantiles_of_many_columns_in_two_passes(spark, monkeypatch):
+    """Beyond the exact small case: ties, gaps, NaN, an empty column, and brackets that miss."""
+    rng = random.Random(6)
+    data = [(rng.gauss(0, 1), float(rng.randint(0, 3)), None if rng.random() < 0.5 else rng.random(), None, float("nan") if rng.random() < 0.2 else 7.0) for _ in range(3000)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double").repartition(3)
+    wanted = [0, 0.25, 0.5, 0.9, 1]
+    columns = {c: F.col(c) for c in df.columns}
+    want = {c: [v for v in (row[i] for row in data) if v is not None and v == v] for i, c in enumerate("abcde")}
+    for few, margin in ((10_000, 0.005), (0, 0.005), (0, 0.0)):
+        monkeypatch.setattr(prep, "FEW_ROWS", few)
+        monkeypatch.setattr(prep, "MARGIN", margin)
+        got = prep.quantiles(df, columns, wanted)
+        assert got["d"] is None
+        assert all(got[c] == pytest.approx(list(np.quantile(want[c], wanted))) for c in "abce")
+    with pytest.raises(ValueError, match="d has no values"):
+        prep.fit_medians(df, ["a", "d"])
+
+
 def test_choice_does_not_depend_on_partitions(rows):
     first = {r["row_id"] for r in prep.sample_rows(rows, 77, 1).collect()}
     again = {r["row_id"] for r in prep.sample_rows(rows.repartition(7, "v"), 77, 1).collect()}
