@@ -27,9 +27,10 @@ def number_value(token: Column, decimal: str, thousands: str) -> Column:
 
     number := whole decimal-sign fraction; fraction := 1 to 4 digits; whole := digits, or a group of 1 to 3
     digits followed by groups of exactly 3, with a thousands sign before each. Thousands signs at both ends
-    of the run are punctuation of the sentence and do not count.
+    of the run, and then one decimal sign at its end, are punctuation of the sentence and do not count.
     """
-    halves = F.split(F.btrim(token, F.lit(thousands)), f"\\{decimal}", -1)
+    run = F.regexp_replace(F.btrim(token, F.lit(thousands)), rf"\{decimal}$", "")
+    halves = F.split(run, f"\\{decimal}", -1)
     fraction, groups = F.get(halves, F.lit(1)), F.split(F.get(halves, F.lit(0)), f"\\{thousands}", -1)
     rest = F.slice(groups, 2, F.size(groups))
     grouped = (F.char_length(F.get(groups, F.lit(0))) <= 3) & F.forall(rest, lambda g: F.char_length(g) == 3)

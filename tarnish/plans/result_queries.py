@@ -316,7 +316,7 @@ def _claims_sql(src: str, decimal: str, thousands: str) -> str:
     return f"""tidy AS (SELECT doc_id, regexp_replace(regexp_replace(text, {blank}), {blank}) AS text FROM {src}),
 cut AS (SELECT doc_id, text, regexp_extract_all(text, {signs}) AS runs, regexp_split_to_array(text, {signs}) AS gaps FROM tidy),
 each_run AS (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM cut),
-halved AS (SELECT *, runs[i] AS run, string_split(trim(runs[i], '{thousands}'), '{decimal}') AS h FROM each_run),
+halved AS (SELECT *, runs[i] AS run, string_split(regexp_replace(trim(runs[i], '{thousands}'), '{d}$', ''), '{decimal}') AS h FROM each_run),
 claims AS (SELECT doc_id, text, i, run, runs, gaps, CAST(replace(h[1], '{thousands}', '') || '.' || h[2] AS DOUBLE) AS value FROM halved WHERE {number})"""
 
 

@@ -8,6 +8,7 @@ from tarnish.operators import claims
 TEXTS = [
     "", "no number", "0,5", "F1 da 0,9214 a 0,8430 e 1.234.567,89 euro, circa 3 , 1416.", "1,2,3 and 12,34567 and 5.5,1",
     "x" * 300 + " 7,25 " + "y" * 50 + " 8,5\n\n\t9,75 " + "z" * 200, "1,5 2,5 3,5 " * 60, "a1,2b ,5 6, 7", "1 , 2 , 3 4 ,5", "30000,0 and 0,5.",
+    "first 0,92, then 0,84,, and 1.5,2,. end 3,25,",
 ]
 
 
@@ -29,7 +30,7 @@ def reference(text):
         while end < len(tidy) and tidy[end] in "0123456789,.":
             end += 1
         if end > k:
-            whole, sign, part = tidy[k:end].strip(".").partition(",")
+            whole, sign, part = tidy[k:end].strip(".").removesuffix(",").partition(",")
             groups = whole.split(".")
             grouped = len(groups) == 1 or (len(groups[0]) <= 3 and all(len(g) == 3 for g in groups[1:]))
             if sign and part.isdigit() and len(part) <= 4 and all(g.isdigit() for g in groups) and grouped:
@@ -42,11 +43,17 @@ def reference(text):
 @pytest.mark.parametrize("run, value", [
     ("0,5", 0.5), ("1.234,5", 1234.5), ("1234,5", 1234.5), ("12.34,5", None), ("1234.567,8", None), ("1,2,3", None), ("5", None), ("0,12345", None),
     (".7,25.", 7.25), (",5", None), ("5,", None), ("1..2,5", None), ("1,2.5", None),
+    ("0,92,", 0.92), ("0,92,,", None), ("1,2,3,", None), (".1.234,5,", 1234.5),
 ])
 def test_number_grammar(spark, run, value):
     assert spark.range(1).select(claims.number_value(F.lit(run), ",", ".")).first()[0] == value
 
 
+@pytest.mark.parametrize("run, value", [("4.0.", 4.0), ("2.0", 2.0), ("1,234.5.", 1234.5), ("192.168.0.1.", None), ("1.2.3", None), ("7.", None)])
+def test_a_number_may_end_a_sentence(spark, run, value):
+    assert spark.range(1).select(claims.number_value(F.lit(run), ".", ",")).first()[0] == value
+
+
 def test_extraction_matches_a_plain_scan(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
     got = {}
