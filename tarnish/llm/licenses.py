@@ -4,7 +4,8 @@ Templates are the query set and are small; all text blocks stream past them. Wor
 global order, rarest first, by how many documents of the corpus hold them. If a block shares enough
 words with a template then it shares one of the template's first, rare ones (prefix filter); a block
 must be long enough (length filter), and from the place of the first shared word enough words must be
-left (position filter). What passes is counted exactly.
+left (position filter). What passes is counted exactly. Short notices of different licenses share most of
+their words, so of the templates found a block is labelled by those whose deciding words it has.
 """
 
 from __future__ import annotations
@@ -67,9 +68,48 @@ class TemplateIndex:
             for place, word in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(word, []).append((len(self.templates), place))
             self.templates.append((label, frozenset(words), need))
+        self.deciding = [self._deciding(k) for k in range(len(self.templates))]
+
+    def _deciding(self, k: int) -> tuple[frozenset[bytes], int]:
+        """Words of a template that tell it from templates of other labels, and how many of them a block needs.
+
+        Where the words of another template would do for this one, all that it has besides them are needed. If
+        no more than two words are used by its own label alone, they name the license and are needed too;
+        of more of them the threshold's share is.
+        """
+        label, words, need = self.templates[k]
+        others = [w for name, w, _ in self.templates if name != label]
+        own = words - frozenset().union(*others)
+        told = frozenset().union(*(words - w for w in others if len(words & w) >= need))
+        if told or len(own) <= 2:
+            return told | (own if len(own) <= 2 else frozenset()), len(told | (own if len(own) <= 2 else frozenset()))
+        return own, math.ceil(self.threshold * len(own) - 1e-9)
+
+    def decide(self, block: list[bytes]) -> list[tuple[str, float]]:
+        """Of the templates that the block holds, those whose deciding words it has too.
+
+        A template goes if all its words, or all but words that every notice may use, are in another found
+        template that has deciding words of its own.
+        """
+        words = set(block)
+        found = [(k, share) for k, share in self._search(block) if len(words & self.deciding[k][0]) >= self.deciding[k][1]]
+        out = []
+        for k, share in found:
+            label, mine, _ = self.templates[k]
+            rivals = [j for j, _ in found if self.templates[j][0] != label]
+            inside = any(mine < self.templates[j][1] for j in rivals)
+            nameless = not self.deciding[k][0] and any(
+                self.deciding[j][0] and len(mine & self.templates[j][1]) >= (2 * self.threshold - 1) * len(mine) for j in rivals
+            )
+            if not inside and not nameless:
+                out.append((label, share))
+        return out
 
     def search(self, block: list[bytes]) -> list[tuple[str, float]]:
         """Every template of which the block holds at least the threshold's share: (label, share)."""
+        return [(self.templates[k][0], share) for k, share in self._search(block)]
+
+    def _search(self, block: list[bytes]) -> list[tuple[int, float]]:
         words = set(block)
         known = sorted((w for w in words if w in self.rank), key=self.rank.__getitem__)
         found, seen = [], set()
@@ -78,13 +118,13 @@ class TemplateIndex:
                 if k in seen:
                     continue
                 seen.add(k)
-                label, template, need = self.templates[k]
+                _, template, need = self.templates[k]
                 # Words before this place are rarer; none of the template's is in the block, or the
                 # template had been seen. So at most what follows here, on both sides, can be shared.
                 if len(words) >= need and min(len(template) - place, len(known) - at) >= need:
                     shared = len(template & words)
                     if shared >= need:
-                        found.append((label, shared / len(template)))
+                        found.append((k, shared / len(template)))
         return found
 
 
@@ -122,7 +162,7 @@ def scan_licenses(
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = PHRASES,
     threshold: float = 0.8,
-    window: int = 64,
+    window: int | None = None,
     max_template_words: int = 100_000,
     with_text: bool = True,
 ) -> DataFrame:
@@ -132,14 +172,16 @@ def scan_licenses(
     smallest and largest start, else null; `base_labels`, the labels of found phrases, and `labels`
     with those of templates too, both distinct, sorted and comma-joined; `score`, 1 with a phrase,
     else the largest share of a template that a block holds, 0 without a match; `blocks`, the matches.
-    A block is a line, or for longer lines each window of `window` words, a new one every half window;
+    A block is a line, or for longer lines each window of `window` words (64, or twice the longest template
+    if that is more), a new one every half window;
     the words of the whole text are cut into such windows too (`line` is null for them, and `first`
     counts from the start of the text), so that notices wrapped over lines are found. So each template
     of up to half a window lies whole in some block. A block matches if it holds at
-    least `threshold` of a template's different words. Null and empty texts have no words. Repeated
+    least `threshold` of a template's different words and those that tell the license from its likes. Null and empty texts have no words. Repeated
     rows are scanned each for itself; an empty table gives an empty table; columns named like the
     added ones are replaced. Templates of over `max_template_words` words in all are refused.
     """
+    window = window or max(64, 2 * max((len(alnum_words(t)) for _, t in templates), default=0))
     vocabulary = frozenset(w for _, t in templates for w in alnum_words(t))
     if sum(len(t.split()) for _, t in templates) > max_template_words:
         raise ValueError("too many template words for one index")
@@ -187,6 +229,6 @@ def _match(index: TemplateIndex, text: str, window: int) -> list[dict]:
     for number, words in parts:
         for first in range(0, max(1, len(words) - window // 2), window // 2):
             block = words[first : first + window]
-            for label, share in index.search(block):
+            for label, share in index.decide(block):
                 found.append({"label": label, "line": number, "first": first, "words": len(block), "containment": share})
     return found

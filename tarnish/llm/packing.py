@@ -9,6 +9,8 @@ with the lowest estimated cost that still has room.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 
 import numpy as np
@@ -33,20 +35,28 @@ class Tokenizer:
 
     A blank between two characters that are not white space always begins a token group of the
     pattern, so a text is the sequence of its blank-separated parts; texts with other arrangements of
-    blanks are encoded whole.
+    blanks are encoded whole. Special tokens are cut out first and stand for their own ids.
     """
 
     CACHE = 250_000
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
+        self.special = {word: np.array([number], "<u4").tobytes() for word, number in (special or {}).items()}
+        # Of two that start at one place the longer one counts.
+        self.cuts = re.compile("(" + "|".join(re.escape(w) for w in sorted(self.special, key=len, reverse=True)) + ")") if special else None
 
     def ids(self, text: str) -> bytes:
+        if self.cuts and any(word in text for word in self.special):
+            return b"".join(self.special.get(part) or self._ids(part) for part in self.cuts.split(text) if part)
+        return self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if first[-1:].isspace() or not first:
             return self._whole(text)
@@ -71,6 +81,12 @@ class Tokenizer:
         return np.array(self.encode(text), "<u4").tobytes()
 
 
+def special_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Words that a tokenizer file adds to its vocabulary, with their ids."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file).get("added_tokens", ())}
+
+
 def deal(lengths: np.ndarray, size: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of at most `size` tokens.
 
@@ -106,17 +122,18 @@ def pack(
     quadratic: float = 1.0 / 1024,
     block_docs: int = 8192,
     with_ids: bool = False,
+    special: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text) in sequences of `size` tokens; `ids` with `with_ids`.
 
-    A document is the ids of its text, then `end_id`; a null text is empty, so it is `end_id` alone.
+    A document is the ids of its text, where words of `special` stand for their ids, then `end_id`; a null text is empty, so it is `end_id` alone.
     Each id lies in one piece; pieces of a sequence follow each other from offset 0. `cost` is the
     piece's estimated cost, linear plus quadratic in its length. All sequences are full but at most
     one for each block of `block_docs` documents of a task. Repeated rows are packed each for itself,
     a null doc_id stays null, other columns are not used. An empty table gives an empty table.
     """
     schema = T.StructType([*PIECE.fields, IDS]) if with_ids else PIECE
-    make = lambda: _Packer(Tokenizer(ranks_path, pattern), end_id, size, linear, quadratic, block_docs, with_ids)
+    make = lambda: _Packer(Tokenizer(ranks_path, pattern, special), end_id, size, linear, quadratic, block_docs, with_ids)
     return map_rows(docs.select("doc_id", "text"), make, schema, 500)
 
 

@@ -14,7 +14,7 @@ from tarnish.llm.licenses import scan_licenses
 from tarnish.llm.line_dedup import drop_repeated_lines
 from tarnish.llm.maxent import score_texts
 from tarnish.llm.negatives import hard_negatives
-from tarnish.llm.packing import pack
+from tarnish.llm.packing import pack, special_tokens
 from tarnish.llm.quality import score_quality
 from tarnish.llm.search import search
 from tarnish.llm.simhash import near_duplicates
@@ -40,7 +40,8 @@ def query(name: str, sql: str | None = None):
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    special = special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=special)
 
 
 @query("op6_decontaminate")

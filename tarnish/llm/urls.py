@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.llm.frequent import least_count, most_frequent
+from tarnish.llm.frequent import least_count
 from tarnish.llm.text import map_rows, without
 from tarnish.session import stage
 
@@ -80,22 +80,28 @@ class Segmenter:
     LONGEST = 24
     CACHE = 100_000
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
+        self.total = total
         self.logs = {w: math.log(n / total) for w, n in counts.items() if len(w) <= self.LONGEST}
         self.unknown = -math.log(total)
         self.cache: dict[str, list[str]] = {}
 
-    def _log(self, word: str) -> float:
-        # An unknown word costs more with every letter, so known words win where they fit.
-        return self.logs.get(word, self.unknown - 2.5 * len(word))
+    def _log(self, word: str, rare: dict[str, int] | None = None) -> float:
+        known = self.logs.get(word)
+        if known is None:
+            n = rare and rare.get(word)
+            # An unknown word costs more with every letter, so known words win where they fit.
+            known = math.log(n / self.total) if n else self.unknown - 2.5 * len(word)
+        return known
 
-    def __call__(self, name: str) -> list[str]:
+    def __call__(self, name: str, rare: dict[str, int] | None = None) -> list[str]:
+        """The words of `name`; `rare` are the counts of those of its stretches that the head does not hold."""
         found = self.cache.get(name)
         if found is None:
             best, back = [0.0], [0]
             for stop in range(1, len(name) + 1):
-                score, start = max((best[k] + self._log(name[k:stop]), k) for k in range(max(0, stop - self.LONGEST), stop))
+                score, start = max((best[k] + self._log(name[k:stop], rare), k) for k in range(max(0, stop - self.LONGEST), stop))
                 best.append(score)
                 back.append(start)
             found, stop = [], len(name)
@@ -114,30 +120,48 @@ def judge_urls(
     rules: Sequence[tuple[str, str]] = RULES,
     seeds: Sequence[str] = tuple(SEEDS),
     max_words: int = 100_000,
-    smoothing: float = 0.5,
-    seed_weight: float = 20.0,
+    smoothing: float = 0.1,
+    seed_share: float = 0.5,
 ) -> DataFrame:
     """`pages` without `html`, with `host`, `path`, `rule`, `verdict`, `words` and `log_odds`.
 
     `verdict` is the rule's where one fits, else `block` if naive Bayes gives the words of host and
-    path positive log odds, else `allow`. The word model counts the words of all pages; the `max_words`
-    most frequent ones and all seeds are kept, which bounds what each task holds. Class counts come
-    from all URLs; a seed also counts `seed_weight` times for the block class. A null url or one
+    path positive log odds, else `allow`. The word model counts the words of all pages and class counts come
+    from all URLs: those with a seed are the block class. The block class draws `seed_share` of its words
+    evenly from the seeds, however many URLs and seeds there are, and the rest as its URLs do. The
+    `max_words` most frequent words go to every task; what rarer words say is joined to the URLs that
+    need it, so the result does not depend on `max_words`. A null url or one
     without `://` has an empty host and path, no words, and the verdict `allow`. Repeated rows are
     judged each for itself, an empty table gives an empty table, and columns named like the added
     ones are replaced.
     """
-    rows = without(pages, ADDED)
+    rows = without(pages, (*ADDED, "_row", "_tail"))
+    carried = [c for c in rows.columns if c.lower() != "html"]
+    split = rows.select(*[F.col(f"`{c}`") for c in carried], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    split = split.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_row", F.monotonically_increasing_id())
+
     counted = map_rows(pages.select("html"), _WordCounts, "word string, n long", 200).groupBy("word").agg(F.sum("n").alias("n"))
-    counts = most_frequent(stage(counted), max_words)
-    typical = max(1, sum(counts.values()) // max(1, len(counts)))
-    for seed in seeds:
-        counts[seed] = max(counts.get(seed, 0), typical)
-    carried = [F.col(f"`{c}`") for c in rows.columns if c.lower() != "html"]
-    split = rows.select(*carried, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    split = split.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    counted = stage(counted)
+    total, different = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    least = least_count(counted, max_words)
+    head = {r["word"]: r["n"] for r in counted.filter(F.col("n") >= least).collect()}
+    typical = max(1, total // max(1, different))
+    own = {r["word"]: r["n"] for r in counted.filter(F.col("word").isin(*seeds)).collect()} if seeds else {}
+    head |= {seed: max(own.get(seed, 0), typical) for seed in seeds}
+    tail = counted.filter((F.col("n") < least) & (~F.col("word").isin(*seeds) if seeds else F.lit(True)))
+    split = stage(split)
+    pairs = "array<struct<word:string,n:long>>"
+    if tail.isEmpty():
+        split = split.withColumn("_tail", F.lit(None).cast(pairs))
+    else:
+        # Every stretch of a name that is a rare word, by an equality join on the different names' substrings.
+        named = stage(map_rows(split.select("_row", "host", "path"), _naming, "_row long, name string"))
+        parts = map_rows(named.select("name").distinct(), _parts, "name string, word string")
+        rare = parts.join(tail, "word").groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("words"))
+        per_row = named.join(rare, "name").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("_tail"))
+        split = split.join(per_row, "_row", "left")
     split = split.withColumn("words", F.lit(None).cast("array<string>"))
-    table = stage(map_rows(split, _segmenting(counts), split.schema))
+    table = stage(map_rows(split, _segmenting(head, total + sum(head[s] - own.get(s, 0) for s in seeds)), split.schema)).drop("_tail")
 
     is_seeded = F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False)
     tokens = table.withColumn("bad", F.coalesce(is_seeded, F.lit(False)))
@@ -146,22 +170,29 @@ def judge_urls(
         F.sum(F.col("bad").cast("long")).alias("bad"), F.sum((~F.col("bad")).cast("long")).alias("good")
     )
     by_word = stage(by_word.withColumn("n", F.col("bad") + F.col("good")))
-    frequent = by_word.filter(F.col("n") >= least_count(by_word, max_words)).collect()
-    bad = {r["word"]: r["bad"] for r in frequent}
-    good = {r["word"]: r["good"] for r in frequent}
-    for seed in seeds:
-        bad[seed] = bad.get(seed, 0) + seed_weight
-        good.setdefault(seed, 0)
-    all_bad, all_good, size = sum(bad.values()), sum(good.values()), len(bad) + 1
-    logs = {
-        w: math.log((bad[w] + smoothing) / (all_bad + smoothing * size)) - math.log((good[w] + smoothing) / (all_good + smoothing * size))
-        for w in bad
-    }
+    all_bad, all_good, size = by_word.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count(F.lit(1))).first()
+    size += len(seeds) + 1
+    even = seed_share / len(seeds) if seeds else 0.0
+
+    def odds(bad, good, seed, log):
+        in_bad = (1 - seed_share) * (bad + smoothing) / (all_bad + smoothing * size) + seed * even
+        return log(in_bad) - log((good + smoothing) / (all_good + smoothing * size))
+
+    least = least_count(by_word, max_words)
+    logs = {s: odds(0, 0, 1, math.log) for s in seeds}
+    frequent = by_word.filter(F.col("n") >= least) if not seeds else by_word.filter((F.col("n") >= least) | F.col("word").isin(*seeds))
+    logs |= {r["word"]: odds(r["bad"], r["good"], r["word"] in seeds, math.log) for r in frequent.collect()}
     prior = math.log((totals.get(True, 0) + 1) / (totals.get(False, 0) + 1))
+    rare = by_word.filter((F.col("n") < least) & (~F.col("word").isin(*seeds) if seeds else F.lit(True)))
+    rare_odds = rare.select("word", odds(F.col("bad"), F.col("good"), 0, F.log).alias("odds"))
+    each = table.select("_row", F.explode("words").alias("word")).join(rare_odds, "word")
+    table = table.join(each.groupBy("_row").agg(F.sum("odds").alias("_tail")), "_row", "left")
 
     def make():
         def work(columns):
-            columns["log_odds"] = [prior + sum(logs.get(w, 0.0) for w in words or ()) for words in columns["words"]]
+            columns["log_odds"] = [
+                prior + sum(logs.get(w, 0.0) for w in words or ()) + (rest or 0.0) for words, rest in zip(columns["words"], columns["_tail"], strict=True)
+            ]
             return columns
 
         return work
@@ -172,17 +203,37 @@ def judge_urls(
     verdicts = F.create_map(*[F.lit(x) for v, r in rules for x in (r, v)]) if rules else None
     if rules:
         verdict = F.coalesce(F.try_element_at(verdicts, F.col("rule")), verdict)
-    return scored.withColumn("verdict", verdict)
+    return scored.withColumn("verdict", verdict).select(*[F.col(f"`{c}`") for c in carried], *ADDED)
+
+
+def _names(host: str, path: str) -> list[str]:
+    return [name for name in LETTERS.findall(host.lower()) + LETTERS.findall(path.lower()) if name not in SILENT]
+
+
+def _naming():
+    def work(columns):
+        found = [(row, name) for row, host, path in zip(columns["_row"], columns["host"], columns["path"], strict=True) for name in set(_names(host, path))]
+        return {"_row": [r for r, _ in found], "name": [n for _, n in found]}
+
+    return work
+
+
+def _parts():
+    def work(columns):
+        found = [(name, part) for name in columns["name"] for part in {name[a:b] for a in range(len(name)) for b in range(a + 1, min(len(name), a + Segmenter.LONGEST) + 1)}]
+        return {"name": [n for n, _ in found], "word": [w for _, w in found]}
+
+    return work
 
 
-def _segmenting(counts: dict[str, int]):
+def _segmenting(counts: dict[str, int], total: int):
     def make():
-        segmenter = Segmenter(counts)
+        segmenter = Segmenter(counts, total)
 
         def work(columns):
-            for k, (host, path) in enumerate(zip(columns["host"], columns["path"], strict=True)):
-                names = LETTERS.findall(host.lower()) + LETTERS.findall(path.lower())
-                columns["words"][k] = [w for name in names if name not in SILENT for w in segmenter(name)]
+            for k, (host, path, tail) in enumerate(zip(columns["host"], columns["path"], columns["_tail"], strict=True)):
+                rare = {t["word"]: t["n"] for t in tail or ()}
+                columns["words"][k] = [w for name in _names(host, path) for w in segmenter(name, rare)]
             return columns
 
         return work

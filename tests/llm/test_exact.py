@@ -14,7 +14,7 @@ from tarnish.llm.decontaminate import SuffixAutomaton, decontaminate, merged
 from tarnish.llm.fertility import base_counts
 from tarnish.llm.licenses import scan_licenses
 from tarnish.llm.line_dedup import drop_repeated_lines
-from tarnish.llm.packing import Tokenizer, deal, pack
+from tarnish.llm.packing import Tokenizer, deal, pack, special_tokens
 from tarnish.llm.simhash import links, near_copies, near_duplicates
 from tests.llm import plain
 
@@ -220,13 +220,12 @@ def token_ids(text):
     from tokenizers import Tokenizer as Reference
 
     reference = Reference.from_file(public.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     return reference.encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_cache_is_exact(made):
-    tokens = Tokenizer(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
-    extra = [" lead", "trail ", "two  blanks", "a\n b", "a \nb", "a\n\nb c", "it's don't", "<|endoftext|> x", "a\xa0b c", "\x1c a", "12 34,5"]
+    tokens = Tokenizer(public.path("byte_bpe_50k.tiktoken"), public.PATTERN, special_tokens(public.path("byte_bpe_50k.json")))
+    extra = [" lead", "trail ", "two  blanks", "a\n b", "a \nb", "a\n\nb c", "it's don't", "<|endoftext|> x", "a <|endoftext|><|endoftext|>b <|endoftext|> ", "a\xa0b c", "\x1c a", "12 34,5"]
     for text in [t for _, t in made if t and len(t) < 5000] + extra:
         for _ in range(2):
             assert list(memoryview(tokens.ids(text)).cast("I")) == token_ids(text)
@@ -287,6 +286,23 @@ def test_wrapped_licenses(spark):
     assert {b["line"] for b in found[5]["blocks"]} == {1, None} and [b["line"] for b in found[6]["blocks"]] == [0]
 
 
+def test_labels_are_told_apart(spark):
+    notices = {
+        "gpl": "This work is licensed under the GNU General Public License, version 3.",
+        "agpl": "Licensed under the GNU Affero General Public License, version 3.",
+        "lgpl": "licensed under the GNU Lesser General Public License, version 2.1",
+        "cc-by-nc": "licensed under CC BY-NC 4.0", "cc-by-sa": "Licensed under CC BY-SA 4.0.", "cc-by-nc-sa": "licensed under CC BY-NC-SA 4.0",
+        "cc-by-nc-nd": "Licensed under CC-BY-NC-ND 4.0", "mit": "Released under the MIT License", "apache": "Licensed under the Apache License, Version 2.0",
+        "": "Released under the license. You may use it under the terms of the public license, version 3.",
+    }
+    base = {"gpl": "gpl", "lgpl": "", "agpl": "", "mit": "mit", "apache": "apache"}
+    docs = spark.createDataFrame([(k, f"Some words before.\n{t}\nand after") for k, t in enumerate(notices.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(docs).collect()}
+    for k, label in enumerate(notices):
+        phrase = base.get(label, "cc-by" if label.startswith("cc-by") else "")
+        assert got[k] == ",".join(sorted({label, phrase} - {""})), label
+
+
 def test_license_join_finds_every_block():
     import random
 

@@ -14,7 +14,7 @@ from tarnish.llm.gram import summed
 from tarnish.llm.maxent import CLASSES, Vocabulary, Weights, contexts, log_classes, score_texts, tokens
 from tarnish.llm.quality import isotonic, score_quality, statistics
 from tarnish.llm.toxicity import correlated, fit_toxicity, score_toxicity
-from tarnish.llm.urls import Segmenter, host_of, judge_urls, path_of
+from tarnish.llm.urls import SEEDS, Segmenter, host_of, judge_urls, path_of
 from tests.llm import plain
 
 public = pytest.importorskip("public_tokenizers")
@@ -196,6 +196,37 @@ def test_urls(spark):
     assert split == len(pages)
 
 
+def test_url_verdicts_do_not_depend_on_the_head(spark):
+    """Rare words are joined, so a head of 3 words judges like one that holds all; company of seeds blocks."""
+    rng = random.Random(2)
+    plain_words = [f"{a}{b}" for a in ("garden", "river", "music", "school", "winter") for b in ("path", "stone", "book", "light")]
+    urls = [f"http://{rng.choice(plain_words)}{rng.choice(plain_words)}.example.com/{rng.choice(plain_words)}" for _ in range(120)]
+    urls += [f"http://casino{rng.choice(['velvet', 'diamond'])}.example.com/velvet/diamond{k}" for k in range(25)]
+    urls += ["http://velvetdiamond.example.com/diamond/velvet/velvet", "http://gardenpath.example.com/riverstone"]
+    html = " ".join(plain_words + ["velvet", "diamond", "casino", "garden", "path"])
+    df = spark.createDataFrame([(k, u, html) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    few, many = ({r["page_id"]: r for r in judge_urls(df, max_words=n).collect()} for n in (3, 100_000))
+    for k, r in many.items():
+        assert (r["words"], r["verdict"]) == (few[k]["words"], few[k]["verdict"]) and r["log_odds"] == pytest.approx(few[k]["log_odds"])
+    company, clean = many[len(urls) - 2], many[len(urls) - 1]
+    assert company["verdict"] == "block" and not set(company["words"]) & set(SEEDS)
+    assert clean["verdict"] == "allow" and sum(r["verdict"] == "block" for r in many.values()) == 26
+
+
+def test_url_odds_by_plain_counts(spark):
+    df = spark.createDataFrame([(k, f"http://{h}.test/", "free casino music river") for k, h in enumerate(["casino", "casinomusic", "river", "river", "music"])], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in judge_urls(df, seeds=("casino",)).collect()}
+    words = [r["words"] for _, r in sorted(got.items())]
+    bad, good = [w for ws in words if "casino" in ws for w in ws], [w for ws in words if "casino" not in ws for w in ws]
+    size = len(set(bad + good)) + 2
+    for k, ws in enumerate(words):
+        want = math.log((2 + 1) / (3 + 1))
+        for w in ws:
+            want += math.log(0.5 * (bad.count(w) + 0.1) / (len(bad) + 0.1 * size) + 0.5 * (w == "casino"))
+            want -= math.log((good.count(w) + 0.1) / (len(good) + 0.1 * size))
+        assert got[k]["log_odds"] == pytest.approx(want)
+
+
 def test_viterbi_finds_the_best_split():
     counts = {"ab": 20, "a": 5, "b": 3, "bc": 9, "c": 2, "abc": 1}
     segment = Segmenter(counts)
