@@ -142,7 +142,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3) -> DataF
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-BLOCK, FEW = 256, 16
+BLOCK = 256  # entries of a bucket that are compared in one task
+CROWD, MOST_CROWDED = 200, 1 << 20
+ROUNDS = 3
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -155,41 +157,79 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in found), np.uint64, len(found)).view(np.int64))
 
 
-def _needed(n: Column | np.ndarray, similarity: float, ceil=np.ceil):
+def _needed(n: Column, similarity: float) -> Column:
     """Least number of shared shingles of two sets with `n` shingles in all."""
-    return ceil(n * (similarity / (1 + similarity)) - 1e-9)
+    return F.ceil(n * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _possible(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (u, v) that the sizes and prefixes of the sets leave possible."""
-    sides = [entries.select(F.col("entry").alias(k), F.col("size").alias(f"size_{k}"), F.col("prefix").alias(f"prefix_{k}")) for k in "uv"]
-    both = pairs.join(sides[0], "u").join(sides[1], "v")
-    # Up to the smaller of the last prefix hashes, all that the two sets share is in both prefixes.
-    until = F.least(F.element_at("prefix_u", -1), F.element_at("prefix_v", -1))
-    after = [F.col(f"size_{k}") - F.size(F.filter(f"prefix_{k}", lambda x: x <= until)) for k in "uv"]
-    most = F.size(F.array_intersect("prefix_u", "prefix_v")) + F.least(*after)
-    # The bound also holds the lengths: no more than the smaller set can be shared.
-    return both.filter(most >= _needed(F.col("size_u") + F.col("size_v"), similarity, F.ceil)).select("u", "v")
-
-
-def _possible_in_block(sets: list[np.ndarray], sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """The same for all pairs of a few prefixes, as a square of flags."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.cumsum(count > 1) - 1
-    owner, code = owner[count[code] > 1], place[code[count[code] > 1]]
-    shared = np.zeros((n, n), np.float32)
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    for low in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
-        a, b = np.searchsorted(code, (low, low + 4096))
-        part = np.zeros((n, 4096), np.float32)
-        part[owner[a:b], code[a:b] - low] = 1
-        shared += part @ part.T
-    last = np.array([s[-1] for s in sets])
-    after = np.array([size - np.searchsorted(s, last, side="right") for s, size in zip(sets, sizes, strict=True)])
-    return shared + np.minimum(after, after.T) >= _needed(sizes[:, None] + sizes[None, :], similarity)
+def _prefixes(texts: DataFrame, similarity: float, width: int, late) -> DataFrame:
+    """Every row with its set's hash and size, and the prefix of the set: hashes in rising order, those of `late` last."""
+
+    def make():
+        last = late.value
+
+        def order(found):
+            if not len(last):
+                return found, None
+            at = np.minimum(np.searchsorted(last, found), len(last) - 1)
+            is_late = last[at] == found
+            return np.concatenate([found[~is_late], found[is_late]]), len(found) - is_late.sum()
+
+        def work(r):
+            out = {c: [] for c in ("entry", "size", "prefix", "end")}
+            for found in (shingles(t, width) for t in r["text"]):
+                entry = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+                n = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
+                placed, early = order(found)
+                out["entry"].append(entry - (1 << 64) if entry >> 63 else entry)
+                out["size"].append(len(found))
+                out["prefix"].append(placed[:n])
+                out["end"].append({"late": early is not None and n > early, "x": int(placed[n - 1])} if n else None)
+            return {"doc_id": r["doc_id"], "text_hash": r["text_hash"]} | out
+
+        return work
+
+    return map_rows(texts, make, "doc_id long, text_hash long, entry long, size long, prefix array<long>, end struct<late:boolean,x:long>")
+
+
+def _index(rows: DataFrame) -> DataFrame:
+    """(x, entry, size, end, n, low): the prefix hashes that at least two entries have, with the smallest entry of each."""
+    one = rows.select("entry", "size", "end", "prefix").dropDuplicates(["entry"])
+    cells = one.select("entry", "size", "end", F.explode("prefix").alias("x"))
+    side = F.struct("entry", "size", "end")
+    buckets = cells.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min(side).alias("low")).filter("n > 1")
+    return stage(cells.join(buckets, "x"))
+
+
+def _possible(shared: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of those pairs that may be similar, given one row (u, v: entry, size, end) for each shared prefix hash.
+
+    Up to the earlier end of both prefixes, all that the sets share is in both prefixes and so was
+    counted; beyond, no more can be shared than the set with the earlier end has left.
+    """
+    left = lambda side: F.ceil(F.col(f"{side}.size") * similarity - 1e-9) - 1
+    rest = F.when(F.col("u.end") <= F.col("v.end"), left("u")).otherwise(left("v"))
+    counted = shared.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
+    possible = F.col("c") + rest >= _needed(F.col("u.size") + F.col("v.size"), similarity)
+    return counted.filter(possible).select(F.col("u.entry").alias("u"), F.col("v.entry").alias("v"))
+
+
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v), once for each bucket they share, of all entries of `rows` (x, entry, size, end, n, root) in different groups.
+
+    Large buckets are cut into parts that meet two by two, so no task holds more than two of them.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("entry", "x"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select(
+        "x", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "root", F.struct("entry", "size", "end").alias("side")
+    )
+    left = dealt.select("x", "a", "b", F.col("part").alias("part_u"), F.col("root").alias("root_u"), F.col("side").alias("u"))
+    right = dealt.select("x", "a", "b", F.col("part").alias("part_v"), F.col("root").alias("root_v"), F.col("side").alias("v"))
+    # No more can be shared than the smaller set has.
+    lengths = F.least("u.size", "v.size") >= _needed(F.col("u.size") + F.col("v.size"), similarity)
+    met = left.join(right, ["x", "a", "b"]).filter("u.entry > v.entry AND root_u <> root_v AND (a = b OR part_u <> part_v)")
+    return met.filter(lengths).select("u", "v")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -197,61 +237,41 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
 
     Texts are near copies if their sets of hashed shingles of `width` words have a Jaccard similarity of
     at least `similarity`, counted exactly; a group is what such pairs connect. Two such sets share one
-    of their smallest hashes (prefix filter), which is what entries are joined by; sizes and prefixes
-    bound what a pair can share, and pairs left are counted over whole sets. First every bucket of a
-    hash is checked against its smallest entry. Then, in buckets whose entries are not all in one group
-    by that, all pairs of different groups are checked; large buckets are cut into blocks for it, so
-    no task holds more than two blocks. `kept` marks the smallest doc_id of each group (of equal ids,
-    the smallest text hash). Rows with equal sets are one entry. Null and wordless texts are copies of
-    each other. A null doc_id is above all others. Repeated rows share their verdict. An empty table
-    gives an empty table.
+    of the first hashes of both in any order of all hashes (prefix filter), which is what entries are
+    joined by. First every bucket of a hash is checked against its smallest entry, which finds most
+    groups. Where a bucket of more than a few hundred entries then still holds different groups, its hash
+    belongs to a passage that many texts share: such hashes go to the end of the order and prefixes are cut
+    anew. Last, all entries of different groups in one bucket are paired, the hashes that they share are
+    counted, and pairs that may be similar are decided over whole sets. `kept` marks the smallest doc_id of
+    each group (of equal ids, the smallest text hash). Rows with equal sets are one entry. Null and wordless
+    texts are copies of each other. A null doc_id is above all others. Repeated rows share their verdict.
+    An empty table gives an empty table.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-
-    def make():
-        def work(r):
-            sets = [shingles(t, width) for t in r["text"]]
-            entry = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
-            prefix = [s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1] for s in sets]
-            signed = [e - (1 << 64) if e >> 63 else e for e in entry]
-            return {"doc_id": r["doc_id"], "text_hash": r["text_hash"], "entry": signed, "size": [len(s) for s in sets], "prefix": prefix}
-
-        return work
-
-    rows = stage(map_rows(texts, make, "doc_id long, text_hash long, entry long, size long, prefix array<long>"))
-    entries = stage(rows.groupBy("entry", "size", "prefix").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
-    index = entries.select("entry", F.explode("prefix").alias("x"))
-    buckets = index.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("low")).filter("n > 1")
-    index = stage(index.join(buckets, "x"))
-    stars = index.filter("entry <> low").select(F.col("entry").alias("u"), F.col("low").alias("v")).distinct()
-    near = stage(_counted(_possible(stars, entries, similarity), texts, entries, similarity, width))
-    groups = components(near).withColumnRenamed("node", "entry")
-
-    open_ = index.filter("n > 2").select("x", "n", "entry").join(groups, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
-    mixed = open_.groupBy("x").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("x")
-    open_ = stage(open_.join(mixed, "x"))
-    few = open_.filter(F.col("n") <= FEW).select("x", F.col("entry").alias("u"), F.col("root").alias("root_u"))
-    other = few.select("x", F.col("u").alias("v"), F.col("root_u").alias("root_v"))
-    pairs = few.join(other, "x").filter("v < u and root_u <> root_v").select("u", "v").distinct()
-
-    def compare(group):
-        sets = [np.asarray(p) for p in group["prefix"]]
-        flags = _possible_in_block(sets, group["size"].to_numpy(), similarity)
-        root, part, entry = (group[c].to_numpy() for c in ("root", "part", "entry"))
-        flags &= root[:, None] != root[None, :]
-        if part.min() < part.max():
-            flags &= part[:, None] != part[None, :]
-        u, v = np.nonzero(flags & (entry[:, None] > entry[None, :]))
-        return type(group)({"u": entry[u], "v": entry[v]})
-
-    many = open_.filter(F.col("n") > FEW).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    many = many.withColumn("part", F.pmod(F.xxhash64("entry", "x"), F.col("parts")).cast("int"))
-    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("x", "entry", "root", "part", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"))
-    many = many.join(entries.select("entry", "size", "prefix"), "entry")
-    blocks = many.groupBy("x", "a", "b").applyInPandas(compare, "u long, v long").distinct()
-    rest = stage(_possible(pairs, entries, similarity).unionByName(blocks).distinct())
-    more = _counted(rest, texts, entries, similarity, width)
+    late = np.zeros(0, np.int64)
+    rows = stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast(late)))
+    entries = stage(rows.groupBy("entry", "size").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    index = _index(rows)
+    # A pair of a star may share hashes of other buckets too, so this only finds promising pairs early.
+    stars = index.filter("entry <> low.entry").select(F.struct("entry", "size", "end").alias("u"), F.col("low").alias("v"))
+    near = stage(_counted(_possible(stars, similarity), texts, entries, similarity, width))
+    groups = stage(components(near).withColumnRenamed("node", "entry"))
+
+    # There are at most MOST_CROWDED crowded hashes in a round, whatever the number of texts.
+    crowd = max(CROWD, index.count() // MOST_CROWDED)
+    for turn in range(ROUNDS + 1):
+        open_ = index.drop("low").join(groups, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+        mixed = stage(open_.groupBy("x", "n").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("x", "n"))
+        if turn == ROUNDS:
+            break
+        crowded = [r["x"] for r in mixed.filter(F.col("n") > crowd).select("x").collect()]
+        if not crowded:
+            break
+        late = np.union1d(late, np.array(crowded, np.int64))
+        index = _index(stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast(late))))
+    pairs = _pairs(open_.join(mixed.select("x"), "x"), similarity)
+    more = _counted(_possible(pairs, similarity), texts, entries, similarity, width)
 
     roots = components(near.unionByName(more)).withColumnRenamed("node", "entry")
     rooted = entries.select("entry", "first").join(roots, "entry", "left").withColumn("component", F.coalesce("root", "entry")).drop("root")
@@ -265,7 +285,8 @@ def _counted(pairs: DataFrame, texts: DataFrame, entries: DataFrame, similarity:
     """Those of `pairs` (u, v) whose whole sets of shingles are similar, counted; only their texts are cut again."""
     pairs = stage(pairs)
     used = pairs.select(F.col("u").alias("entry")).unionByName(pairs.select(F.col("v").alias("entry"))).distinct()
-    wanted = entries.join(used, "entry").select("entry", "first.doc_id", "first.text_hash")
+    # Staged, so that Spark knows its size and sends it to the texts while it is small.
+    wanted = stage(entries.join(used, "entry").select("entry", "first.doc_id", "first.text_hash"))
     source = texts.join(wanted, ["doc_id", "text_hash"]).select("entry", "text")
 
     def make():
@@ -275,7 +296,7 @@ def _counted(pairs: DataFrame, texts: DataFrame, entries: DataFrame, similarity:
     sides = [sets.select(F.col("entry").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv"]
     both = pairs.join(sides[0], "u").join(sides[1], "v")
     shared = F.size(F.array_intersect("set_u", "set_v"))
-    return both.filter(shared >= _needed(F.size("set_u") + F.size("set_v"), similarity, F.ceil)).select("u", "v")
+    return both.filter(shared >= _needed(F.size("set_u") + F.size("set_v"), similarity)).select("u", "v")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

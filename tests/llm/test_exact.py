@@ -178,6 +178,28 @@ def edited(rng, base, edits, name):
     return text
 
 
+def test_near_copies_amid_shared_passages(spark, monkeypatch):
+    """Most texts hold one of two passages; their hashes go last, and the groups are those of brute force."""
+    import random
+
+    from tarnish.llm import simhash
+
+    monkeypatch.setattr(simhash, "CROWD", 5)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(12)
+    passages = [[f"p{k}w{j}" for j in range(40)] for k in range(2)]
+    docs = []
+    for g in range(40):
+        base = rng.choices([f"w{k}" for k in range(3000)], k=rng.randint(20, 120))
+        base = [*base, *passages[g % 2]] if g % 5 else base
+        docs.append((g * 10, " ".join(base)))
+        docs += [(g * 10 + k, " ".join(edited(rng, base, min(rng.randint(1, 5), len(base) // 5 - 3), f"g{g}k{k}"))) for k in range(1, rng.randint(2, 4)) if len(base) > 40]
+    docs += [(1000 + k, " ".join(passages[0][: 36 + k])) for k in range(4)]
+    want = shingle_groups(docs)
+    found = near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found if r["kept"]) == sorted(set(want.values()))
+
+
 @pytest.mark.parametrize("block", [8, 256])
 def test_near_copies_of_one_base_are_all_found(spark, monkeypatch, block):
     """Each copy is near the base (at least 0.8) and, mostly, not near another copy."""
