@@ -4,6 +4,7 @@ import hashlib
 import os
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -344,10 +345,13 @@ def test_license_join_finds_every_block():
         assert sorted(index.search(block)) == sorted(want)
 
 
-def test_rule_counts(made):
+@pytest.mark.parametrize("start", [0, 1 << 21])
+def test_rule_counts(made, start):
+    """Also with word numbers of which three do not fit 64 bits."""
     for text in [t for _, t in made] + ["a b c a b c", "#x |y| <z>\n\n#x |y| <z>\n \n", "a a a a"]:
         data = (text or "").encode()
-        words = data.split()
+        number = {w: start + k for k, w in enumerate(dict.fromkeys(data.split()))}
+        words = np.array([number[w] for w in data.split()], np.int64)
         assert (len(words), *base_counts(data, words)) == plain.rule_counts(text)
 
 

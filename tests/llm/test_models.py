@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from tarnish.llm.fertility import band, tokenizer_rules
+from tarnish.llm.fertility import BINS, Vocabularies, band, measures, script_of, tokenizer_rules
 from tarnish.llm.frequent import least_count, most_frequent
 from tarnish.llm.gram import summed
 from tarnish.llm.maxent import CLASSES, Vocabulary, Weights, contexts, log_classes, score_texts, tokens
@@ -253,19 +253,50 @@ def test_tokenizer_rules(spark, table, made, empty):
     out = {r["doc_id"]: r for r in rules(spark.createDataFrame(normal + strange, "doc_id long, text string, lang string"), max_repeat_percent=100).collect()}
     assert all(out[k]["kept"] for k, *_ in normal) and not out[1000]["kept"] and out[1000]["fallback_share"] > 0.5
     assert rules(empty).count() == 0
-    assert band(np.zeros(400), 12.0, 0.001, 4.0) == (-np.inf, np.inf)
 
 
 @pytest.mark.parametrize("percent", [1, 2, 5])
 def test_junk_does_not_widen_its_band(percent):
     texts = 10_000
-    values = np.zeros(400)
-    values[0], values[376] = texts * (100 - percent) / 100, texts * percent / 100
-    assert band(values, 1.0, 0.05, 4.0)[1] < 0.1
-    lengths = np.bincount(np.clip(np.random.default_rng(1).normal(140, 8, texts).astype(int), 0, 399), minlength=400).astype(float)
-    lengths[20] += texts * percent / 100
-    low, high = band(lengths, 12.0, 0.05, 4.0)
-    assert 21 * 12 / 400 < low < 110 * 12 / 400 and 170 * 12 / 400 < high
+    values = np.zeros(BINS)
+    values[0], values[int(0.94 * BINS)] = texts * (100 - percent) / 100, texts * percent / 100
+    assert band(values, values, 2, 2.5, 20)[1] < 0.1
+    lengths = np.bincount(np.clip(np.random.default_rng(1).normal(1400, 20, texts).astype(int), 0, BINS - 1), minlength=BINS).astype(float)
+    lengths[1250] += texts * percent / 100
+    low, high = band(lengths, lengths, 0, 2.5, 20)
+    assert 1251 / BINS * 5 - 2 < low < 1340 / BINS * 5 - 2 and 1460 / BINS * 5 - 2 < high
+
+
+def test_rare_languages_have_the_band_of_their_script():
+    own, script = np.zeros(BINS), np.zeros(BINS)
+    own[1000], script[1200], script[1400] = 1, 500, 500
+    few = band(own, script, 0, 2.5, 20)
+    assert few[0] < 1000 / BINS * 5 - 2 and few[1] > 1400 / BINS * 5 - 2
+    widths = [np.diff(band(own * n, script, 0, 2.5, 20))[0] for n in (1, 10, 100, 10_000)]
+    assert widths == sorted(widths, reverse=True)  # continuous in the number of texts
+    assert [script_of(t.encode()) for t in ("abc ñ", "слово abc", "日本語", "", "\U00013000", "ελληνικά")] == ["latin", "cyrillic", "han", "latin", "other", "greek"]
+
+
+def test_measures_are_those_of_whole_texts(made):
+    """Numbered words and sums in numpy against counting the pieces of whole texts one by one."""
+    from collections import Counter
+
+    import sentencepiece
+
+    tokens = Vocabularies(public.path("piece_bpe_32k.model"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    model = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    texts = [" ".join(t.split()) for _, t in made if t and len(t) < 4000] + ["", "\U00013000\U00013001 x", "one"]
+    for turn in range(2):
+        words = tokens.numbers([t.encode().split() for t in texts])
+        got = measures(words, np.array([sum(map(len, t.split())) for t in texts]), tokens)
+        for text, row in zip(texts, got, strict=True):
+            ids = model.encode(text)
+            n, chars = len(ids), sum(map(len, text.split()))
+            level = sum(len(tokens.encode(" " + w)) for w in text.split())
+            share = [k / n for k in Counter(ids).values()]
+            entropy = -sum(x * math.log(x) for x in share) / math.log(n) if n > 1 else 1.0
+            want = (chars / max(1, n), chars / max(1, level), sum(model.is_byte(i) for i in ids) / max(1, n), entropy)
+            assert row == pytest.approx(want)
 
 
 def test_planted_junk_is_rejected(spark):
