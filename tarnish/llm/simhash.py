@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3) -> DataF
 
 BLOCK = 256  # entries of a bucket that are compared in one task
 CROWD, MOST_CROWDED = 200, 1 << 20
-ROUNDS = 3
+ROUNDS = 1  # of cutting prefixes anew; what is still crowded then is paired in parts
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -195,10 +195,12 @@ def _prefixes(texts: DataFrame, similarity: float, width: int, late) -> DataFram
 def _index(rows: DataFrame) -> DataFrame:
     """(x, entry, size, end, n, low): the prefix hashes that at least two entries have, with the smallest entry of each."""
     one = rows.select("entry", "size", "end", "prefix").dropDuplicates(["entry"])
-    cells = one.select("entry", "size", "end", F.explode("prefix").alias("x"))
-    side = F.struct("entry", "size", "end")
-    buckets = cells.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min(side).alias("low")).filter("n > 1")
-    return stage(cells.join(buckets, "x"))
+    cells = one.select("entry", F.explode("prefix").alias("x"))
+    # Staged, so that Spark knows how few hashes are shared and can send them to the cells.
+    buckets = stage(cells.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("low")).filter("n > 1"))
+    shared = stage(rows.select("entry", "size", "end", F.explode("prefix").alias("x")).join(buckets, "x").dropDuplicates(["entry", "x"]))
+    lows = shared.filter("entry = low").select("x", F.struct("entry", "size", "end").alias("low"))
+    return stage(shared.drop("low").join(lows, "x"))
 
 
 def _possible(shared: DataFrame, similarity: float) -> DataFrame:
@@ -281,22 +283,39 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     return rows.join(verdicts, "entry").select("doc_id", "text_hash", "component", kept.alias("kept"))
 
 
-def _counted(pairs: DataFrame, texts: DataFrame, entries: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those of `pairs` (u, v) whose whole sets of shingles are similar, counted; only their texts are cut again."""
-    pairs = stage(pairs)
-    used = pairs.select(F.col("u").alias("entry")).unionByName(pairs.select(F.col("v").alias("entry"))).distinct()
-    # Staged, so that Spark knows its size and sends it to the texts while it is small.
-    wanted = stage(entries.join(used, "entry").select("entry", "first.doc_id", "first.text_hash"))
-    source = texts.join(wanted, ["doc_id", "text_hash"]).select("entry", "text")
+TEXTS_AT_ONCE = 512
 
-    def make():
-        return lambda r: {"entry": r["entry"], "set": [shingles(t, width) for t in r["text"]]}
 
-    sets = stage(map_rows(source, make, "entry long, set array<long>").dropDuplicates(["entry"]))
-    sides = [sets.select(F.col("entry").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv"]
-    both = pairs.join(sides[0], "u").join(sides[1], "v")
-    shared = F.size(F.array_intersect("set_u", "set_v"))
-    return both.filter(shared >= _needed(F.size("set_u") + F.size("set_v"), similarity)).select("u", "v")
+def _counted(pairs: DataFrame, texts: DataFrame, entries: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of `pairs` (u, v) whose whole sets of shingles are similar, counted.
+
+    Texts are sent, not sets, which are larger; each task cuts the texts of one `v` and of some of its `u`.
+    """
+    pairs = stage(pairs)
+    sizes = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    slots = F.ceil(F.col("n") / TEXTS_AT_ONCE).cast("int")
+    dealt = stage(pairs.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), slots).cast("int").alias("slot")))
+    left = dealt.select(F.col("u").alias("entry"), "v", "slot")
+    right = dealt.select(F.col("v").alias("entry"), F.col("v").alias("to"), F.col("slot").alias("for_slot")).distinct()
+    first = entries.select("entry", "first.doc_id", "first.text_hash")
+    # Staged, so that Spark knows the sizes and sends them to the texts while they are small.
+    near = texts.join(stage(left.join(first, "entry")), ["doc_id", "text_hash"]).select("entry", "v", "slot", "text")
+    far = texts.join(stage(right.join(first, "entry")), ["doc_id", "text_hash"]).select("to", "for_slot", F.col("text").alias("whole"))
+
+    def compare(some, one):
+        if not len(some) or not len(one):
+            return type(some)({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        centre = shingles(one["whole"].iloc[0], width)
+        kept = []
+        for entry, text in zip(some["entry"], some["text"], strict=True):
+            found = shingles(text, width)
+            shared = len(np.intersect1d(found, centre, assume_unique=True))
+            if shared >= np.ceil((len(found) + len(centre)) * (similarity / (1 + similarity)) - 1e-9):
+                kept.append(entry)
+        return type(some)({"u": np.array(kept, np.int64), "v": np.full(len(kept), one["to"].iloc[0], np.int64)})
+
+    met = near.groupBy("v", "slot").cogroup(far.groupBy("to", "for_slot"))
+    return met.applyInPandas(compare, "u long, v long").distinct()
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
