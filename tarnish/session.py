@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _staged: dict[str, list[str]] = {}
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def local_session(cores: int | str = 8, app: str = "tarnish", memory: str = "12g") -> SparkSession:
@@ -45,13 +47,30 @@ def stage(df: DataFrame) -> DataFrame:
 
     Cuts the lineage in a way that survives the loss of executors, and gives the optimizer the true
     size, so that it alone decides whether the table is small enough to broadcast. Staged tables live as
-    long as their session, see `clear_staged`.
+    long as their session unless they are freed, see `free` and `clear_staged`.
     """
     spark = df.sparkSession
     path = os.path.join(staging_dir(spark), f"{spark.sparkContext.applicationId}-stage-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folders[table] = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has been staged itself; what `stage` has not written is left alone."""
+    for table in tables:
+        path = _folders.pop(table, None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            _delete(context, path)
+            _staged[context.applicationId].remove(path)
+
+
+def _delete(context, path: str) -> None:
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear_staged(spark: SparkSession) -> int:
@@ -59,6 +78,5 @@ def clear_staged(spark: SparkSession) -> int:
     paths = _staged.pop(spark.sparkContext.applicationId, [])
     context = spark.sparkContext
     for path in paths:
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(context, path)
     return len(paths)

@@ -14,6 +14,16 @@ def test_staged_tables_go_with_the_session(spark, monkeypatch):
     assert session.clear_staged(spark) == 0
 
 
+def test_a_freed_table_is_gone_and_others_stay(spark, monkeypatch):
+    monkeypatch.setattr(session, "_staged", {})
+    first, second = session.stage(spark.range(10)), session.stage(spark.range(5))
+    path = first.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    session.free(first, spark.range(3))
+    session.free(first)
+    assert not os.path.exists(os.path.dirname(path)) and second.count() == 5
+    assert session.clear_staged(spark) == 1
+
+
 def test_local_folders_are_refused_on_a_cluster(spark):
     class Context:
         master = "spark://host:7077"
