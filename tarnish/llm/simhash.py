@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tarnish.llm.components import components
 from tarnish.llm.text import lower_spaced_words, map_rows
-from tarnish.session import stage
+from tarnish.session import free, stage
 
 SEED = 42
 
@@ -162,8 +162,19 @@ def _needed(n: Column, similarity: float) -> Column:
     return F.ceil(n * (similarity / (1 + similarity)) - 1e-9)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """One bit for each hash of a set and more (a power of two): whether an odd number of hashes falls on it.
+
+    Every bit that differs between two sets needs a hash that only one of them has, so differing bits never
+    outnumber such hashes. Halves of a longer array XORed are the array of half the length.
+    """
+    bits = max(64, 1 << max(len(found) - 1, 0).bit_length())
+    counts = np.bincount((found & (bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(texts: DataFrame, similarity: float, width: int, late) -> DataFrame:
-    """Every row with its set's hash and size, and the prefix of the set: hashes in rising order, those of `late` last."""
+    """Every row with its set's hash, size and parity bits, and the prefix of the set: hashes in rising order, those of `late` last."""
 
     def make():
         last = late.value
@@ -176,20 +187,21 @@ def _prefixes(texts: DataFrame, similarity: float, width: int, late) -> DataFram
             return np.concatenate([found[~is_late], found[is_late]]), len(found) - is_late.sum()
 
         def work(r):
-            out = {c: [] for c in ("entry", "size", "prefix", "end")}
+            out = {c: [] for c in ("entry", "size", "parity", "prefix", "end")}
             for found in (shingles(t, width) for t in r["text"]):
                 entry = xxhash.xxh64_intdigest(found.tobytes(), SEED)
                 n = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
                 placed, early = order(found)
                 out["entry"].append(entry - (1 << 64) if entry >> 63 else entry)
                 out["size"].append(len(found))
+                out["parity"].append(parity(found))
                 out["prefix"].append(placed[:n])
                 out["end"].append({"late": early is not None and n > early, "x": int(placed[n - 1])} if n else None)
             return {"doc_id": r["doc_id"], "text_hash": r["text_hash"]} | out
 
         return work
 
-    return map_rows(texts, make, "doc_id long, text_hash long, entry long, size long, prefix array<long>, end struct<late:boolean,x:long>")
+    return map_rows(texts, make, "doc_id long, text_hash long, entry long, size long, parity array<long>, prefix array<long>, end struct<late:boolean,x:long>")
 
 
 def _index(rows: DataFrame) -> DataFrame:
@@ -200,7 +212,9 @@ def _index(rows: DataFrame) -> DataFrame:
     buckets = stage(cells.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("low")).filter("n > 1"))
     shared = stage(rows.select("entry", "size", "end", F.explode("prefix").alias("x")).join(buckets, "x").dropDuplicates(["entry", "x"]))
     lows = shared.filter("entry = low").select("x", F.struct("entry", "size", "end").alias("low"))
-    return stage(shared.drop("low").join(lows, "x"))
+    index = stage(shared.drop("low").join(lows, "x"))
+    free(buckets, shared)
+    return index
 
 
 def _possible(shared: DataFrame, similarity: float) -> DataFrame:
@@ -216,6 +230,24 @@ def _possible(shared: DataFrame, similarity: float) -> DataFrame:
     return counted.filter(possible).select(F.col("u.entry").alias("u"), F.col("v.entry").alias("v"))
 
 
+def _alike(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (u, v) whose parity bits differ in no more places than similar sets have hashes of their own."""
+    side = lambda s: entries.select(F.col("entry").alias(s), F.struct("size", "parity").alias(f"_{s}"))
+    met = pairs.join(side("u"), "u").join(side("v"), "v")
+    xor = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+
+    def bits(one: str, other: str) -> Column:
+        """The parity bits of `one`, folded to the length of the other's."""
+        own, half = F.col(f"_{one}.parity"), F.size(f"_{other}.parity")
+        return F.when(F.size(own) > half, xor(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half))).otherwise(own)
+
+    total = F.col("_u.size") + F.col("_v.size")
+    apart = F.aggregate(xor(bits("u", "v"), bits("v", "u")), F.lit(0), lambda n, x: n + F.bit_count(x))
+    # No more can be shared than the smaller set has; of the others, lengths differ by half at most.
+    lengths = F.least("_u.size", "_v.size") >= _needed(total, similarity)
+    return met.filter(lengths & (apart <= total - 2 * _needed(total, similarity))).select("u", "v")
+
+
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """(u, v), once for each bucket they share, of all entries of `rows` (x, entry, size, end, n, root) in different groups.
 
@@ -244,7 +276,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     groups. Where a bucket of more than a few hundred entries then still holds different groups, its hash
     belongs to a passage that many texts share: such hashes go to the end of the order and prefixes are cut
     anew. Last, all entries of different groups in one bucket are paired, the hashes that they share are
-    counted, and pairs that may be similar are decided over whole sets. `kept` marks the smallest doc_id of
+    counted, and pairs that may be similar by that count and by the parity bits of their sets are decided over
+    whole sets. `kept` marks the smallest doc_id of
     each group (of equal ids, the smallest text hash). Rows with equal sets are one entry. Null and wordless
     texts are copies of each other. A null doc_id is above all others. Repeated rows share their verdict.
     An empty table gives an empty table.
@@ -253,7 +286,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     late = np.zeros(0, np.int64)
     rows = stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast(late)))
-    entries = stage(rows.groupBy("entry", "size").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    entries = stage(rows.groupBy("entry", "size").agg(first, F.any_value("parity").alias("parity")))
     index = _index(rows)
     # A pair of a star may share hashes of other buckets too, so this only finds promising pairs early.
     stars = index.filter("entry <> low.entry").select(F.struct("entry", "size", "end").alias("u"), F.col("low").alias("v"))
@@ -271,9 +305,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
         if not crowded:
             break
         late = np.union1d(late, np.array(crowded, np.int64))
-        index = _index(stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast(late))))
+        recut = stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast(late)).drop("parity"))
+        free(index, mixed)
+        index = _index(recut)
+        free(recut)
     pairs = _pairs(open_.join(mixed.select("x"), "x"), similarity)
-    more = _counted(_possible(pairs, similarity), texts, entries, similarity, width)
+    more = stage(_counted(_possible(pairs, similarity), texts, entries, similarity, width))
+    free(index, mixed)
 
     roots = components(near.unionByName(more)).withColumnRenamed("node", "entry")
     rooted = entries.select("entry", "first").join(roots, "entry", "left").withColumn("component", F.coalesce("root", "entry")).drop("root")
@@ -291,7 +329,7 @@ def _counted(pairs: DataFrame, texts: DataFrame, entries: DataFrame, similarity:
 
     Texts are sent, not sets, which are larger; each task cuts the texts of one `v` and of some of its `u`.
     """
-    pairs = stage(pairs)
+    pairs = stage(_alike(pairs, entries, similarity))
     sizes = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     slots = F.ceil(F.col("n") / TEXTS_AT_ONCE).cast("int")
     dealt = stage(pairs.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), slots).cast("int").alias("slot")))

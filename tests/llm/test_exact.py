@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tarnish.llm import queries
+from tarnish.llm import queries, simhash
 from tarnish.llm.components import components
 from tarnish.llm.decontaminate import SuffixAutomaton, decontaminate, merged
 from tarnish.llm.fertility import base_counts
@@ -371,3 +371,15 @@ def test_queries_on_small_tables(spark):
     assert rows(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == sorted([(d, *plain.rule_counts(t)) for d, t in docs], key=repr)
     got = queries.QUERIES["op10_line_dedup"](spark, SF)
     assert rows(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(plain.line_dedup(docs), key=repr)
+
+
+def test_parity_bits_never_outnumber_hashes_of_one_set():
+    random = np.random.default_rng(3)
+    for n in (0, 1, 63, 64, 65, 700, 3000):
+        one = np.unique(random.integers(-(2**63), 2**63 - 1, n))
+        other = np.unique(np.concatenate([one[: int(0.9 * n)], random.integers(-(2**63), 2**63 - 1, n // 9 + 1)]))
+        a, b = simhash.parity(one).view(np.uint64), simhash.parity(other).view(np.uint64)
+        least = min(len(a), len(b))
+        a, b = (p if len(p) == least else p[:least] ^ p[least:] for p in (a, b))
+        assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(one, other))
+    assert not simhash.parity(np.zeros(0, np.int64)).any()
