@@ -14,15 +14,15 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnish.functions import ranking
+from tarnish.functions import joins, ranking
 from tarnish.functions.hashing import encode
 from tarnish.model import FD
 from tarnish.operators import noise, prep
-from tarnish.session import stage
+from tarnish.session import free, stage
 from tarnish.sources.tables import nan_to_null
 
 METRICS = ("accuracy", "precision", "recall", "f1", "f1_macro")
@@ -337,6 +337,48 @@ def default_models(n_rows: int, n_features: int, n_classes: int) -> dict[str, Es
     }
 
 
+class CategoryCodes:
+    """Numbers 0, 1, ... for the values of text columns, in their order; the driver holds only how many there are.
+
+    The dictionary is a staged table (column, value, code, n) made by one grouping of all columns together and
+    a ranked range sort. Rows get their codes by joins: broadcast for up to a thousand values, else with hot
+    values apart. Missing values and values that the dictionary lacks get the number of values, one above all codes.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]):
+        cells = F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for k, c in enumerate(columns)])
+        self.sizes: dict[str, int] = {}
+        if not columns:
+            return
+        values = df.select(F.explode(cells).alias("x")).filter("x.value IS NOT NULL").groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+        self.table = stage(ranking.ordered_total(values, ["column"], "value", "code"))
+        found = self.table.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).collect()  # a row for each column
+        facts = {r["column"]: r for r in found}
+        self.places = {c: k for k, c in enumerate(columns) if k in facts}
+        self.sizes = {c: facts[k]["values"] for c, k in self.places.items()}
+        self.rows = {c: facts[k]["rows"] for c, k in self.places.items()}
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """`df` with `_i_<column>` as a double for each column that has values."""
+        for c, size in self.sizes.items():
+            code = f"_i_{c}"
+            known = self.table.filter(F.col("column") == self.places[c]).select(F.col("value").alias(c), F.col("code").alias(code), F.col("n").alias("_n"))
+            if size <= joins.HOT_KEYS:
+                df = df.join(F.broadcast(known.drop("_n")), c, "left")
+            else:
+                df = joins.attach(df, known, [c], [code], "_n", self.rows[c])
+            df = df.withColumn(code, F.coalesce(F.col(code), F.lit(size)).cast("double"))
+        return df
+
+    def encoder(self, spark: SparkSession):
+        """One-hot vectors `_h_<column>` of the codes; all zeros for the number above them."""
+        coded = [f"_i_{c}" for c in self.sizes]
+        largest = spark.createDataFrame([tuple(float(n - 1) for n in self.sizes.values())], coded)
+        # The slot kept for unknown categories comes last and is the one dropped: unknown means all zeros.
+        hot = OneHotEncoder(inputCols=coded, outputCols=[f"_h_{c}" for c in self.sizes], handleInvalid="keep", dropLast=True)
+        return hot.fit(largest)
+
+
 class Features:
     """Preprocessing fitted on training rows only: imputation, population scaling, one-hot of known categories."""
 
@@ -347,14 +389,12 @@ class Features:
         self.modes = prep.fit_modes(train, self.categorical) if self.categorical else {}
         ready = self._clean(train)
         self.labels = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(ready)
-        coded, hot = [f"_i_{c}" for c in self.categorical], [f"_h_{c}" for c in self.categorical]
-        self.steps = []
-        if self.categorical:
-            # The slot kept for unknown categories comes last and is the one dropped: unknown means all zeros.
-            index = StringIndexer(inputCols=self.categorical, outputCols=coded, handleInvalid="keep").fit(ready)
-            onehot = OneHotEncoder(inputCols=coded, outputCols=hot, dropLast=True).fit(index.transform(ready))
-            self.steps = [index, onehot]
-        self.steps.append(VectorAssembler(inputCols=[*self.numeric, *hot], outputCol="features"))
+        self.codes = CategoryCodes(ready, self.categorical)
+        self.onehot = None
+        if self.codes.sizes:
+            self.onehot = self.codes.encoder(train.sparkSession)
+        hot = [f"_h_{c}" for c in self.codes.sizes]
+        self.assembler = VectorAssembler(inputCols=[*self.numeric, *hot], outputCol="features")
 
     def _clean(self, df: DataFrame) -> DataFrame:
         scaled = prep.standardise(df, self.moments)
@@ -362,10 +402,13 @@ class Features:
         return prep.impute(texts, self.modes)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        out = self.labels.transform(self._clean(df))
-        for step in self.steps:
-            out = step.transform(out)
-        return out.select(*keep, "label", "features")
+        out = self.codes.attach(self.labels.transform(self._clean(df)))
+        if self.onehot:
+            out = self.onehot.transform(out)
+        return self.assembler.transform(out).select(*keep, "label", "features")
+
+
+ROWS_A_TASK = 20_000
 
 
 def _fit_and_score(train: DataFrame, tests: dict[str, DataFrame], target: str, ignore: Sequence[str], models, fit_rows, key) -> DataFrame:
@@ -373,18 +416,21 @@ def _fit_and_score(train: DataFrame, tests: dict[str, DataFrame], target: str, i
     if fit_rows is not None:
         train = stage(prep.sample_rows(train, fit_rows, "fit", key))
     features = Features(train, target, ignore)
-    # Fits pass over the rows many times; a bounded sample is one partition, so a pass is one task.
-    ready = features.transform(train if fit_rows is None else train.coalesce(1)).persist()
+    # Fits pass over the rows many times; a bounded sample is spread over no more tasks than it can fill.
+    ready = features.transform(train)
+    ready = (ready if fit_rows is None else ready.coalesce(-(-fit_rows // ROWS_A_TASK))).persist()
     n_rows, width = ready.count(), len(ready.first()["features"])
     built = default_models(n_rows, width, len(features.labels.labels))
+    prepared = {kind: stage(features.transform(test)) for kind, test in tests.items()}  # read by every model
     parts = []
     for name in models or built:
         model = built[name].fit(ready)
-        for kind, test in tests.items():
-            matrix = confusion(model.transform(features.transform(test)))
+        for kind, test in prepared.items():
+            matrix = confusion(model.transform(test))
             parts.append(matrix.select(F.lit(name).alias("model"), F.lit(kind).alias("test"), "label", "prediction", "n"))
     out = stage(reduce(DataFrame.unionByName, parts))
     ready.unpersist()
+    free(*prepared.values())
     return out
 
 

@@ -40,6 +40,26 @@ def test_unknown_category_is_all_zeros(data):
     assert sums == {"k0": 1.0, "k1": 1.0, "k2": 1.0, "k3": 1.0, "k4": 1.0, "k5": 0.0}
 
 
+@pytest.mark.parametrize("hot_keys", [2, 1000])
+def test_codes_are_places_in_the_order_of_values(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(evalm.joins, "HOT_KEYS", hot_keys)
+    seen = [("b", "x", None), ("a", "x", None), ("b", None, None), ("c", "x", None)] + [("b", "y", None)] * 20
+    known = spark.createDataFrame(seen, "p string, n string, gone string")
+    codes = evalm.CategoryCodes(known, ["p", "n", "gone"])
+    assert codes.sizes == {"p": 3, "n": 2} and codes.rows == {"p": 24, "n": 23}
+    asked = spark.createDataFrame([("a", "y", "q"), ("b", "x", None), ("c", None, None), ("d", "x", None), (None, "z", "q")], known.schema)
+    coded = codes.attach(asked)
+    got = sorted(((r["p"] or "", r["_i_p"], r["_i_n"]) for r in coded.collect()))
+    assert got == [("", 3.0, 2.0), ("a", 0.0, 1.0), ("b", 1.0, 0.0), ("c", 2.0, 2.0), ("d", 3.0, 0.0)]
+    hot = codes.encoder(spark).transform(coded).select("p", vector_to_array("_h_p").alias("h"))
+    assert {r["p"]: r["h"] for r in hot.collect()} == {"a": [1, 0, 0], "b": [0, 1, 0], "c": [0, 0, 1], "d": [0, 0, 0], None: [0, 0, 0]}
+
+
+def test_codes_without_columns_or_rows(spark, data):
+    assert evalm.CategoryCodes(data, []).attach(data).columns == data.columns
+    assert evalm.CategoryCodes(data.limit(0), ["k"]).sizes == {}
+
+
 def test_dual_evaluation_agrees_on_clean_data(data):
     scores = evalm.dual_cv(data, data, "y", 2, ["row_id", "fold"], ["decision tree"], 60).collect()
     by_fold = {}
