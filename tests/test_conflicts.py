@@ -53,6 +53,16 @@ def test_cover_removes_all_violations(spark):
     assert df.count() - kept.count() == incons.ih_bounds(df, FDS).first()["ih"]
 
 
+def test_matching_of_all_folds_at_once_is_that_of_each(spark):
+    rows = [(f"r{i:03d}", i % 3, f"a{i * 7 % 11}", f"b{i * i % 5}", f"c{i * 5 % 4}") for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id string, fold int, a string, b string, c string")
+    fds = [FD(("a",), "b"), FD(("b",), "c")]
+    got = {r["test_fold"]: (r["n_rows"], r["ih_lower"], r["ih_approx"]) for r in cover.matching_by_fold(df, fds, 3).collect()}
+    for f in range(3):
+        assert got.pop(f) == tuple(cover.matching_cover(df.filter(F.col("fold") != f), fds).first())
+    assert not got
+
+
 @pytest.mark.parametrize("seed", [6, 7])
 def test_matching_is_maximal_and_within_twice_the_optimum(spark, seed):
     df, rows = table(spark, seed, hot=seed == 7)
