@@ -185,9 +185,11 @@ def grid(spark, **axes: Sequence) -> DataFrame:
     return out.drop("_one")
 
 
-def pending(cells: DataFrame, results: DataFrame, keys: Sequence[str], rows_per_cell: int = 4) -> DataFrame:
-    """Grid cells without a complete result: exactly `rows_per_cell` rows count as done."""
-    done = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == rows_per_cell)
+def pending(cells: DataFrame, results: DataFrame, keys: Sequence[str], rows_per_cell: int = 4, each: str | None = None) -> DataFrame:
+    """Grid cells without a complete result: exactly `rows_per_cell` rows count as done, if `each` is named with as many values of it."""
+    n = F.count(F.lit(1)) == rows_per_cell
+    whole = n if each is None else n & (F.count_distinct(each) == rows_per_cell)
+    done = results.groupBy(*keys).agg(whole.alias("_whole")).filter("_whole")
     return cells.join(done.select(*keys), list(keys), "left_anti")
 
 

@@ -99,6 +99,9 @@ def test_pending_cells(spark):
     done = spark.createDataFrame([("C1", 0)] * 4 + [("C1", 5)] * 3, "config string, level int")
     cells = results.grid(spark, config=["C1"], level=[0, 5, 10])
     assert {r["level"] for r in results.pending(cells, done, ["config", "level"]).collect()} == {5, 10}
+    rows = [("C1", 0, m) for m in "abcd"] + [("C1", 5, m) for m in "abca"] + [("C1", 10, m) for m in "abcda"]
+    done = spark.createDataFrame(rows, "config string, level int, model string")
+    assert {r["level"] for r in results.pending(cells, done, ["config", "level"], each="model").collect()} == {5, 10}
 
 
 def test_regression_keeps_groups_without_a_solution(spark):
