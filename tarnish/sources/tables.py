@@ -80,6 +80,15 @@ def append_results(df: DataFrame, path: str, partition_by: Sequence[str] = ("con
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def replace_cells(df: DataFrame, path: str, cell: Sequence[str]) -> None:
+    """Write the cells of an experiment grid that `df` holds; what the table had of those cells goes, all others stay.
+
+    The cell's columns are the table's partitions, so a cell that was written in part or twice is whole again.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*cell).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a derived table (aggregates, tests, summaries) as parquet or CSV with a header."""
     writer = df.write.mode("overwrite")

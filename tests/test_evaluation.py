@@ -82,6 +82,11 @@ def test_experiment_resumes(spark, data, tmp_path):
     assert full.count() == 2 + 2 * 2
     assert full.filter("level = 0 AND (im > 0 OR ip > 0)").count() == 0
     assert full.filter("level = 20 AND im = 0").count() == 0
+    cells = ["config", "level", "fold"]
+    before = {tuple(r[c] for c in cells): r["f1"] for r in full.collect()}
+    full.filter("config = 'C1' AND fold = 1").write.mode("append").partitionBy(*cells).parquet(path)  # a surplus row
+    full = experiment.run_grid(data, configs, levels=[0, 20], **args)
+    assert full.count() == len(before) and {tuple(r[c] for c in cells): r["f1"] for r in full.collect()} == before
     assert set(experiment.analyse(full, ["C1", "C2"])) == {"summary", "degradation", "configurations", "correlations", "thresholds"}
     assert experiment.analyse(full, ["C1", "C2"])["summary"].count() == 4
 
