@@ -49,15 +49,16 @@ def ordered_total(df: DataFrame, keys: Sequence[str], order: str, out: str, weig
     return ordered_totals(df, keys, order, {out: F.lit(1) if weight is None else weight})
 
 
-def ordered_totals(df: DataFrame, keys: Sequence[str], order: str, weights: dict[str, Column]) -> DataFrame:
+def ordered_totals(df: DataFrame, keys: Sequence[str], order: str, weights: dict[str, Column], kind: str = "bigint") -> DataFrame:
     """Add for each name the total of its weight over the rows before this one, per key, by an order that is no draw.
 
     Rows (distinct in keys and order) are range-partitioned, which balances by sampling, and written with
-    the number of their range; totals per range then offset the running totals inside each range.
+    the number of their range; totals per range then offset the running totals inside each range. Totals are
+    of the type `kind`.
     """
     keys = list(keys)
     names = [(out, f"_w{i}", f"_p{i}", f"_off{i}") for i, out in enumerate(weights)]
-    ranged = df.withColumns({w: weights[out].cast("bigint") for out, w, _, _ in names}).repartitionByRange(*keys, order)
+    ranged = df.withColumns({w: weights[out].cast(kind) for out, w, _, _ in names}).repartitionByRange(*keys, order)
     rows = stage(ranged.withColumn("_p", F.spark_partition_id()))
     per_range = rows.groupBy(*keys, "_p").agg(*[F.sum(w).alias(p) for _, w, p, _ in names])
     before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)

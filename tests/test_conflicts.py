@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnish.model import FD, configurations, corrupted_columns, redundancy_dependencies
 from tarnish.operators import cover, incons, profile
+from tarnish.operators import edges as numbered
 from tests.brute import edges, minimum_cover
 
 FDS = [FD(("a", "b"), "c"), FD(("c",), "d"), FD(("a",), "e")]
@@ -130,3 +131,29 @@ def test_metadata():
     assert corrupted_columns([fd], corrupt_lhs=False) == ["c", "d"]
     assert configurations([fd, other]) == {"C1": [fd], "C2": [fd, other]}
     assert redundancy_dependencies([fd, other]) == [FD(("a", "b"), "d")]
+
+
+def pairs_of(rows, fd):
+    return {frozenset((rows[i]["row_id"], rows[j]["row_id"])) for i, j in edges(rows, [fd])}
+
+
+def test_every_number_is_one_edge(spark):
+    df, rows = table(spark, 8, n=16, hot=True)
+    for fd in FDS[:2]:
+        want = pairs_of(rows, fd)
+        asked = spark.range(-2, len(want) + 3).unionByName(spark.range(5)).withColumn("row_u", F.lit("x"))
+        got = numbered.edges_by_number(df.withColumn("k", F.lit(1)).withColumn("g", F.lit("x")), fd, asked).collect()
+        assert sorted(int(r["k"]) for r in got) == list(range(len(want)))
+        assert len(want) == len(got) and {frozenset((r["row_u"], r["row_v"])) for r in got} == want
+
+
+def test_sampled_edges(spark):
+    df, rows = table(spark, 9, n=16, hot=True)
+    want = pairs_of(rows, FDS[0])
+    got = numbered.sample_edges(df, FDS[0], 4 * len(want), seed=3).collect()
+    found = {frozenset((r["row_u"], r["row_v"])) for r in got}
+    assert len(found) == len(got) and found <= want and len(found) > len(want) // 2
+    gaps = spark.createDataFrame([("a", None, 1), ("b", None, 2), ("c", 1, None), ("d", 1, 2), ("e", 2, 1)], "row_id string, k int, d int")
+    assert {frozenset((r["row_u"], r["row_v"])) for r in numbered.sample_edges(gaps, FD(("k",), "d"), 3, 1).collect()} == {frozenset("cd")}
+    assert numbered.sample_edges(gaps.filter("k = 2"), FD(("k",), "d"), 3, 1).count() == 0
+    assert numbered.sample_edges(gaps.limit(0), FD(("k",), "d"), 3, 1).count() == 0
