@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnish.model import FD, corrupted_columns, redundancy_dependencies
-from tarnish.operators import cover, discovery, incons, prep, profile
+from tarnish.operators import cover, discovery, edges, incons, prep, profile
 from tarnish.plans import sql
 from tarnish.plans.inputs import BROKEN, CONFIGS, LEVEL, SEED, corrupted, line_repairs
 from tarnish.plans.prepare_queries import folded, folds_sql
@@ -219,12 +221,34 @@ def conflict_blocks(spark, sf):
     return incons.conflict_blocks(corrupted(spark, sf), POOL)
 
 
-@query("I8_conflict_edges_from_blocks", f"WITH {DIRTY}, {sql.conflict_pairs('dirty', 'p1', [POOL[0]])}, {sql.conflict_pairs('dirty', 'p3', [POOL[2]])}\n"
-       "SELECT CAST(1 AS INTEGER) AS fd_no, CAST(count(*) AS VARCHAR) AS edges FROM p1 UNION ALL SELECT 2, CAST(count(*) AS VARCHAR) FROM p3")
+@query("I8_conflict_edges_from_blocks", f"WITH {DIRTY}, " + ", ".join(sql.conflict_pairs("dirty", f"p{i}", [fd]) for i, fd in enumerate(POOL, 1)) + "\n"
+       + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS fd_no, CAST(count(*) AS VARCHAR) AS edges FROM p{i}" for i in range(1, len(POOL) + 1)))
 def edges_from_blocks(spark, sf):
-    blocks = incons.conflict_blocks(corrupted(spark, sf), [POOL[0], POOL[2]])
-    edges = F.sum(F.col("n").cast("decimal(19,0)") * F.col("later")).cast("decimal(38,0)")
-    return exact_text(blocks.groupBy("fd_no").agg(edges.alias("edges")))
+    blocks = incons.conflict_blocks(corrupted(spark, sf), POOL)
+    found = F.sum(F.col("n").cast("decimal(19,0)") * F.col("later")).cast("decimal(38,0)")
+    return exact_text(blocks.groupBy("fd_no").agg(found.alias("edges")))
+
+
+SAMPLED, SAMPLE_SEED = 500, 11
+
+
+def _sampled_sql(i: int, fd: FD) -> str:
+    """All pairs in the order of their numbers, of which the drawn ones are shown."""
+    g = "md5(concat_ws('|', " + ", ".join(f"'=' || CAST({c} AS VARCHAR)" for c in fd.lhs) + "))"
+    drawn = [sql.draw(f"'{SAMPLE_SEED}'", "'edge'", f"'{part}'", "range") for part in (0, 1)]
+    return f"""r{i} AS (SELECT row_id, {g} AS g, '=' || CAST({fd.rhs} AS VARCHAR) AS c FROM dirty),
+s{i} AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {sql.draw('c')}, c, {sql.draw('row_id')}, row_id) AS place FROM r{i}),
+e{i} AS (SELECT row_number() OVER (ORDER BY a.g, a.place, b.place) - 1 AS k, a.row_id AS row_u, b.row_id AS row_v
+  FROM s{i} a JOIN s{i} b ON a.g = b.g AND a.c <> b.c AND a.place < b.place),
+d{i} AS (SELECT DISTINCT ({drawn[0]}::HUGEINT * 1000000000000000000 + {drawn[1]}) % (SELECT count(*) FROM e{i}) AS k FROM range({SAMPLED}))"""
+
+
+@query("I8_sampled_edges", f"WITH {DIRTY}, " + ", ".join(_sampled_sql(i, fd) for i, fd in enumerate(POOL, 1)) + "\n"
+       + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS fd_no, CAST(k AS VARCHAR) AS k, row_u, row_v FROM e{i} JOIN d{i} USING (k)" for i in range(1, len(POOL) + 1)))
+def sampled_edges(spark, sf):
+    dirty = corrupted(spark, sf)
+    parts = [edges.sample_edges(dirty, fd, SAMPLED, SAMPLE_SEED).withColumn("fd_no", F.lit(i)) for i, fd in enumerate(POOL, 1)]
+    return exact_text(reduce(DataFrame.unionByName, parts))
 
 
 @query("I9_cover_several_dependencies", f"WITH {DIRTY}, {sql.covers('dirty', 'marked', POOL)}\nSELECT row_id, {sql.any_of('cover', 4)} AS in_cover FROM marked")

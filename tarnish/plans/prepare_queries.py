@@ -28,6 +28,24 @@ def load_typed(spark, sf):
     return tables.load(spark, f"{sf}/orders.parquet", schema).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
+_ORDER_LINE = "concat_ws(',', o_orderkey, o_custkey, o_orderstatus, {price}, o_orderpriority)"
+
+
+@query("S1_load_delimited", f"""SELECT o_orderkey, o_custkey, o_totalprice, CAST(NULL AS VARCHAR) AS record FROM orders WHERE o_orderkey % 97 <> 5 AND o_orderkey % 89 <> 7
+ UNION ALL SELECT NULL, NULL, NULL, CASE WHEN o_orderkey % 97 = 5 THEN {_ORDER_LINE.format(price="'n/a'")}
+ ELSE concat_ws(',', o_orderkey, o_custkey, o_orderstatus) END FROM orders WHERE o_orderkey % 97 = 5 OR o_orderkey % 89 = 7""")
+def load_delimited(spark, sf):
+    orders, path = views.table(spark, sf, "orders"), _fresh(spark)
+    line = F.when(F.expr("o_orderkey % 97 = 5"), F.expr(_ORDER_LINE.format(price="'n/a'")))
+    line = line.when(F.expr("o_orderkey % 89 = 7"), F.expr("concat_ws(',', o_orderkey, o_custkey, o_orderstatus)"))
+    line = line.otherwise(F.expr(_ORDER_LINE.format(price="o_totalprice")))
+    header = "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderpriority"
+    orders.select(line.alias(header)).write.csv(path, header=True, sep="\x01")  # whole lines, so that some can be malformed
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    rows, bad = tables.load_delimited(spark, path, schema, keep=["o_orderkey", "o_custkey", "o_totalprice"])
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
 @query("S2_pruned_scan", "SELECT l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag FROM lineitem")
 def pruned_scan(spark, sf):
     rows = views.table(spark, sf, "lineitem")

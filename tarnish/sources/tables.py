@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnish.functions.numeric import g6
+from tarnish.session import stage
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -21,15 +22,46 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read parquet, or CSV with a header and an explicit schema; missing floats become NULL."""
+    """Read parquet, or CSV with a header and an explicit schema; missing floats become NULL.
+
+    The header has to match the schema and every row has to fit it; see `load_delimited` for files with bad rows.
+    """
     if path.endswith((".csv", ".csv.gz")):
         if schema is None:
             raise ValueError("a CSV needs an explicit schema; inferring one reads the file twice")
-        return nan_to_null(spark.read.csv(path, schema=schema, header=True))
+        strict = spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST", columnPruning=False)
+        return nan_to_null(strict.csv(path))
     reader = spark.read if schema is None else spark.read.schema(schema)
     return nan_to_null(reader.parquet(path))
 
 
+def load_delimited(
+    spark: SparkSession, path: str, schema: T.StructType | str, keep: Sequence[str] | None = None, separator: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """Read delimited files with a header: (rows, bad), `bad` with the text of each set-aside row as `record`.
+
+    A row is bad if it has more or fewer fields than the schema, or if one of its kept columns cannot be read as
+    its type. Fields of other columns are cut but not converted. Empty fields are NULL. A header that does not name
+    the schema's columns in order raises an error. The files are parsed once, into a staged table; `bad.count()`
+    then reads one column of it. A file with nothing but a header gives no rows.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    keep = list(schema.names if keep is None else keep)
+    unknown = [c for c in keep if c not in schema.names]
+    if unknown:
+        raise ValueError(f"columns that the schema lacks: {unknown}")
+    record = "record"
+    while record.lower() in {c.lower() for c in schema.names}:
+        record += "_"
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(record, T.StringType())]))
+    reader = reader.options(header=True, sep=separator, mode="PERMISSIVE", enforceSchema=False)
+    # Without the parser's own pruning rows are cut whole, so a wrong number of fields shows.
+    reader = reader.options(columnNameOfCorruptRecord=record, columnPruning=False)
+    read = stage(reader.csv(path).select(*keep, record))
+    rows = read.filter(F.col(record).isNull()).select(*keep)
+    return nan_to_null(rows), read.filter(F.col(record).isNotNull()).select(F.col(record).alias("record"))
+
+
 def kept_columns(
     names: Sequence[str],
     blacklist: Collection[str] = (),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnish.functions import ranking
 from tarnish.functions.hashing import draw
 from tarnish.operators import prep
+from tarnish.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +120,40 @@ def test_a_missing_class_is_a_class(spark):
     folded = prep.assign_folds(df, "y", 5, 1)
     assert folded.count() == 100 and {r["n"] for r in folded.filter("y IS NULL").groupBy("fold").count().withColumnRenamed("count", "n").collect()} == {2}
     assert prep.stratified_sample(df, "y", 50, 1).filter("y IS NULL").count() == 5
+
+
+def _file(tmp_path, name, *lines):
+    path = tmp_path / name
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_delimited_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
+    schema = "id bigint, name string, x double, n int"
+    path = _file(
+        tmp_path, "a.csv", "id,name,x,n", '1,"a, b",1.5,3', "2,short", "3,c,not a number,4", "4,d,,5", "5,e,2.5,six", "6,f,NaN,7", "7,g,1.0,8,9", '8,"",0.5,'
+    )
+    rows, bad = tables.load_delimited(spark, path, schema)
+    assert [tuple(r) for r in rows.orderBy("id").collect()] == [(1, "a, b", 1.5, 3), (4, "d", None, 5), (6, "f", None, 7), (8, None, 0.5, None)]
+    assert sorted(r["record"] for r in bad.collect()) == ["2,short", "3,c,not a number,4", "5,e,2.5,six", "7,g,1.0,8,9"]
+    # `n` is not kept, so row 5 fits.
+    rows, bad = tables.load_delimited(spark, path, schema, keep=["id", "x"])
+    assert rows.columns == ["id", "x"] and sorted(r["id"] for r in rows.collect()) == [1, 4, 5, 6, 8] and bad.count() == 3
+    with pytest.raises(ValueError):
+        tables.load_delimited(spark, path, schema, keep=["z"])
+
+
+def test_delimited_headers_and_clashing_names(spark, tmp_path):
+    swapped = _file(tmp_path, "b.csv", "name,id", "a,1")
+    with pytest.raises(Exception, match="header"):
+        tables.load_delimited(spark, swapped, "id bigint, name string")
+    with pytest.raises(Exception, match="header"):
+        tables.load(spark, swapped, "id bigint, name string").collect()
+    path = _file(tmp_path, "c.csv", "record;id", "r;1", "s;x")
+    rows, bad = tables.load_delimited(spark, path, "record string, id int", separator=";")
+    assert [tuple(r) for r in rows.collect()] == [("r", 1)] and [r["record"] for r in bad.collect()] == ["s;x"]
+    empty, none = tables.load_delimited(spark, _file(tmp_path, "d.csv", "id,name"), "id bigint, name string")
+    assert empty.count() == 0 and none.count() == 0
+    broken = _file(tmp_path, "e.csv", "id,name", "x,a")
+    with pytest.raises(Exception, match="MALFORMED"):
+        tables.load(spark, broken, "id bigint, name string").collect()
