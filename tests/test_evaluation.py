@@ -177,3 +177,11 @@ def test_small_values_stay_together(spark):
     assert alone == {"u": 3, "v": 2}
     again = evalm.univariate_confusion(df, ["v"], "y", 2).exceptAll(evalm.univariate_confusion(df, ["v"], "y", 2, leaf=1))
     assert again.isEmpty()
+
+
+def test_counts_of_values_are_shuffled_once(spark):
+    rows = [(f"v{i % 40}", "xyz"[i % 3], i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "v string, y string, fold int")
+    plan = evalm.univariate_confusion(df, ["v"], "y", 3, leaf=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Existing" not in plan  # the rows themselves are read before, for the staged counts
+    assert "SortMergeJoin" not in plan and "Window" not in plan
