@@ -105,3 +105,16 @@ def test_columns_may_have_any_name(spark):
     for name in names:  # also as the stratum
         sample = prep.stratified_sample(df.withColumn(name, F.col("cls")), name, 50, 1)
         assert sample.count() == 30
+
+
+def test_modified_rows_by_part_count_repeated_and_missing_keys_as_a_join_does(spark):
+    clean = spark.createDataFrame([("a", 1), ("a", 2), ("b", None), (None, 3)], "row_id string, v int")
+    dirty = spark.createDataFrame([("a", 1, "x"), ("b", None, "x"), ("b", 7, "y"), (None, 4, "y")], "row_id string, v int, part string")
+    got = {r["part"]: (r["n_rows"], r["modified"]) for r in noise.modified_rows(clean, dirty, ["v"], by=["part"]).collect()}
+    assert got == {"x": (3, 1), "y": (1, 1)}
+
+
+def test_guarantees_join_the_clean_rows_once(spark, clean):
+    columns = ["a", "b"] if {"a", "b"} <= set(clean.columns) else [c for c in clean.columns if c != "row_id"][:2]
+    report = noise.guarantees(clean, clean, clean, clean, 0, columns, [FD((columns[0],), columns[1])])
+    assert report._jdf.queryExecution().executedPlan().toString().count("Join") == 0
