@@ -157,3 +157,15 @@ def test_sampled_edges(spark):
     assert {frozenset((r["row_u"], r["row_v"])) for r in numbered.sample_edges(gaps, FD(("k",), "d"), 3, 1).collect()} == {frozenset("cd")}
     assert numbered.sample_edges(gaps.filter("k = 2"), FD(("k",), "d"), 3, 1).count() == 0
     assert numbered.sample_edges(gaps.limit(0), FD(("k",), "d"), 3, 1).count() == 0
+
+
+def test_components_are_named_after_their_smallest_vertex(spark):
+    # Chains a-b-c-... through alternating dependencies, so labels travel several rounds.
+    rows = [(f"r{k}", (k + 1) // 2, k // 2, k) for k in range(12)] + [("s0", 100, 200, 1), ("s1", 100, 201, 2)]
+    df = spark.createDataFrame(rows, "row_id string, a int, b int, y int")
+    got = cover.components(df, [FD(("a",), "y"), FD(("b",), "y")]).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r["component"], set()).add(r["vertex"])
+    assert sorted(len(m) for m in members.values()) == [2, 12]
+    assert all(min(m) == c for c, m in members.items())
