@@ -118,3 +118,19 @@ def test_guarantees_join_the_clean_rows_once(spark, clean):
     columns = ["a", "b"] if {"a", "b"} <= set(clean.columns) else [c for c in clean.columns if c != "row_id"][:2]
     report = noise.guarantees(clean, clean, clean, clean, 0, columns, [FD((columns[0],), columns[1])])
     assert report._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_shares_of_all_versions_at_once(spark):
+    """Side by side they are the shares of single versions, also where ids repeat with other cells or are missing."""
+    rows = [(str(i % 90) if i % 31 else None, i % 5, i % 7 if i % 11 else None, i % 3) for i in range(120)]
+    clean = spark.createDataFrame(rows, "row_id string, a int, b int, c int")
+    pool = [FD(("a",), "b"), FD(("b",), "c")]
+    versions = [(pool[:n], level) for n in (1, 2) for level in (0, 10, 40)]
+    found = {(r["n_fd"], r["level"]): r["share"] for r in noise.independent_shares(clean, versions, 5).collect()}
+    domains = noise.Domains(clean, ["a", "b", "c"])
+    for fds, level in versions:
+        columns = corrupted_columns(fds)
+        dirty = noise.inject_independent(clean.select("row_id", "a", "b", "c"), fds, level, 5, domains=domains)
+        now, was = ([tuple(r) for r in t.select("row_id", *columns).collect() if r["row_id"] is not None] for t in (dirty, clean))
+        pairs = [a != b for a in now for b in was if a[0] == b[0]]
+        assert found[len(fds), level] == pytest.approx(sum(pairs) / len(pairs))
