@@ -38,7 +38,7 @@ class Tokenizer:
     blanks are encoded whole. Special tokens are cut out first and stand for their own ids.
     """
 
-    CACHE = 250_000
+    CACHE = 100_000
 
     def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken

@@ -31,7 +31,7 @@ SEEDS = (
 ).split()
 PREFIXES = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
-FLUSH = 200_000
+FLUSH = 50_000  # of a task: its memory stays with the worker, also for later stages
 PATTERNS = 5  # voters on the whole text, after the lexicon voters
 
 
