@@ -13,6 +13,7 @@ from __future__ import annotations
 import copy
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,14 @@ class WordCounts:
         return out
 
 
+class Numbers(dict):
+    """Words with their numbers; a new word gets the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Vocabulary:
     """Class, hash and, for frequent words, count of each word; filled as words come, and bounded."""
 
@@ -67,8 +76,7 @@ class Vocabulary:
         self._clear()
 
     def _clear(self):
-        self.ids: dict[bytes, int] = {}
-        self.words: list[bytes] = []
+        self.ids = Numbers()
         self.classes, self.hashes, self.logs = (np.zeros(0, t) for t in (np.int32, np.int64, float))
 
     def class_of(self, word: bytes) -> int:
@@ -81,22 +89,18 @@ class Vocabulary:
         return found
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words in `classes`, `hashes`, `logs` and `words`."""
-        ids = self.ids
-        if len(ids) > CACHE:
+        """Numbers of the words in `classes`, `hashes` and `logs`."""
+        if len(self.ids) > CACHE:
             self._clear()
-            ids = self.ids
-        try:
-            return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in ids]
-        for w in new:
-            ids[w] = len(self.words)
-            self.words.append(w)
-        self.classes = np.append(self.classes, np.array([self.class_of(w) for w in new], np.int32))
-        self.hashes = np.append(self.hashes, np.array([zlib.crc32(w) for w in new], np.int64))
-        self.logs = np.append(self.logs, [np.log10(n + SMOOTH) if (n := self.counts.get(w)) else np.nan for w in new])
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        old = len(self.ids)
+        found = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        if len(self.ids) > old:
+            new = list(islice(self.ids, old, None))
+            counts = np.array([self.counts.get(w) or np.nan for w in new], float)
+            self.classes = np.append(self.classes, np.array([self.class_of(w) for w in new], np.int32))
+            self.hashes = np.append(self.hashes, np.array([zlib.crc32(w) for w in new], np.int64))
+            self.logs = np.append(self.logs, np.log10(counts + SMOOTH))
+        return found
 
 
 def tokens(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -122,10 +126,13 @@ def contexts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """Weights of both softmaxes, class by class, with the mean squared gradients of each row."""
+    """Weights of both softmaxes, class by row, with the mean squared gradients of each row.
+
+    In memory the weights of a row lie side by side, as tokens look them up row by row.
+    """
 
     def __init__(self):
-        self.group, self.inner = np.zeros((GROUPS, ROWS), np.float32), np.zeros((IN_GROUP, ROWS * GROUPS), np.float32)
+        self.group, self.inner = np.zeros((ROWS, GROUPS), np.float32).T, np.zeros((ROWS * GROUPS, IN_GROUP), np.float32).T
         self.group_squares, self.inner_squares = np.zeros(ROWS, np.float32), np.zeros(ROWS * GROUPS, np.float32)
 
     def parts(self) -> tuple[np.ndarray, ...]:
@@ -135,9 +142,11 @@ class Weights:
 
 def softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exponentials of the summed weights, class by token; not yet divided by their sum."""
-    z = np.take(weights, rows[0], axis=1)
+    by_row = weights.T
+    z = np.take(by_row, rows[0], axis=0)
     for r in rows[1:]:
-        z += np.take(weights, r, axis=1)
+        z += np.take(by_row, r, axis=0)
+    z = np.ascontiguousarray(z.T)
     z += bias if bias.ndim > 1 else bias[:, None]
     return np.exp(z, out=z)
 
@@ -186,15 +195,20 @@ class Trainer:
         error = softmax(bias, weights, rows)
         error /= error.sum(axis=0)
         error[target, np.arange(len(target))] -= 1
+        error = error.astype(float)  # as bincount sums it
         for start, size, r in zip(STARTS, SIZES, rows, strict=True):
-            # Gradients of one feature are dense: its rows are few, and a chunk has many tokens.
-            own = slice(start * width, (start + size) * width)
+            # Only the rows that a token of the chunk has get a gradient.
             place = r - start * width
-            gradient = np.stack([np.bincount(place, e, size * width) for e in error]).astype(np.float32)
+            times = np.bincount(place, minlength=size * width)
+            seen = np.flatnonzero(times)
+            at = np.empty(size * width, np.int64)
+            at[seen] = np.arange(len(seen))
+            place, own = at[place], seen + start * width
+            gradient = np.stack([np.bincount(place, e, len(seen)) for e in error]).astype(np.float32)
             squares[own] += np.square(gradient).mean(axis=0)
             gradient *= self.rate / np.sqrt(squares[own] + 1)
-            weights[:, own] -= gradient
-            touched[own] += np.bincount(place, minlength=size * width)
+            weights.T[own] -= gradient.T
+            touched[own] += times[seen]
 
     def flush(self):
         """Blocks of rows that any token touched: weights, squares and how often, as numbers of 32 bits."""

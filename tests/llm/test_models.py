@@ -11,6 +11,7 @@ import pytest
 from tarnish.llm.fertility import BINS, Vocabularies, band, measures, script_of, tokenizer_rules
 from tarnish.llm.frequent import least_count, most_frequent
 from tarnish.llm.gram import summed
+from tarnish.llm import maxent
 from tarnish.llm.maxent import CLASSES, Vocabulary, Weights, contexts, log_classes, score_texts, tokens
 from tarnish.llm.quality import isotonic, score_quality, statistics
 from tarnish.llm.toxicity import correlated, fit_toxicity, score_toxicity
@@ -306,3 +307,29 @@ def test_planted_junk_is_rejected(spark):
     docs = spark.createDataFrame(normal + junk, "doc_id long, text string, lang string").repartition(4)
     rules = tokenizer_rules(docs, public.path("piece_bpe_32k.model"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, max_repeat_percent=100)
     assert {r["doc_id"] for r in rules.collect() if r["kept"]} == set(range(2000))
+
+
+def test_gradient_step_on_touched_rows():
+    """Rows that no token of a chunk has stay as they are; the others get the step of the whole matrix."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.choice(list(b"abcdef"), 2)) for _ in range(300)]
+    vocabulary = Vocabulary([b"", b"ab"], ["cd"])
+    ids = vocabulary(words)
+    assert np.array_equal(ids, vocabulary(words)) and len(vocabulary.hashes) == len(set(words))
+    rows = contexts(vocabulary.hashes[ids], np.array([0]))
+    group = vocabulary.classes[ids] // maxent.IN_GROUP
+    weights = Weights()
+    assert weights.group.T.flags.c_contiguous and weights.inner.T.flags.c_contiguous
+    trainer = maxent.Trainer(vocabulary, np.zeros(CLASSES, np.float32), weights, 0.25)
+    want, squares = np.zeros((maxent.GROUPS, maxent.ROWS)), np.zeros(maxent.ROWS)
+    for _ in range(2):
+        error = np.exp(want[:, rows].sum(axis=1))
+        error /= error.sum(axis=0)
+        error[group, np.arange(len(group))] -= 1
+        for start, size, r in zip(maxent.STARTS, maxent.SIZES, rows, strict=True):
+            own = slice(start, start + size)
+            gradient = np.stack([np.bincount(r - start, e, size) for e in error])
+            squares[own] += np.square(gradient).mean(axis=0)
+            want[:, own] -= 0.25 * gradient / np.sqrt(squares[own] + 1)
+        trainer._step(weights.group, weights.group_squares, trainer.touched[0], np.zeros(maxent.GROUPS, np.float32), rows, group, 1)
+    assert np.allclose(weights.group, want, atol=1e-4) and trainer.touched[0].sum() == 2 * 4 * len(words)
