@@ -31,22 +31,18 @@ IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
 
 class Tokenizer:
-    """Byte-level BPE ids of a text as little-endian 32-bit numbers, with a bounded cache of words.
+    """Byte-level BPE ids of a text as little-endian 32-bit numbers.
 
-    A blank between two characters that are not white space always begins a token group of the
-    pattern, so a text is the sequence of its blank-separated parts; texts with other arrangements of
-    blanks are encoded whole. Special tokens are cut out first and stand for their own ids.
+    Special tokens are cut out first and stand for their own ids. Texts are encoded whole: a cache of words
+    costs more than the words that it saves, and memory besides.
     """
 
-    CACHE = 100_000
-
     def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cache: dict[str, bytes] = {}
         self.special = {word: np.array([number], "<u4").tobytes() for word, number in (special or {}).items()}
         # Of two that start at one place the longer one counts.
         self.cuts = re.compile("(" + "|".join(re.escape(w) for w in sorted(self.special, key=len, reverse=True)) + ")") if special else None
@@ -57,27 +53,6 @@ class Tokenizer:
         return self._ids(text)
 
     def _ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if first[-1:].isspace() or not first:
-            return self._whole(text)
-        cache = self.cache
-        try:
-            parts = [cache[p] for p in rest]
-        except KeyError:
-            if len(cache) > self.CACHE:
-                cache.clear()
-            parts = []
-            for p in rest:
-                if (known := cache.get(p)) is None:
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        return self._whole(text)
-                    known = self._whole(" " + p)
-                    if len(p) <= 64:
-                        cache[p] = known
-                parts.append(known)
-        return self._whole(first) + b"".join(parts)
-
-    def _whole(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
 

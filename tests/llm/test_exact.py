@@ -254,6 +254,15 @@ def test_token_cache_is_exact(made):
             assert list(memoryview(tokens.ids(text)).cast("I")) == token_ids(text)
 
 
+def test_a_text_is_encoded_in_one_call():
+    tokens = Tokenizer(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    plain_encode, calls = tokens.encode, []
+    tokens.encode = lambda text: calls.append(text) or plain_encode(text)
+    text = " ".join(f"word{k}" for k in range(500))
+    assert list(memoryview(tokens.ids(text)).cast("I")) == plain_encode(text)
+    assert calls == [text] and not [v for v in vars(tokens).values() if isinstance(v, dict) and v]
+
+
 @pytest.mark.parametrize("block_docs", [8192, 10])
 def test_packing(table, made, block_docs):
     got = pack(table, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, with_ids=True, block_docs=block_docs).collect()
