@@ -36,8 +36,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
-    return drop_near_copies(docs, similarity=0.8, width=5)
+    """One document of each group of near copies stays.
+
+    SimHash fingerprints of at most two different bits link texts, as in operator 8; an exact check adds the
+    links of texts whose five-word shingles have a similarity of 0.8 or more.
+    """
+    return drop_near_copies(docs, similarity=0.8, width=5, max_bits=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

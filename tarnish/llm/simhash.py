@@ -8,12 +8,15 @@ with the same fingerprint are one entry of the index from the start.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnish.llm.components import components
+from tarnish.llm.frequent import least_count
 from tarnish.llm.text import lower_spaced_words, map_rows
 from tarnish.session import free, stage
 
@@ -35,13 +38,17 @@ def fingerprint(words: list[bytes], width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def _signed(value: int) -> int:
+    """The signed number of the same 64 bits."""
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; A-Z count as lower case, words are split at ASCII white space."""
 
     def make():
         def work(rows):
-            values = [fingerprint(lower_spaced_words(t), width) for t in rows["text"]]
-            return {"doc_id": rows["doc_id"], "fp": [v - (1 << 64) if v >> 63 else v for v in values]}
+            return {"doc_id": rows["doc_id"], "fp": [_signed(fingerprint(lower_spaced_words(t), width)) for t in rows["text"]]}
 
         return work
 
@@ -145,11 +152,11 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, width: int = 3) -> DataF
 BLOCK = 256  # entries of a bucket that are compared in one task
 CROWD, MOST_CROWDED = 200, 1 << 20
 ROUNDS = 1  # of cutting prefixes anew; what is still crowded then is paired in parts
+SAMPLE, SAMPLED = 8, 3  # one text of so many is asked which hashes are frequent: those that so many of them have
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
+def shingles(words: list[bytes], width: int) -> np.ndarray:
     """Hashes of the different shingles of `width` words (a shorter text is one), sorted; none without words."""
-    words = lower_spaced_words(text)
     if not words:
         return np.zeros(0, np.int64)
     digest = xxhash.xxh64_intdigest
@@ -173,50 +180,86 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _prefixes(texts: DataFrame, similarity: float, width: int, late) -> DataFrame:
-    """Every row with its set's hash, size and parity bits, and the prefix of the set: hashes in rising order, those of `late` last."""
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent hashes, sorted, and about how many texts have each, from a sample of the texts (by their hash).
+
+    They only order the hashes, and near copies are found in any order: what the sample passes over costs time.
+    """
+    one = texts.filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).dropDuplicates(["text_hash"]).select("text")
+
+    def make():
+        return lambda r: {"x": np.concatenate([shingles(lower_spaced_words(t), width) for t in r["text"]])}
+
+    counts = stage(map_rows(one, make, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SAMPLED))
+    found = counts.filter(F.col("n") >= least_count(counts, MOST_CROWDED)).orderBy("x").toArrow()
+    free(counts)
+    return found["x"].to_numpy(), found["n"].to_numpy() * SAMPLE
+
+
+def _prefixes(texts: DataFrame, similarity: float, width: int, late, more: Sequence[str] = ()) -> DataFrame:
+    """Every row with its set's hash and size and the prefix of the set: hashes in rising order, then those of `late`, the rarest first.
+
+    `late` holds sorted hashes and a weight for each. `more` may name `parity`, the parity bits of the set, and `fp`, the SimHash of the text.
+    """
 
     def make():
-        last = late.value
+        last, weights = late.value
 
         def order(found):
             if not len(last):
-                return found, None
+                return found, np.zeros(len(found), np.int64)
             at = np.minimum(np.searchsorted(last, found), len(last) - 1)
-            is_late = last[at] == found
-            return np.concatenate([found[~is_late], found[is_late]]), len(found) - is_late.sum()
+            weight = np.where(last[at] == found, weights[at], 0)
+            placed = np.argsort(weight, kind="stable")
+            return found[placed], weight[placed]
 
         def work(r):
-            out = {c: [] for c in ("entry", "size", "parity", "prefix", "end")}
-            for found in (shingles(t, width) for t in r["text"]):
+            out = {c: [] for c in ("entry", "size", "prefix", "end", *more)}
+            for words in map(lower_spaced_words, r["text"]):
+                found = shingles(words, width)
                 entry = xxhash.xxh64_intdigest(found.tobytes(), SEED)
                 n = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
-                placed, early = order(found)
-                out["entry"].append(entry - (1 << 64) if entry >> 63 else entry)
+                placed, weight = order(found)
+                out["entry"].append(_signed(entry))
                 out["size"].append(len(found))
-                out["parity"].append(parity(found))
                 out["prefix"].append(placed[:n])
-                out["end"].append({"late": early is not None and n > early, "x": int(placed[n - 1])} if n else None)
+                out["end"].append({"weight": int(weight[n - 1]), "x": int(placed[n - 1])} if n else None)
+                if "parity" in more:
+                    out["parity"].append(parity(found))
+                if "fp" in more:
+                    out["fp"].append(_signed(fingerprint(words, 3)))
             return {"doc_id": r["doc_id"], "text_hash": r["text_hash"]} | out
 
         return work
 
-    return map_rows(texts, make, "doc_id long, text_hash long, entry long, size long, parity array<long>, prefix array<long>, end struct<late:boolean,x:long>")
+    schema = "doc_id long, text_hash long, entry long, size long, prefix array<long>, end struct<weight:long,x:long>"
+    types = {"parity": "array<long>", "fp": "long"}
+    return map_rows(texts, make, ", ".join([schema, *[f"{c} {types[c]}" for c in more]]))
 
 
 def _index(rows: DataFrame) -> DataFrame:
-    """(x, entry, size, end, n, low): the prefix hashes that at least two entries have, with the smallest entry of each."""
+    """(x, at, entry, size, end, n): the prefix hashes that at least two entries have, and their place in the prefix."""
     one = rows.select("entry", "size", "end", "prefix").dropDuplicates(["entry"])
     cells = one.select("entry", F.explode("prefix").alias("x"))
     # Staged, so that Spark knows how few hashes are shared and can send them to the cells.
-    buckets = stage(cells.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("low")).filter("n > 1"))
-    shared = stage(rows.select("entry", "size", "end", F.explode("prefix").alias("x")).join(buckets, "x").dropDuplicates(["entry", "x"]))
-    lows = shared.filter("entry = low").select("x", F.struct("entry", "size", "end").alias("low"))
-    index = stage(shared.drop("low").join(lows, "x"))
-    free(buckets, shared)
+    buckets = stage(cells.groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    placed = rows.select("entry", "size", "end", F.posexplode("prefix").alias("at", "x"))
+    index = stage(placed.join(buckets, "x").dropDuplicates(["entry", "x"]))
+    free(buckets)
     return index
 
 
+def _stars(index: DataFrame) -> DataFrame:
+    """(u, v), once for each bucket they share: all entries of a bucket with its centre, the entry whose buckets are largest in all.
+
+    Of many edited copies of one text, the text itself is in the largest buckets and nearest to all.
+    """
+    scored = index.join(index.groupBy("entry").agg(F.sum("n").alias("score")), "entry")
+    centres = scored.groupBy("x").agg(F.max(F.struct("score", "entry", "size", "end")).alias("c"))
+    centres = centres.select("x", F.struct("c.entry", "c.size", "c.end").alias("v"))
+    return index.join(centres, "x").filter("entry <> v.entry").select(F.struct("entry", "size", "end").alias("u"), "v")
+
+
 def _possible(shared: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of those pairs that may be similar, given one row (u, v: entry, size, end) for each shared prefix hash.
 
@@ -249,71 +292,87 @@ def _alike(pairs: DataFrame, entries: DataFrame, similarity: float) -> DataFrame
 
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v), once for each bucket they share, of all entries of `rows` (x, entry, size, end, n, root) in different groups.
+    """(u, v) of all entries of `rows` (x, at, entry, size, end, n, root) in different groups that may have `x` as their first shared hash.
 
+    From its first shared hash on, no more can be shared than is left of either set; similar sets have enough left there.
     Large buckets are cut into parts that meet two by two, so no task holds more than two of them.
     """
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("entry", "x"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select(
-        "x", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "root", F.struct("entry", "size", "end").alias("side")
+    dealt = dealt.withColumn("left", F.col("size") - F.col("at")).select(
+        "x", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "root", "size", "left", "entry"
     )
-    left = dealt.select("x", "a", "b", F.col("part").alias("part_u"), F.col("root").alias("root_u"), F.col("side").alias("u"))
-    right = dealt.select("x", "a", "b", F.col("part").alias("part_v"), F.col("root").alias("root_v"), F.col("side").alias("v"))
-    # No more can be shared than the smaller set has.
-    lengths = F.least("u.size", "v.size") >= _needed(F.col("u.size") + F.col("v.size"), similarity)
-    met = left.join(right, ["x", "a", "b"]).filter("u.entry > v.entry AND root_u <> root_v AND (a = b OR part_u <> part_v)")
-    return met.filter(lengths).select("u", "v")
+    side = lambda s: dealt.select("x", "a", "b", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "root", "size", "left", "entry")])
+    met = side("u").join(side("v"), ["x", "a", "b"]).filter("entry_u > entry_v AND root_u <> root_v AND (a = b OR part_u <> part_v)")
+    possible = F.least("left_u", "left_v") >= _needed(F.col("size_u") + F.col("size_v"), similarity)
+    return met.filter(possible).select(F.col("entry_u").alias("u"), F.col("entry_v").alias("v")).distinct()
+
+
+def _linked(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(u, v): edges that connect the entries of texts whose fingerprints links of at most `max_bits` bits connect."""
+    texts = stage(rows.groupBy("fp", "entry").agg(F.count(F.lit(1)).alias("n")).select("fp", "entry"))
+    distinct = stage(texts.select("fp").distinct())
+    roots = components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
+    rooted = texts.join(roots, "fp", "left").select("entry", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("entry").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rooted.join(lowest, "root").filter("entry <> v").select(F.col("entry").alias("u"), "v").distinct()
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, max_bits: int | None = None) -> DataFrame:
     """(doc_id, text_hash, component, kept) for every row of `docs`: groups of near copies.
 
-    Texts are near copies if their sets of hashed shingles of `width` words have a Jaccard similarity of
-    at least `similarity`, counted exactly; a group is what such pairs connect. Two such sets share one
-    of the first hashes of both in any order of all hashes (prefix filter), which is what entries are
-    joined by. First every bucket of a hash is checked against its smallest entry, which finds most
-    groups. Where a bucket of more than a few hundred entries then still holds different groups, its hash
-    belongs to a passage that many texts share: such hashes go to the end of the order and prefixes are cut
-    anew. Last, all entries of different groups in one bucket are paired, the hashes that they share are
-    counted, and pairs that may be similar by that count and by the parity bits of their sets are decided over
-    whole sets. `kept` marks the smallest doc_id of
+    With `max_bits`, texts are near copies if SimHash links them: fingerprints of at most so many different
+    bits, found as in `near_duplicates`. The exact check that follows finds what fingerprints pass over:
+    texts are near copies, too, if their sets of hashed shingles of `width` words have a Jaccard similarity of
+    at least `similarity`, counted exactly. A group is what such pairs connect.
+
+    Two sets of that similarity share one of the first hashes of both in any order of all hashes (prefix
+    filter), which is what entries are joined by. The order is by rising frequency, so buckets are small;
+    frequencies come from a sample, as the result is the same in any order. First every bucket of a hash is
+    checked against its centre, which finds most groups. Where a crowded bucket then still holds different
+    groups and its hash is not among the frequent ones yet, prefixes are cut anew. Last, entries of different
+    groups in one bucket are paired if enough is left of both sets from there on, and pairs that may be similar by
+    the parity bits of their sets are decided over whole sets. `kept` marks the smallest doc_id of
     each group (of equal ids, the smallest text hash). Rows with equal sets are one entry. Null and wordless
     texts are copies of each other. A null doc_id is above all others. Repeated rows share their verdict.
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    late = np.zeros(0, np.int64)
-    rows = stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast(late)))
+    late, weights = _frequent(texts, width)
+    more = ("parity",) if max_bits is None else ("parity", "fp")
+    rows = stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast((late, weights)), more))
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
     entries = stage(rows.groupBy("entry", "size").agg(first, F.any_value("parity").alias("parity")))
     index = _index(rows)
     # A pair of a star may share hashes of other buckets too, so this only finds promising pairs early.
-    stars = index.filter("entry <> low.entry").select(F.struct("entry", "size", "end").alias("u"), F.col("low").alias("v"))
-    near = stage(_counted(_possible(stars, similarity), texts, entries, similarity, width))
+    near = _counted(_possible(_stars(index), similarity), texts, entries, similarity, width)
+    near = stage(near if max_bits is None else near.unionByName(_linked(rows, max_bits)))
     groups = stage(components(near).withColumnRenamed("node", "entry"))
 
     # There are at most MOST_CROWDED crowded hashes in a round, whatever the number of texts.
     crowd = max(CROWD, index.count() // MOST_CROWDED)
     for turn in range(ROUNDS + 1):
-        open_ = index.drop("low").join(groups, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
+        open_ = index.join(groups, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
         mixed = stage(open_.groupBy("x", "n").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("x", "n"))
         if turn == ROUNDS:
             break
-        crowded = [r["x"] for r in mixed.filter(F.col("n") > crowd).select("x").collect()]
-        if not crowded:
+        crowded = mixed.filter(F.col("n") > crowd).select("x", "n").toArrow()
+        new = ~np.isin(crowded["x"].to_numpy(), late)
+        if not new.any():
             break
-        late = np.union1d(late, np.array(crowded, np.int64))
-        recut = stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast(late)).drop("parity"))
+        late, weights = np.append(late, crowded["x"].to_numpy()[new]), np.append(weights, crowded["n"].to_numpy()[new])
+        order = np.argsort(late)
+        late, weights = late[order], weights[order]
+        recut = stage(_prefixes(texts, similarity, width, spark.sparkContext.broadcast((late, weights))))
         free(index, mixed)
         index = _index(recut)
         free(recut)
     pairs = _pairs(open_.join(mixed.select("x"), "x"), similarity)
-    more = stage(_counted(_possible(pairs, similarity), texts, entries, similarity, width))
+    found = stage(_counted(pairs, texts, entries, similarity, width))
     free(index, mixed)
 
-    roots = components(near.unionByName(more)).withColumnRenamed("node", "entry")
+    roots = components(near.unionByName(found)).withColumnRenamed("node", "entry")
     rooted = entries.select("entry", "first").join(roots, "entry", "left").withColumn("component", F.coalesce("root", "entry")).drop("root")
     best = rooted.groupBy("component").agg(F.min("first").alias("best"))
     verdicts = stage(rooted.join(best, "component").select("entry", "component", "best"))
@@ -343,10 +402,10 @@ def _counted(pairs: DataFrame, texts: DataFrame, entries: DataFrame, similarity:
     def compare(some, one):
         if not len(some) or not len(one):
             return type(some)({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        centre = shingles(one["whole"].iloc[0], width)
+        centre = shingles(lower_spaced_words(one["whole"].iloc[0]), width)
         kept = []
         for entry, text in zip(some["entry"], some["text"], strict=True):
-            found = shingles(text, width)
+            found = shingles(lower_spaced_words(text), width)
             shared = len(np.intersect1d(found, centre, assume_unique=True))
             if shared >= np.ceil((len(found) + len(centre)) * (similarity / (1 + similarity)) - 1e-9):
                 kept.append(entry)
@@ -356,8 +415,8 @@ def _counted(pairs: DataFrame, texts: DataFrame, entries: DataFrame, similarity:
     return met.applyInPandas(compare, "u long, v long").distinct()
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, max_bits: int | None = None) -> DataFrame:
     """`docs` with one row of each group of near copies, see `near_copies`; columns stay as they are."""
-    kept = near_copies(docs, similarity, width).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = near_copies(docs, similarity, width, max_bits).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_hash": F.xxhash64("text")}
     return docs.withColumns(keys).join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")

@@ -239,6 +239,45 @@ def test_near_copies_are_those_of_the_exact_similarity(spark):
     assert all(len(g) == 1 for g in groups.values())
 
 
+def test_borderline_copies_and_a_common_passage_make_few_pairs(spark, monkeypatch):
+    """300 copies of one text, no two of them near, and a passage in 300 other texts: hardly any pair is made, and no group is lost."""
+    import random
+
+    from tarnish.llm import simhash
+
+    made, pairs = [], simhash._pairs
+
+    def counted(*a):
+        made.append(pairs(*a).count())
+        return pairs(*a)
+
+    monkeypatch.setattr(simhash, "_pairs", counted)
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    base, passage = rng.choices(words, k=130), rng.choices(words, k=45)
+    docs = [(k, " ".join(edited(rng, base, 6, f"k{k}"))) for k in range(300)]
+    docs += [(1000 + k, " ".join(rng.choices(words, k=25) + passage)) for k in range(300)] + [(2000, " ".join(base))]
+    want = shingle_groups(docs)
+    found = near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"] for r in found if r["kept"]} == set(want.values())
+    assert made[0] < 3000
+
+
+def test_simhash_links_are_near_copies(spark, made):
+    """With `max_bits`, every group of operator 8 stays in one group, beside the exact one."""
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    linked = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    want = shingle_groups([(d, (t or "").lower()) for d, t in made])
+    exact = {r["doc_id"]: r["component"] for r in near_copies(docs).collect()}
+    both = {r["doc_id"]: r["component"] for r in near_copies(docs, max_bits=2).collect()}
+    assert all(both[d] == both[c] for d, c in linked.items())
+    assert all(both[d] == both[e] for d in both for e in both if exact[d] == exact[e])
+    assert len(set(both.values())) <= len(set(exact.values())) <= len(set(want.values())) + 1
+    lone = [(1, "a b c " * 30 + "x1 x2"), (2, "a b c " * 30 + "y1 y2")]  # the same but for the end: a similarity below 0.8
+    found = {m: near_copies(spark.createDataFrame(lone, "doc_id long, text string"), max_bits=m).filter("kept").count() for m in (None, 2)}
+    assert found == {None: 2, 2: 1}
+
+
 def token_ids(text):
     from tokenizers import Tokenizer as Reference
 
