@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tarnish.functions import forest
 from tarnish.model import FD
 from tarnish.operators import evalm, noise, prep
 from tarnish.plans import experiment
@@ -185,3 +186,36 @@ def test_counts_of_values_are_shuffled_once(spark):
     plan = evalm.univariate_confusion(df, ["v"], "y", 3, leaf=5)._jdf.queryExecution().executedPlan().toString()
     assert "Existing" not in plan  # the rows themselves are read before, for the staged counts
     assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_forest_predicts_as_its_model_does(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abcdefg"), rng.choice(["x", "y", None]), rng.gauss(0, 1), rng.choice([1.0, 2.0, None]), rng.choice("pqr")) for _ in range(600)]
+    df = spark.createDataFrame(rows, "k string, m string, v double, w double, y string").repartition(3)
+    features = evalm.Features(df, "y")
+    ready = features.transform(df).coalesce(1)
+    model = evalm.default_models(600, 11, 3)["random forest"].setNumTrees(20).fit(ready)
+    trees = forest.Trees(forest.nodes_of(spark, model))
+    assert trees.words > 1 and len(trees.features) > 5
+    both = forest.predict(model, model.transform(features.transform(df)), "_p")
+    assert both.count() == 600 and both.filter("_p IS DISTINCT FROM prediction").isEmpty()
+    constant = spark.createDataFrame([(1.0, "p"), (1.0, "q"), (1.0, "q")], "v double, y string")
+    flat = evalm.Features(constant, "y").transform(constant).coalesce(1)
+    stump = evalm.default_models(3, 1, 2)["random forest"].setNumTrees(3).fit(flat)
+    both = forest.predict(stump, stump.transform(flat), "_p")
+    assert both.filter("_p IS DISTINCT FROM prediction").isEmpty()
+
+
+def test_models_of_all_folds_score_in_one_pass_each(spark, data, monkeypatch):
+    dirty = noise.inject_shared(data, ["k", "d"], 50, 3).drop("hit")
+    at_once, passes = [], []
+    pool, whole = evalm.ThreadPool, evalm.predictions
+    monkeypatch.setattr(evalm, "ThreadPool", lambda n: at_once.append(n) or pool(n))
+    monkeypatch.setattr(evalm, "predictions", lambda *a: passes.append(sorted(a[2])) or whole(*a))
+    names = ["random forest", "decision tree"]
+    scores = {(r["model"], r["test"], r["fold"]): r for r in evalm.dual_cv(data, dirty, "y", 2, ["row_id", "fold"], names, 60).collect()}
+    assert len(scores) == 8 and passes == [["clean", "dirty"]] * 2 and at_once == [evalm.FITS_AT_ONCE]
+    assert sum(r["n_rows"] for r in scores.values()) == 4 * 240
+    passes.clear()
+    same = evalm.dual_cv(data, data, "y", 2, ["row_id", "fold"], names, 60).collect()
+    assert len(same) == 8 and passes == [["clean"]] * 2
