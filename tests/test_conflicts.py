@@ -169,3 +169,15 @@ def test_components_are_named_after_their_smallest_vertex(spark):
         members.setdefault(r["component"], set()).add(r["vertex"])
     assert sorted(len(m) for m in members.values()) == [2, 12]
     assert all(min(m) == c for c, m in members.items())
+
+
+def test_dependencies_count_their_own_columns(spark, monkeypatch):
+    rows = [(i % 5, i % 3, i % 7, i % 2) for i in range(210)]  # all columns together have 210 combinations
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    fds, sizes, stage = [FD(("a",), "b"), FD(("c",), "d")], [], incons.stage
+    monkeypatch.setattr(incons, "stage", lambda t: sizes.append(t.count()) or stage(t))
+    blocks = incons.conflict_blocks(df, fds).collect()
+    assert len(blocks) == 15 + 14 and sum(r["n"] * r["later"] for r in blocks) == 5 * 3 * 14 * 14 + 7 * 15 * 15
+    table = {r["fd_no"]: r for r in incons.mechanism(df, fds).collect()}
+    assert [table[i]["conflicts"] for i in (1, 2)] == [5 * 3 * 14 * 14, 7 * 15 * 15] and table[1]["rows_involved"] == 210
+    assert max(sizes) == 15
