@@ -1,13 +1,15 @@
 import random
 
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tarnish.functions import forest
 from tarnish.model import FD
 from tarnish.operators import evalm, noise, prep
-from tarnish.plans import experiment
+from tarnish.plans import evaluate_queries, experiment
+from tarnish.sources import views
 
 
 def test_metrics_of_a_small_matrix(spark):
@@ -219,3 +221,25 @@ def test_models_of_all_folds_score_in_one_pass_each(spark, data, monkeypatch):
     passes.clear()
     same = evalm.dual_cv(data, data, "y", 2, ["row_id", "fold"], names, 60).collect()
     assert len(same) == 8 and passes == [["clean"]] * 2
+
+
+@pytest.mark.parametrize("name, cases, train, out", [
+    ("M10_relevance_experiment", 6, 1503, 12),
+])
+def test_models_of_queries_fit_all_training_rows(spark, monkeypatch, name, cases, train, out):
+    """3,006 balanced rows in folds: every fit sees all rows of the other folds, not a sample of 1,000."""
+    labels = views.DURATION_LABELS[:3]
+    lane = "50 * (id % 8) + 50"
+    rows = spark.range(3006).selectExpr(
+        "md5(cast(id as string)) as row_id", f"element_at(array('{labels[0]}', '{labels[1]}', '{labels[2]}'), cast(id % 3 + 1 as int)) as duration_bucket",
+        *[f"cast(id % {n} as int) as {c}" for c, n in (("s_nationkey", 4), ("c_nationkey", 8), ("c_regionkey", 8))],
+        *[f"concat('n', id % {n}) as {c}" for c, n in (("s_nation", 4), ("c_nation", 8), ("c_region", 8), ("p_brand", 5))],
+        f"cast({lane} as int) as lane_distance", f"cast(({lane}) div 250 + 1 as int) as lane_group", "cast(id % 50 as double) as l_quantity",
+        "cast(id % 9 as double) / 100 as l_discount", "concat('2020-0', id % 9) as ship_month", "concat('2020-0', id % 9, '-01') as ship_day",
+    )
+    monkeypatch.setattr(views, "shipments", lambda spark, sf: rows)
+    monkeypatch.setattr(evalm, "default_models", lambda *a: {m: DecisionTreeClassifier(maxDepth=2) for m in experiment.MODELS})
+    seen, fit = [], evalm._fit
+    monkeypatch.setattr(evalm, "_fit", lambda ready, *a: seen.append(ready.count()) or fit(ready, *a))
+    found = getattr(evaluate_queries, name.split("_", 1)[1])(spark, "none")
+    assert found.count() == out and seen == [train] * 4 * cases
