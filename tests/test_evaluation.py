@@ -224,7 +224,7 @@ def test_models_of_all_folds_score_in_one_pass_each(spark, data, monkeypatch):
 
 
 @pytest.mark.parametrize("name, cases, train, out", [
-    ("M10_relevance_experiment", 6, 1503, 12), ("M16_replicated_experiment", 4, 1503, 8),
+    ("M4_dual_evaluation", 3, 2004, 24), ("M10_relevance_experiment", 6, 1503, 12), ("M16_replicated_experiment", 4, 1503, 8),
 ])
 def test_models_of_queries_fit_all_training_rows(spark, monkeypatch, name, cases, train, out):
     """3,006 balanced rows in folds: every fit sees all rows of the other folds, not a sample of 1,000."""
