@@ -171,6 +171,24 @@ def test_components_are_named_after_their_smallest_vertex(spark):
     assert all(min(m) == c for c, m in members.items())
 
 
+@pytest.mark.parametrize("at_once", [0, 30, 1 << 20])
+def test_components_shrink_round_by_round(spark, monkeypatch, at_once):
+    """Long chains, a hot group and a pair: few rounds, each of which leaves fewer edges."""
+    chain = [(k // 2, 1000 + (k + 1) // 2) for k in range(200)]
+    rows = chain + [(-1, 2000 + k) for k in range(60)] + [(-2, 3000 + k) for k in range(2)] + [(-3, 4000)]
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "a int, b int, y int")
+    sizes, stage = [], cover.stage
+    monkeypatch.setattr(cover, "EDGES_AT_ONCE", at_once)
+    monkeypatch.setattr(cover, "stage", lambda t: (t.columns == ["u", "v"] and sizes.append(t.count())) or stage(t))
+    got = cover.components(df, [FD(("a",), "y"), FD(("b",), "y")]).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r["component"], set()).add(r["y"])
+        assert r["n"] == 1 and r["component"] <= r["vertex"]
+    assert sorted(members.values(), key=len) == [set(range(260, 262)), set(range(200, 260)), set(range(200))]
+    assert sizes[0] == 199 + 59 + 1 and len(sizes) <= 20 and all(b < a for a, b in zip(sizes, sizes[1:]))
+
+
 def test_dependencies_count_their_own_columns(spark, monkeypatch):
     rows = [(i % 5, i % 3, i % 7, i % 2) for i in range(210)]  # all columns together have 210 combinations
     df = spark.createDataFrame(rows, "a int, b int, c int, d int")
